@@ -1,20 +1,33 @@
 """Named queries: each takes (spark, sf_dir) and returns a DataFrame.
 
-Doubles are rounded to 6 decimals as ``round(x * 1e6) / 1e6`` (same in the
-oracle) so order-dependent float sums compare equal; integers are BIGINT.
+Every query reads the given parquet tables (through the derivations in
+:mod:`viewpoint.sources.fixtures`) over whole tables and whole texts.
+Doubles are rounded to 6 decimals as ``round(x * 1e6) / 1e6`` (the oracle does
+the same) so order-dependent float sums compare equal; integers are BIGINT.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewpoint.functions import rouge as RG
+from viewpoint.functions import text as T
+from viewpoint.functions import vectors as V
+from viewpoint.operators import bins as B
+from viewpoint.operators import experiments as X
+from viewpoint.operators import external as E
+from viewpoint.operators import lexicon as LX
 from viewpoint.operators import passages as P
+from viewpoint.operators import prompts as PR
 from viewpoint.operators import reports as RP
 from viewpoint.sources import fixtures as FX
 
+EXPS = FX.PRED_COLS
+
 
 def r6(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
@@ -25,27 +38,415 @@ def _round_doubles(df: DataFrame) -> DataFrame:
     return df.select(*[r6(f.name).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
 
 
+def _bigints(df: DataFrame) -> DataFrame:
+    return df.select(
+        *[F.col(f.name).cast("bigint").alias(f.name) if f.dataType.typeName() == "integer" else F.col(f.name) for f in df.schema.fields]
+    )
+
+
+def _out(df: DataFrame) -> DataFrame:
+    return _round_doubles(_bigints(df))
+
+
+# --- shared building blocks ----------------------------------------------------
+
+
+def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 'ref' pseudo-model: reference summaries in place of predictions."""
+    t = FX.topics(spark, sf_dir)
+    return t.select(
+        F.lit("ref").alias("model"),
+        *t.columns,
+        F.col("left_sum").alias("sp_left_pred"),
+        F.col("right_sum").alias("sp_right_pred"),
+        F.col("left_sum").alias("mp_left_pred"),
+        F.col("right_sum").alias("mp_right_pred"),
+    )
+
+
 def all_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-sentence token sets of the fixture models plus the 'ref' pseudo-model."""
     preds = FX.predictions(spark, sf_dir)
-    ref = FX.topics(spark, sf_dir).withColumn("model", F.lit("ref"))
-    return P.summary_sets(preds).unionByName(P.summary_sets(ref, reference=True))
+    return P.summary_sets(preds).unionByName(P.summary_sets(reference_rows(spark, sf_dir)))
+
+
+def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LX.surface_lookup(FX.lexicon(spark, sf_dir), FX.lemmas(spark, sf_dir))
 
 
 def facts(spark: SparkSession, sf_dir: str, unique_mode: str = "as_coded", with_lexicon: bool = False) -> DataFrame:
-    lookup = None
-    if with_lexicon:
-        from viewpoint.operators import lexicon as LX
+    lk = lookup(spark, sf_dir) if with_lexicon else None
+    return P.extraction_facts(FX.topics(spark, sf_dir), all_summaries(spark, sf_dir), lk, unique_mode)
+
+
+def long_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.unpivot(FX.predictions(spark, sf_dir))
+
+
+# --- passages and coverage -----------------------------------------------------
+
+
+def passage_explode(spark, sf_dir):
+    p = P.explode_passages(FX.topics(spark, sf_dir))
+    return _out(p.select("row_id", "pos", "length", F.length("op").alias("n_chars")))
+
+
+def first_sentence(spark, sf_dir):
+    p = FX.predictions(spark, sf_dir)
+    return p.select(
+        "model",
+        "row_id",
+        *[T.first_sentence(c).alias(c) for c in EXPS],
+        T.first_sentence("alt_op").alias("doc_first"),
+    )
+
+
+def passage_side(spark, sf_dir):
+    t = FX.topics(spark, sf_dir)
+    p = P.explode_passages(t).select("row_id", "pos", "side")
+    return _out(p.join(P.lead_side(t), "row_id"))
+
+
+def passage_coverage(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    return _out(f.select("model", "row_id", "pos", "spl_ext", "spr_ext", "mpl_ext", "mpr_ext"))
+
+
+def _unique(spark, sf_dir, mode):
+    f = facts(spark, sf_dir, unique_mode=mode)
+    return _out(f.select("model", "row_id", "pos", "spl_ext_unq", "spr_ext_unq", "mpl_ext_unq", "mpr_ext_unq"))
+
+
+def coverage_unique_as_coded(spark, sf_dir):
+    return _unique(spark, sf_dir, "as_coded")
+
+
+def coverage_unique_shared(spark, sf_dir):
+    return _unique(spark, sf_dir, "shared")
+
+
+def position_report(spark, sf_dir):
+    return _out(RP.position_report(facts(spark, sf_dir)))
+
+
+def side_report(spark, sf_dir):
+    return _out(RP.side_report(facts(spark, sf_dir)))
+
+
+def _with_ref(spark, sf_dir):
+    return FX.predictions(spark, sf_dir).unionByName(reference_rows(spark, sf_dir))
+
+
+def doc_coverage_by_model(spark, sf_dir):
+    return _out(RP.doc_coverage(_with_ref(spark, sf_dir)))
+
+
+def summary_length_by_model(spark, sf_dir):
+    return _out(RP.summary_length(_with_ref(spark, sf_dir)))
+
+
+# --- bins ----------------------------------------------------------------------
+
+
+def length_bins(spark, sf_dir):
+    f = facts(spark, sf_dir, with_lexicon=True)
+    return _out(B.binned_report(f, "length", 10, "length_bin", RP.FACT_NUMERIC))
+
+
+def arousal_bins(spark, sf_dir):
+    f = facts(spark, sf_dir, with_lexicon=True)
+    return _out(B.binned_report(f, "arous_score", 20, "arous_bin", RP.FACT_NUMERIC, with_ci=False))
+
+
+def density_bins(spark, sf_dir):
+    f = facts(spark, sf_dir, with_lexicon=True)
+    return _out(B.binned_report(f, "perc_arous", 10, "parous_bin", RP.FACT_NUMERIC))
+
+
+# --- lexicon -------------------------------------------------------------------
+
+
+def arousal_features(spark, sf_dir):
+    p = P.explode_passages(FX.topics(spark, sf_dir))
+    return _out(P.arousal_by_passage(p, lookup(spark, sf_dir)))
+
+
+def intensity(spark, sf_dir):
+    t = FX.topics(spark, sf_dir)
+    texts = t.select(
+        "row_id",
+        F.explode(F.array(*[F.struct(F.lit(c).alias("src"), F.col(c).alias("text")) for c in ("alt_op", "left_sum", "right_sum")])).alias("x"),
+    ).select("row_id", "x.src", "x.text")
+    return _out(LX.intensity(texts, ["row_id", "src"], "text", lookup(spark, sf_dir)).drop("text"))
+
+
+def intensity_gap(spark, sf_dir):
+    """(pred first-sentence intensity - alt_op intensity)^2 per prediction; the
+    source intensity is computed once per topic, not once per experiment."""
+    lk = lookup(spark, sf_dir)
+    lp = long_predictions(spark, sf_dir).select("model", "row_id", "exp", T.first_sentence("pred").alias("p"))
+    pred_int = LX.intensity(lp, ["model", "row_id", "exp"], "p", lk, out="pred_int").drop("p")
+    t = FX.topics(spark, sf_dir).select("row_id", "alt_op")
+    src_int = LX.intensity(t, ["row_id"], "alt_op", lk, out="src_int").drop("alt_op")
+    g = pred_int.join(src_int, "row_id")
+    return _out(g.withColumn("intens", F.pow(F.col("pred_int") - F.col("src_int"), 2)))
+
+
+def lexicon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw lexicon lines with repeats: every token occurrence in the documents
+    is a line whose scores hash (token, doc); line order is (doc, position)."""
+    d = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
+    occ = d.select("doc_id", F.posexplode(T.lexicon_tokens("text")).alias("i", "term"))
+    h = F.md5(F.concat(F.col("term"), F.lit(":"), F.col("doc_id").cast("string")))
+    return occ.select(
+        "term",
+        (F.col("doc_id") * 1000000 + F.col("i")).alias("line_no"),
+        *[(F.conv(F.substring(h, s, 4), 16, 10).cast("int") % 1001).alias(n) for n, s in (("v", 1), ("a", 5), ("d", 13))],
+    )
+
+
+def lexicon_dedupe(spark, sf_dir):
+    return _out(LX.dedupe_last(lexicon_lines(spark, sf_dir)))
+
+
+# --- ROUGE ---------------------------------------------------------------------
+
+
+def _pair_tokens(spark, sf_dir):
+    return FX.rouge_pairs(spark, sf_dir).select(
+        "conv_id", "turn", T.rouge_tokens("pred").alias("pt"), T.rouge_tokens("ref").alias("rt")
+    )
+
+
+def rouge1(spark, sf_dir):
+    p = _pair_tokens(spark, sf_dir)
+    return _out(p.select("conv_id", "turn", RG.rouge_n(F.col("pt"), F.col("rt"), 1).alias("rouge1")))
+
+
+def rouge2(spark, sf_dir):
+    p = _pair_tokens(spark, sf_dir)
+    return _out(p.select("conv_id", "turn", RG.rouge_n(F.col("pt"), F.col("rt"), 2).alias("rouge2")))
+
+
+def rougeL(spark, sf_dir):
+    p = _pair_tokens(spark, sf_dir)
+    return _out(p.select("conv_id", "turn", RG.rouge_l(F.col("pt"), F.col("rt")).alias("rougeL")))
+
+
+def experiment_scores(spark, sf_dir):
+    s = X.score_rouge(long_predictions(spark, sf_dir))
+    return _out(s.select("model", "row_id", "exp", *X.ROUGE_METRICS))
+
+
+def external_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long external score table (model, row_id, exp, metric, score): a
+    'bleurt' score per prediction of every labelled document; unlabelled
+    documents have no score (missing rows)."""
+    p = long_predictions(spark, sf_dir)
+    labelled = p.join(FX.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id")).distinct(), "row_id", "left_semi")
+    m = F.substring("model", 2, 10).cast("int")
+    return labelled.select(
+        "model", "row_id", "exp", F.lit("bleurt").alias("metric"), (((F.col("row_id") * 31 + m * 7) % 101) / 100.0).alias("score")
+    )
+
+
+def _base_summary_df(spark, sf_dir):
+    s = X.score_rouge(long_predictions(spark, sf_dir)).select("model", "row_id", "exp", *X.ROUGE_METRICS)
+    s = E.attach_scores(s, external_scores(spark, sf_dir), ["bleurt"])
+    return RP.metric_summary(s, X.resolve_metrics(["rouge", "bleurt"]))
+
+
+def base_summary(spark, sf_dir):
+    return _out(_base_summary_df(spark, sf_dir))
+
+
+def score_checks(spark, sf_dir):
+    return _out(E.score_checks(external_scores(spark, sf_dir), long_predictions(spark, sf_dir)))
+
+
+# --- model-output tables ---------------------------------------------------------
+
+
+def stance_gap(spark, sf_dir):
+    s = E.stance_pairs(FX.stance_logits(spark, sf_dir))
+    return _out(s.select("pair_id", "label", "stance", F.get("p_ref", 0).alias("p_ref_pro")))
+
+
+def stance_summary(spark, sf_dir):
+    """Stance per (model, exp) joined to the base summary: pair k is scored
+    for model m(k mod 3) and experiment (k div 3) mod 4."""
+    s = E.stance_pairs(FX.stance_logits(spark, sf_dir))
+    exps = F.array(*[F.lit(e) for e in EXPS])
+    s = s.select(
+        F.concat(F.lit("m"), (F.col("pair_id") % 3).cast("string")).alias("model"),
+        F.element_at(exps, (F.floor(F.col("pair_id") / 3) % 4 + 1).cast("int")).alias("exp"),
+        "stance",
+    )
+    st = RP.metric_summary(s, ["stance"])
+    return _out(_base_summary_df(spark, sf_dir).join(st, ["model", "exp"], "left"))
+
+
+def greedy_match_f1(spark, sf_dir):
+    return _out(E.greedy_match(FX.token_vectors(spark, sf_dir)))
+
+
+def matrix_reduce(spark, sf_dir):
+    return _out(E.matrix_reduce(FX.sentence_matrix(spark, sf_dir)))
+
+
+def prompt_table(spark, sf_dir):
+    """Model inputs per topic, experiment and family: the API request body,
+    and the local template wrapped for mistral, vicuna and llama."""
+    rows = PR.prompt_rows(FX.topics(spark, sf_dir), PR.template_table(spark))
+    fam = F.when(F.col("template") == "api", F.array(F.lit("api"))).otherwise(F.array(*[F.lit(x) for x in ("mistral", "vicuna", "llama")]))
+    r = rows.select("row_id", "exp", "prompt", "template", F.explode(fam).alias("family"))
+    body = F.when(
+        F.col("family") == "api", PR.request_payload(F.lit("summarizer"), F.col("prompt"), F.col("exp"))
+    ).otherwise(PR.wrap_for_family(F.col("family")))
+    return _out(r.select("row_id", "exp", "family", body.alias("model_input")))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw API responses per prediction; topics with row_id % 17 = 0 got a
+    malformed body."""
+    p = long_predictions(spark, sf_dir)
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("pred").alias("content")).alias("message"))).alias("choices")))
+    return p.select("model", "row_id", "exp", F.when(F.col("row_id") % 17 == 0, F.lit("oops")).otherwise(body).alias("raw"))
+
+
+def response_parse(spark, sf_dir):
+    r = responses(spark, sf_dir)
+    txt = PR.response_text(F.col("raw"))
+    return _out(r.select("model", "row_id", "exp", txt.alias("text"), (F.get_json_object("raw", "$.choices[0].message.content").isNull()).alias("is_error")))
+
+
+def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded local-model outputs per family: m0/m1 echo the family's chat
+    markers around the title and summary, m2 returns bare text."""
+    p = long_predictions(spark, sf_dir).join(FX.topics(spark, sf_dir).select("row_id", "title"), "row_id")
+    fam = F.explode(F.array(*[F.lit(x) for x in ("mistral", "vicuna", "llama", "mixtral")])).alias("family")
+    p = p.select("model", "row_id", "exp", "pred", "title", fam)
+    bare = F.col("model") == "m2"
+    f = F.col("family")
+    raw = (
+        F.when(bare, F.col("pred"))
+        .when(f == "mistral", F.concat(F.lit("[INST] "), F.col("title"), F.lit(" [/INST]\n"), F.col("pred")))
+        .when(f == "vicuna", F.concat(F.lit("USER: "), F.col("title"), F.lit("\nASSISTANT: "), F.col("pred"), F.lit("</s>")))
+        .when(f == "llama", F.concat(F.lit("Here is the summary: "), F.col("pred")))
+        .otherwise(F.col("pred"))
+    )
+    return p.select("model", "row_id", "exp", "family", raw.alias("raw"))
+
+
+def output_cleanup(spark, sf_dir):
+    r = raw_outputs(spark, sf_dir)
+    return _out(
+        r.select(
+            "model",
+            "row_id",
+            "exp",
+            "family",
+            PR.clean_output(F.col("raw"), F.col("family")).alias("clean"),
+            PR.clean_output(F.col("raw"), F.col("family"), parity=True).alias("clean_parity"),
+        )
+    )
+
+
+def pad_segments(spark, sf_dir):
+    """Stance-model inputs: pair text, segment ids padded to 256, and an id
+    sequence (token lengths stand in for vocabulary ids) padded/truncated to
+    16 in all four pre/post combinations."""
+    p = FX.predictions(spark, sf_dir).select("model", "row_id", "title", T.first_sentence("mp_left_pred").alias("text"))
+    ids = F.transform(T.word_tokens("text"), lambda t: F.length(t).cast("bigint"))
+    asp = F.transform(T.word_tokens("title"), lambda t: F.length(t).cast("bigint"))
+    p = p.select("model", "row_id", "title", "text", ids.alias("ids"), asp.alias("asp"))
+    cols = [
+        T.pair_text(F.col("text"), F.col("title")).alias("pair_text"),
+        F.array_join(V.segment_ids(V.nonzero_count(F.col("ids")), V.nonzero_count(F.col("asp")), 256), ",").alias("segments"),
+    ]
+    for pad in ("post", "pre"):
+        for trunc in ("post", "pre"):
+            cols.append(F.array_join(V.pad_truncate(F.col("ids"), 16, pad, trunc), ",").alias(f"ids_{pad}_{trunc}"))
+    return p.select("model", "row_id", *cols)
+
+
+def plot_series(spark, sf_dir):
+    """Figure data: position and length-percentile series of the mean
+    left/right extraction with +/- CI bands, model labels and order."""
+    f = facts(spark, sf_dir).checkpoint(eager=True)
+    pos = RP.position_report(f).select(
+        "model", F.lit("position").alias("series"), F.col("pos").alias("x"), "mpl_ext", "mpr_ext", "mpl_ext_std", "mpr_ext_std"
+    )
+    ln = B.binned_report(f, "length", 10, "length_bin", ["mpl_ext_unq", "mpr_ext_unq"], materialize=False).select(
+        "model",
+        F.lit("length").alias("series"),
+        ((F.col("length_bin") + 1) * 10).alias("x"),
+        F.col("mpl_ext_unq").alias("mpl_ext"),
+        F.col("mpr_ext_unq").alias("mpr_ext"),
+        F.col("mpl_ext_unq_std").alias("mpl_ext_std"),
+        F.col("mpr_ext_unq_std").alias("mpr_ext_std"),
+    )
+    s = pos.unionByName(ln)
+    mp = (F.col("mpl_ext") + F.col("mpr_ext")) / 2
+    band = (F.col("mpl_ext_std") + F.col("mpr_ext_std")) / 2
+    s = s.select("model", "series", "x", mp.alias("mp_ext"), band.alias("mp_ext_std"))
+    s = s.select("*", (F.col("mp_ext") - F.col("mp_ext_std")).alias("lo"), (F.col("mp_ext") + F.col("mp_ext_std")).alias("hi"))
+    labels = F.broadcast(
+        spark.createDataFrame(
+            [("m0", "Model 0", 0), ("m1", "Model 1", 1), ("m2", "Model 2", 2), ("ref", "Reference", 3)],
+            "model string, label string, ord int",
+        )
+    )
+    return _out(s.join(labels, "model", "left"))
+
+
+def _length_ratio_factory():
+    def score(pred: pd.Series, ref: pd.Series) -> pd.Series:
+        return pred.str.len() / ref.str.len().where(ref.str.len() > 0)
+
+    return score
+
 
-        lookup = LX.surface_lookup(FX.lexicon(spark, sf_dir), FX.lemmas(spark, sf_dir))
-    return P.extraction_facts(FX.topics(spark, sf_dir), all_summaries(spark, sf_dir), lookup, unique_mode)
+def scorer_hook(spark, sf_dir):
+    s = E.apply_scorer(long_predictions(spark, sf_dir), _length_ratio_factory, ["pred", "ref"], "len_ratio")
+    return _out(s.select("model", "row_id", "exp", "len_ratio"))
 
 
-def position_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round_doubles(RP.position_report(facts(spark, sf_dir)))
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "passage_explode": passage_explode,
+    "first_sentence": first_sentence,
+    "passage_side": passage_side,
+    "passage_coverage": passage_coverage,
+    "coverage_unique_as_coded": coverage_unique_as_coded,
+    "coverage_unique_shared": coverage_unique_shared,
+    "position_report": position_report,
+    "side_report": side_report,
+    "doc_coverage_by_model": doc_coverage_by_model,
+    "summary_length_by_model": summary_length_by_model,
+    "length_bins": length_bins,
+    "arousal_bins": arousal_bins,
+    "density_bins": density_bins,
+    "arousal_features": arousal_features,
+    "intensity": intensity,
+    "intensity_gap": intensity_gap,
+    "lexicon_dedupe": lexicon_dedupe,
+    "rouge1": rouge1,
+    "rouge2": rouge2,
+    "rougeL": rougeL,
+    "experiment_scores": experiment_scores,
+    "base_summary": base_summary,
+    "score_checks": score_checks,
+    "stance_gap": stance_gap,
+    "stance_summary": stance_summary,
+    "greedy_match_f1": greedy_match_f1,
+    "matrix_reduce": matrix_reduce,
+    "prompt_table": prompt_table,
+    "response_parse": response_parse,
+    "output_cleanup": output_cleanup,
+    "pad_segments": pad_segments,
+    "plot_series": plot_series,
+    "scorer_hook": scorer_hook,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "position_report": position_report,
-    }
+    return dict(QUERIES)
