@@ -7,7 +7,22 @@ Spark plan end to end.
 
 from __future__ import annotations
 
-from viewpoint.plans.sqltext import NL, cov, except_, first_sentence, length, norm, r6, side, split_ws, token_set, tokens
+from viewpoint.plans.sqltext import (
+    NL,
+    cov,
+    except_,
+    first_sentence,
+    length,
+    lex_tokens,
+    norm,
+    q,
+    r6,
+    rouge_tokens,
+    side,
+    split_ws,
+    token_set,
+    tokens,
+)
 
 # --- fixture CTEs -----------------------------------------------------------
 
@@ -102,7 +117,479 @@ SELECT s.model, s.pos, {r6('a.mpl_ext')} AS mpl_ext, {r6('a.mpr_ext')} AS mpr_ex
 FROM scaffold s LEFT JOIN agg a USING (model, pos)"""
 
 
+
+EXPS = ["sp_left_pred", "sp_right_pred", "mp_left_pred", "mp_right_pred"]
+REFS = ["left_sum", "right_sum", "left_sum", "right_sum"]
+SRCS = ["left_op", "right_op", "left_op", "right_op"]
+EXT = ["spl_ext", "spr_ext", "mpl_ext", "mpr_ext", "spl_ext_unq", "spr_ext_unq", "mpl_ext_unq", "mpr_ext_unq"]
+FACT_NUMERIC = ["pos", "length", *EXT, "num_arous", "perc_arous", "arous_score"]
+
+REF_ROWS = """
+refrows AS (
+  SELECT 'ref' AS model, row_id, title, alt_op, left_op, right_op, left_sum, right_sum,
+         left_sum AS sp_left_pred, right_sum AS sp_right_pred, left_sum AS mp_left_pred, right_sum AS mp_right_pred
+  FROM topics)"""
+
+LONG = "\nlong AS (" + " UNION ALL ".join(
+    f"SELECT model, row_id, '{e}' AS exp, {e} AS pred, {r} AS ref, {s} AS src FROM preds" for e, r, s in zip(EXPS, REFS, SRCS)
+) + ")"
+
+PASSAGES = f"""
+tpx AS (
+  SELECT row_id, {norm('left_op')} AS nl, {norm('right_op')} AS nr, string_split(coalesce(alt_op, ''), {NL}) AS ops FROM topics),
+pas AS (
+  SELECT row_id, pos, ops[pos + 1] AS op, {side('ops[pos + 1]', 'nl', 'nr')} AS side, {length('ops[pos + 1]')} AS length
+  FROM (SELECT *, CAST(generate_subscripts(ops, 1) - 1 AS BIGINT) AS pos FROM tpx))"""
+
+LEXICON = f"""
+vocab AS (SELECT DISTINCT unnest({lex_tokens('text')}) AS token FROM documents),
+lexicon AS (
+  SELECT token AS term,
+         CAST(('0x' || substr(md5(token), 1, 4)) AS INTEGER) % 1001 AS v,
+         CAST(('0x' || substr(md5(token), 5, 4)) AS INTEGER) % 1001 AS a,
+         CAST(('0x' || substr(md5(token), 13, 4)) AS INTEGER) % 1001 AS d
+  FROM vocab WHERE substr(md5(token), 9, 1) IN ('0', '1', '2', '3', '4', '5')),
+lemmas AS (
+  SELECT token, lemma FROM (
+    SELECT token, CASE WHEN suffix(token, 'ing') AND length(token) > 5 THEN substr(token, 1, length(token) - 3)
+                       WHEN suffix(token, 'ed') AND length(token) > 4 THEN substr(token, 1, length(token) - 2) END AS lemma
+    FROM vocab) c
+  WHERE lemma IN (SELECT token FROM vocab)),
+lookup AS (
+  SELECT l.token, x.v, x.a FROM lemmas l JOIN lexicon x ON x.term = l.lemma WHERE x.v <= 350 OR x.v >= 650
+  UNION ALL
+  SELECT term AS token, v, a FROM lexicon WHERE (v <= 350 OR v >= 650) AND term NOT IN (SELECT token FROM lemmas))"""
+
+
+def stats(name: str, src: str, keys: list[str], text: str, strict: bool) -> str:
+    """CTE ``name`` = src keys + num_pol, num_arous, sum_a (0 when no hit)."""
+    k = ", ".join(keys)
+    polar = "(k.v > 650 OR k.v < 350)" if strict else "(k.v >= 650 OR k.v <= 350)"
+    on = " AND ".join(f"s.{c} IS NOT DISTINCT FROM h.{c}" for c in keys)
+    return f"""
+{name}_occ AS (SELECT {k}, unnest({lex_tokens(text)}) AS token FROM {src}),
+{name}_hit AS (
+  SELECT {k}, count(*) AS num_pol, sum(CASE WHEN k.a > 650 THEN 1 ELSE 0 END) AS num_arous, sum(k.a) AS sum_a
+  FROM {name}_occ o JOIN lookup k ON k.token = o.token WHERE {polar} GROUP BY {k}),
+{name} AS (
+  SELECT s.*, CAST(coalesce(h.num_pol, 0) AS BIGINT) AS num_pol, CAST(coalesce(h.num_arous, 0) AS BIGINT) AS num_arous,
+         CAST(coalesce(h.sum_a, 0) AS BIGINT) AS sum_a
+  FROM {src} s LEFT JOIN {name}_hit h ON {on})"""
+
+
+def mean_arousal(num_pol: str, sum_a: str) -> str:
+    return f"(CASE WHEN {num_pol} > 0 THEN CAST({sum_a} AS DOUBLE) / (CAST({num_pol} AS DOUBLE) * 1000.0) ELSE 0.0 END)"
+
+
+AROUSAL = f"""
+ar AS (
+  SELECT row_id, pos, num_arous, CAST(num_arous AS DOUBLE) / length AS perc_arous, {mean_arousal('num_pol', 'sum_a')} AS arous_score
+  FROM pst)"""
+
+
+def lex_facts() -> str:
+    return with_(*BASE_FACTS, facts_cte(), PASSAGES, LEXICON, stats("pst", "pas", ["row_id", "pos", "op", "length"], "op", False), AROUSAL) + """,
+lfacts AS (SELECT f.*, ar.num_arous, ar.perc_arous, ar.arous_score FROM facts f LEFT JOIN ar USING (row_id, pos))"""
+
+
+def ci(x: str, n: str) -> str:
+    return f"1.96 * stddev_samp({x}) / sqrt({n})"
+
+
+def pct_list(n: int) -> str:
+    return "[" + ", ".join(f"CAST({i / n!r} AS DOUBLE)" for i in range(1, n + 1)) + "]"
+
+
+def binned(src: str, value: str, n: int, bin_col: str, cols: list[str], with_ci: bool = True) -> str:
+    aggs = [f"{r6(f'avg({c})')} AS {c}" for c in cols]
+    if with_ci:
+        aggs += [f"{r6(ci(c, f'count({c})'))} AS {c}_std" for c in cols]
+    return f"""
+edges AS (SELECT model, quantile_cont({value}, {pct_list(n)}) AS edges FROM {src} GROUP BY model),
+binned AS (
+  SELECT f.*, CAST(len(list_filter(e.edges, lambda q: q < f.{value})) AS BIGINT) AS {bin_col}
+  FROM {src} f JOIN edges e USING (model))
+SELECT model, {bin_col}, {", ".join(aggs)} FROM binned WHERE pos < 4 GROUP BY model, {bin_col}"""
+
+
+def rouge_n_sql(pt: str, rt: str, n: int) -> str:
+    if n == 2:
+        pt = f"list_transform(range(len({pt}) - 1), lambda i: {pt}[i + 1] || ' ' || {pt}[i + 2])"
+        rt = f"list_transform(range(len({rt}) - 1), lambda i: {rt}[i + 1] || ' ' || {rt}[i + 2])"
+    hits = (
+        f"coalesce(list_sum(list_transform(list_distinct({pt}), lambda g: least(len(list_filter({pt}, lambda x: x = g)), "
+        f"len(list_filter({rt}, lambda x: x = g))))), 0)"
+    )
+    p = f"({hits} / greatest(len({pt}), 1))"
+    r = f"({hits} / greatest(len({rt}), 1))"
+    return f"(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END)"
+
+
+def rouge_l_cte(src: str, keys: list[str]) -> str:
+    """CTEs ``{src}_lcs`` (keys, lcs): LCS by a recursive CTE; the DP row
+    runs over the prediction tokens, one recursion step per reference token."""
+    k = ", ".join(keys)
+    on = " AND ".join(f"t.{c} = d.{c}" for c in keys)
+    return f"""
+{src}_dp({k}, step, dprow) AS (
+  SELECT {k}, 0, list_transform(range(len(pt) + 1), lambda x: 0) FROM {src}
+  UNION ALL
+  SELECT {", ".join("d." + c for c in keys)}, d.step + 1,
+    list_reduce(range(1, len(t.pt) + 1),
+      lambda acc, j: list_append(acc, CASE WHEN t.rt[d.step + 1] = t.pt[j] THEN d.dprow[j] + 1 ELSE greatest(d.dprow[j + 1], acc[j]) END),
+      [0])
+  FROM {src}_dp d JOIN {src} t ON {on}
+  WHERE d.step < len(t.rt)),
+{src}_lcs AS (
+  SELECT {", ".join("d." + c for c in keys)}, d.dprow[len(d.dprow)] AS lcs
+  FROM {src}_dp d JOIN {src} t ON {on} WHERE d.step = len(t.rt))"""
+
+
+def rouge_l_expr(lcs: str, pt: str, rt: str) -> str:
+    p = f"({lcs} / greatest(len({pt}), 1))"
+    r = f"({lcs} / greatest(len({rt}), 1))"
+    return f"(CASE WHEN len({pt}) = 0 OR len({rt}) = 0 THEN 0.0 WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END)"
+
+
+PAIRS = f"""
+pairs AS (
+  SELECT c.conv_id, c.turn, {rouge_tokens('c.text')} AS pt, {rouge_tokens('p.text')} AS rt
+  FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn + 1 = c.turn)"""
+
+SCORED = f"""
+sc_tok AS (SELECT model, row_id, exp, {rouge_tokens(first_sentence('pred'))} AS pt, {rouge_tokens('ref')} AS rt FROM long),
+{rouge_l_cte('sc_tok', ['model', 'row_id', 'exp'])},
+scored AS (
+  SELECT t.model, t.row_id, t.exp, {rouge_n_sql('t.pt', 't.rt', 1)} AS rouge1, {rouge_n_sql('t.pt', 't.rt', 2)} AS rouge2,
+         {rouge_l_expr('l.lcs', 't.pt', 't.rt')} AS rougeL
+  FROM sc_tok t JOIN sc_tok_lcs l USING (model, row_id, exp))"""
+
+EXTERNAL = """
+ext AS (
+  SELECT model, row_id, exp, 'bleurt' AS metric,
+         CAST((row_id * 31 + CAST(substr(model, 2) AS INTEGER) * 7) % 101 AS DOUBLE) / 100.0 AS score
+  FROM long WHERE row_id IN (SELECT doc_id FROM labels))"""
+
+
+def summary_aggs(metrics: list[str]) -> str:
+    return ", ".join(f"avg({m}) * 100 AS {m}, ({ci(m, 'count(*)')}) * 100 AS {m}_ci" for m in metrics)
+
+
+BASE_SUMMARY = f"""
+withext AS (SELECT s.*, e.score AS bleurt FROM scored s LEFT JOIN ext e USING (model, row_id, exp)),
+base AS (SELECT model, exp, {summary_aggs(['rouge1', 'rouge2', 'rougeL', 'bleurt'])} FROM withext GROUP BY model, exp)"""
+
+STANCE = f"""
+lg AS (SELECT vec_id // 2 AS pair_id, vec_id % 2 = 1 AS is_ref, CAST(embedding AS DOUBLE[])[1:3] AS logits FROM embeddings),
+lg2 AS (SELECT pair_id, first(logits) FILTER (WHERE NOT is_ref) AS lp, first(logits) FILTER (WHERE is_ref) AS lr FROM lg GROUP BY pair_id),
+sm AS (
+  SELECT pair_id,
+    list_transform(lp, lambda x: exp(x - list_max(lp)) / list_sum(list_transform(lp, lambda y: exp(y - list_max(lp))))) AS p_pred,
+    list_transform(lr, lambda x: exp(x - list_max(lr)) / list_sum(list_transform(lr, lambda y: exp(y - list_max(lr))))) AS p_ref
+  FROM lg2),
+st AS (
+  SELECT pair_id, p_pred, p_ref, ['pro', 'con', 'neutral'][list_position(p_ref, list_max(p_ref))] AS label,
+         abs(p_pred[list_position(p_ref, list_max(p_ref))] - p_ref[list_position(p_ref, list_max(p_ref))]) AS stance
+  FROM sm)"""
+
+
+def _cols(cols: list[str]) -> str:
+    return ", ".join(cols)
+
+
+def sql_passage_explode() -> str:
+    return with_(TOPICS, PASSAGES) + "\nSELECT row_id, pos, length, CAST(length(op) AS BIGINT) AS n_chars FROM pas"
+
+
+def sql_first_sentence() -> str:
+    cols = ", ".join(f"{first_sentence(e)} AS {e}" for e in EXPS)
+    return with_(TOPICS, PREDS) + f"\nSELECT model, row_id, {cols}, {first_sentence('alt_op')} AS doc_first FROM preds"
+
+
+def sql_passage_side() -> str:
+    lead = side("alt_op", norm("left_op"), norm("right_op"))
+    return with_(TOPICS, PASSAGES) + f"""
+SELECT p.row_id, p.pos, p.side, l.lead_side FROM pas p JOIN (SELECT row_id, {lead} AS lead_side FROM topics) l USING (row_id)"""
+
+
+def sql_facts_cols(mode: str, cols: list[str]) -> str:
+    sel = ", ".join(r6(c) + f" AS {c}" for c in cols)
+    return with_(*BASE_FACTS, facts_cte(mode)) + f"\nSELECT model, row_id, pos, {sel} FROM facts"
+
+
+def sql_side_report() -> str:
+    parts = []
+    for summ, col in (("left", "mpl_ext"), ("right", "mpr_ext")):
+        for sd in ("left", "right"):
+            sub = f"side = '{sd}' AND pos < 4"
+            n = f"count(*) FILTER (WHERE side = '{sd}' AND pos < 5)"
+            parts.append(f"{r6(f'avg({col}) FILTER (WHERE {sub})')} AS {summ}_{sd}")
+            parts.append(f"{r6(f'1.96 * stddev_samp({col}) FILTER (WHERE {sub}) / sqrt({n})')} AS {summ}_{sd}_std")
+    return with_(*BASE_FACTS, facts_cte()) + f"\nSELECT model, {', '.join(parts)} FROM facts GROUP BY model"
+
+
+def _with_ref_preds() -> str:
+    return with_(TOPICS, PREDS, REF_ROWS) + ",\nallp AS (SELECT * FROM preds UNION ALL SELECT * FROM refrows)"
+
+
+def sql_doc_coverage() -> str:
+    l = cov(token_set("mp_left_pred"), token_set("alt_op"))
+    r = cov(token_set("mp_right_pred"), token_set("alt_op"))
+    return _with_ref_preds() + f"""
+, c AS (SELECT model, {l} AS l, {r} AS r FROM allp)
+SELECT model, {r6('avg(l)')} AS left_cov, {r6('avg(r)')} AS right_cov, {r6('avg(l) / 2 + avg(r) / 2')} AS avg_cov FROM c GROUP BY model"""
+
+
+def sql_summary_length() -> str:
+    return _with_ref_preds() + f"""
+, c AS (SELECT model, len({tokens('mp_left_pred')}) AS l, len({tokens('mp_right_pred')}) AS r FROM allp)
+SELECT model, {r6('avg(l)')} AS left_len, {r6('avg(r)')} AS right_len, {r6('avg(l) / 2 + avg(r) / 2')} AS avg_len FROM c GROUP BY model"""
+
+
+def sql_bins(value: str, n: int, bin_col: str, with_ci: bool = True) -> str:
+    return lex_facts() + "," + binned("lfacts", value, n, bin_col, FACT_NUMERIC, with_ci)
+
+
+def sql_arousal_features() -> str:
+    return with_(TOPICS, PASSAGES, LEXICON, stats("pst", "pas", ["row_id", "pos", "op", "length"], "op", False), AROUSAL) + f"""
+SELECT row_id, pos, num_arous, {r6('perc_arous')} AS perc_arous, {r6('arous_score')} AS arous_score FROM ar"""
+
+
+def sql_intensity() -> str:
+    texts = """
+texts AS (""" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS src, {c} AS text FROM topics" for c in ("alt_op", "left_sum", "right_sum")) + ")"
+    return with_(TOPICS, texts, LEXICON, stats("tst", "texts", ["row_id", "src", "text"], "text", True)) + f"""
+SELECT row_id, src, {r6(mean_arousal('num_pol', 'sum_a'))} AS intensity FROM tst"""
+
+
+def sql_intensity_gap() -> str:
+    lp = f"\nlp AS (SELECT model, row_id, exp, {first_sentence('pred')} AS p FROM long)"
+    src = "\nsrc AS (SELECT row_id, alt_op FROM topics)"
+    return with_(TOPICS, PREDS, LONG, lp, src, LEXICON, stats("pst", "lp", ["model", "row_id", "exp", "p"], "p", True),
+                 stats("sst", "src", ["row_id", "alt_op"], "alt_op", True)) + f"""
+, g AS (
+  SELECT p.model, p.row_id, p.exp, {mean_arousal('p.num_pol', 'p.sum_a')} AS pred_int, {mean_arousal('s.num_pol', 's.sum_a')} AS src_int
+  FROM pst p JOIN sst s USING (row_id))
+SELECT model, row_id, exp, {r6('pred_int')} AS pred_int, {r6('src_int')} AS src_int, {r6('pow(pred_int - src_int, 2)')} AS intens FROM g"""
+
+
+def sql_lexicon_dedupe() -> str:
+    h = "md5(term || ':' || CAST(doc_id AS VARCHAR))"
+    vad = ", ".join(f"CAST(('0x' || substr({h}, {s}, 4)) AS INTEGER) % 1001 AS {n}" for n, s in (("v", 1), ("a", 5), ("d", 13)))
+    return f"""WITH
+toks AS (SELECT doc_id, {lex_tokens('text')} AS t FROM documents),
+occ AS (SELECT doc_id, t[i + 1] AS term, i FROM (SELECT doc_id, t, generate_subscripts(t, 1) - 1 AS i FROM toks)),
+lines AS (SELECT term, doc_id * 1000000 + i AS line_no, {vad} FROM occ)
+SELECT term, CAST(arg_max(v, line_no) AS BIGINT) AS v, CAST(arg_max(a, line_no) AS BIGINT) AS a, CAST(arg_max(d, line_no) AS BIGINT) AS d
+FROM lines GROUP BY term"""
+
+
+def sql_rouge_n(n: int) -> str:
+    return with_(PAIRS) + f"\nSELECT conv_id, turn, {r6(rouge_n_sql('pt', 'rt', n))} AS rouge{n} FROM pairs"
+
+
+def sql_rouge_l() -> str:
+    return "WITH RECURSIVE" + PAIRS + "," + rouge_l_cte("pairs", ["conv_id", "turn"]) + f"""
+SELECT t.conv_id, t.turn, {r6(rouge_l_expr('l.lcs', 't.pt', 't.rt'))} AS rougeL FROM pairs t JOIN pairs_lcs l USING (conv_id, turn)"""
+
+
+def sql_experiment_scores() -> str:
+    return "WITH RECURSIVE" + ",".join((TOPICS, PREDS, LONG, SCORED)) + """
+SELECT model, row_id, exp, """ + ", ".join(f"{r6(m)} AS {m}" for m in ("rouge1", "rouge2", "rougeL")) + " FROM scored"
+
+
+def _summary_select(src: str, metrics: list[str]) -> str:
+    cols = ", ".join(f"{r6(m)} AS {m}, {r6(m + '_ci')} AS {m}_ci" for m in metrics)
+    return f"SELECT model, exp, {cols} FROM {src}"
+
+
+def sql_base_summary() -> str:
+    return "WITH RECURSIVE" + ",".join((TOPICS, PREDS, LONG, SCORED, EXTERNAL, BASE_SUMMARY)) + "\n" + _summary_select(
+        "base", ["rouge1", "rouge2", "rougeL", "bleurt"]
+    )
+
+
+def sql_score_checks() -> str:
+    return with_(TOPICS, PREDS, LONG, EXTERNAL) + """
+SELECT 'duplicates' AS "check", CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM ext GROUP BY model, row_id, exp, metric)
+UNION ALL SELECT 'unknown_keys', CAST(count(*) AS BIGINT) FROM ext e ANTI JOIN long l USING (model, row_id, exp)
+UNION ALL SELECT 'out_of_range', CAST(count(*) FILTER (WHERE score < -1.0 OR score > 1.0) AS BIGINT) FROM ext
+UNION ALL SELECT 'null_scores', CAST(count(*) FILTER (WHERE score IS NULL) AS BIGINT) FROM ext
+UNION ALL SELECT 'rows', CAST(count(*) AS BIGINT) FROM ext"""
+
+
+def sql_stance_gap() -> str:
+    return with_(STANCE) + f"\nSELECT pair_id, label, {r6('stance')} AS stance, {r6('p_ref[1]')} AS p_ref_pro FROM st"
+
+
+def sql_stance_summary() -> str:
+    exps = "[" + ", ".join(q(e) for e in EXPS) + "]"
+    st2 = f"""
+st2 AS (SELECT 'm' || CAST(pair_id % 3 AS VARCHAR) AS model, {exps}[(pair_id // 3) % 4 + 1] AS exp, stance FROM st),
+stsum AS (SELECT model, exp, {summary_aggs(['stance'])} FROM st2 GROUP BY model, exp),
+joined AS (SELECT b.*, s.stance, s.stance_ci FROM base b LEFT JOIN stsum s USING (model, exp))"""
+    return "WITH RECURSIVE" + ",".join((TOPICS, PREDS, LONG, SCORED, EXTERNAL, BASE_SUMMARY, STANCE, st2)) + "\n" + _summary_select(
+        "joined", ["rouge1", "rouge2", "rougeL", "bleurt", "stance"]
+    )
+
+
+def sql_greedy_match() -> str:
+    return f"""WITH
+tv AS (SELECT vec_id // 10 AS pair_id, vec_id % 2 AS side, vec_id AS tok_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+sim AS (SELECT a.pair_id, a.tok_id AS ca, b.tok_id AS rb, list_cosine_similarity(a.vec, b.vec) AS s
+        FROM tv a JOIN tv b ON a.pair_id = b.pair_id AND a.side = 0 AND b.side = 1),
+pp AS (SELECT pair_id, avg(m) AS p FROM (SELECT pair_id, ca, max(s) AS m FROM sim GROUP BY pair_id, ca) GROUP BY pair_id),
+rr AS (SELECT pair_id, avg(m) AS r FROM (SELECT pair_id, rb, max(s) AS m FROM sim GROUP BY pair_id, rb) GROUP BY pair_id)
+SELECT pair_id, {r6('p')} AS precision, {r6('r')} AS recall, {r6('2 * p * r / (p + r)')} AS f1 FROM pp JOIN rr USING (pair_id)"""
+
+
+def sql_matrix_reduce() -> str:
+    return f"""WITH
+m AS (SELECT vec_id // 25 AS pair_id, (vec_id % 25) // 5 AS src_sent, vec_id % 5 AS claim_sent, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings),
+c AS (SELECT pair_id, claim_sent, max(score) AS best FROM m GROUP BY pair_id, claim_sent)
+SELECT pair_id, {r6('avg(best)')} AS score, CAST(count(*) AS BIGINT) AS claims FROM c GROUP BY pair_id"""
+
+
+def sql_prompt_table() -> str:
+    from viewpoint.operators.prompts import API_CONTEXT, API_PARAMS, EXP_SOURCE, TEMPLATES
+
+    tmpl = "tmpl(template, exp, instruction) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in TEMPLATES) + ")"
+    pe = "pe AS (" + " UNION ALL ".join(f"SELECT row_id, '{e}' AS exp, {c} AS text FROM topics" for e, c in EXP_SOURCE.items()) + ")"
+    params = ", ".join(f"'{k}': {v}" for k, v in API_PARAMS.items())
+    payload = (
+        f"to_json({{'model': 'summarizer', {params}, 'messages': [{{'role': 'user', 'content': prompt}}], 'stop': ['.'], "
+        f"'context_length_exceeded_behavior': '{API_CONTEXT}', 'user': exp}})::VARCHAR"
+    )
+    return with_(TOPICS, "\n" + tmpl, "\n" + pe) + f""",
+pr AS (SELECT pe.row_id, pe.exp, t.template, t.instruction || chr(10) || coalesce(pe.text, '') AS prompt FROM pe JOIN tmpl t USING (exp)),
+fam AS (SELECT *, unnest(CASE WHEN template = 'api' THEN ['api'] ELSE ['mistral', 'vicuna', 'llama'] END) AS family FROM pr)
+SELECT row_id, exp, family,
+  CASE WHEN family = 'api' THEN {payload}
+       WHEN family = 'mistral' THEN '<s>[INST]' || chr(10) || prompt || chr(10) || '[/INST]' || chr(10)
+       WHEN family = 'vicuna' THEN 'USER: ' || prompt || chr(10) || 'ASSISTANT:'
+       ELSE to_json([{{'role': 'user', 'content': prompt}}])::VARCHAR END AS model_input
+FROM fam"""
+
+
+def sql_response_parse() -> str:
+    content = "CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.choices[0].message.content') END"
+    return with_(TOPICS, PREDS, LONG) + f""",
+resp AS (SELECT model, row_id, exp, CASE WHEN row_id % 17 = 0 THEN 'oops'
+           ELSE to_json({{'choices': [{{'message': {{'content': pred}}}}]}})::VARCHAR END AS raw FROM long)
+SELECT model, row_id, exp, coalesce({content}, 'Error') AS text, ({content}) IS NULL AS is_error FROM resp"""
+
+
+def _py_slice(t: str, start0: str, end: str) -> str:
+    return f"substr({t}, ({start0}) + 1, greatest(({end}) - ({start0}), 0))"
+
+
+def _clean(t: str, parity: bool) -> str:
+    m_at, v_at, n = f"instr({t}, '[/INST]')", f"instr({t}, 'ASSISTANT:')", f"length({t})"
+    mis = _py_slice(t, f"{m_at} - 1 + 8", n)
+    vic = _py_slice(t, f"{v_at} - 1 + 11", f"{n} - 3")
+    if not parity:
+        mis = f"(CASE WHEN {m_at} > 0 THEN {mis} ELSE {t} END)"
+        vic = f"(CASE WHEN {v_at} > 0 THEN {vic} ELSE {t} END)"
+    lla = f"(CASE WHEN lower(substr({t}, 1, 4)) = 'here' THEN {_py_slice(t, f'instr({t}, chr(58))', n)} ELSE {t} END)"
+    return f"(CASE WHEN family = 'mistral' THEN {mis} WHEN family = 'vicuna' THEN {vic} WHEN family = 'llama' THEN {lla} ELSE {t} END)"
+
+
+def sql_output_cleanup() -> str:
+    raw = """CASE WHEN model = 'm2' THEN pred
+    WHEN family = 'mistral' THEN '[INST] ' || title || ' [/INST]' || chr(10) || pred
+    WHEN family = 'vicuna' THEN 'USER: ' || title || chr(10) || 'ASSISTANT: ' || pred || '</s>'
+    WHEN family = 'llama' THEN 'Here is the summary: ' || pred
+    ELSE pred END"""
+    return with_(TOPICS, PREDS, LONG) + f""",
+ro AS (SELECT l.model, l.row_id, l.exp, f.family, {raw} AS raw
+       FROM long l JOIN topics t USING (row_id) CROSS JOIN (SELECT unnest(['mistral', 'vicuna', 'llama', 'mixtral']) AS family) f)
+SELECT model, row_id, exp, family, {_clean('raw', False)} AS clean, {_clean('raw', True)} AS clean_parity FROM ro"""
+
+
+def _pad(seq: str, maxlen: int, padding: str, trunc: str) -> str:
+    kept = f"(CASE WHEN len({seq}) > {maxlen} THEN {seq}[len({seq}) - {maxlen} + 1:] ELSE {seq} END)" if trunc == "pre" else f"{seq}[1:{maxlen}]"
+    pad = f"list_transform(range(greatest({maxlen} - len({kept}), 0)), lambda x: 0)"
+    return f"list_concat({kept}, {pad})" if padding == "post" else f"list_concat({pad}, {kept})"
+
+
+def sql_pad_segments() -> str:
+    ids = f"list_transform({tokens('text')}, lambda t: CAST(length(t) AS BIGINT))"
+    asp = f"list_transform({tokens('title')}, lambda t: CAST(length(t) AS BIGINT))"
+    seg = "list_concat(list_transform(range(len(list_filter(ids, lambda x: x <> 0)) + 2), lambda x: 0), list_transform(range(len(list_filter(asp, lambda x: x <> 0)) + 1), lambda x: 1))"
+    cols = [f"'[CLS] ' || text || ' [SEP] ' || title || ' [SEP]' AS pair_text", f"array_to_string({_pad(seg, 256, 'post', 'post')}, ',') AS segments"]
+    for pad in ("post", "pre"):
+        for tr in ("post", "pre"):
+            cols.append(f"array_to_string({_pad('ids', 16, pad, tr)}, ',') AS ids_{pad}_{tr}")
+    return with_(TOPICS, PREDS) + f""",
+pp AS (SELECT model, row_id, title, {first_sentence('mp_left_pred')} AS text FROM preds),
+pi AS (SELECT *, {ids} AS ids, {asp} AS asp FROM pp)
+SELECT model, row_id, {', '.join(cols)} FROM pi"""
+
+
+def sql_plot_series() -> str:
+    left, right = "side = 'left'", "side = 'right'"
+    edges = f"edges AS (SELECT model, quantile_cont(length, {pct_list(10)}) AS edges FROM facts GROUP BY model)"
+    return with_(*BASE_FACTS, facts_cte()) + f""",
+pagg AS (
+  SELECT model, pos AS x,
+    avg(mpl_ext) FILTER (WHERE {left}) AS mpl_ext, avg(mpr_ext) FILTER (WHERE {right}) AS mpr_ext,
+    1.96 * stddev_samp(mpl_ext) FILTER (WHERE {left}) / sqrt(count(*) FILTER (WHERE {left})) AS mpl_ext_std,
+    1.96 * stddev_samp(mpr_ext) FILTER (WHERE {right}) / sqrt(count(*) FILTER (WHERE {right})) AS mpr_ext_std
+  FROM facts WHERE pos < 10 GROUP BY model, pos),
+pscaf AS (SELECT model, CAST(unnest(range(10)) AS BIGINT) AS x FROM (SELECT DISTINCT model FROM pagg)),
+ps AS (SELECT s.model, 'position' AS series, s.x, a.mpl_ext, a.mpr_ext, a.mpl_ext_std, a.mpr_ext_std FROM pscaf s LEFT JOIN pagg a USING (model, x)),
+{edges},
+lb AS (SELECT f.*, CAST(len(list_filter(e.edges, lambda q: q < f.length)) AS BIGINT) AS length_bin FROM facts f JOIN edges e USING (model)),
+ls AS (
+  SELECT model, 'length' AS series, (length_bin + 1) * 10 AS x, avg(mpl_ext_unq) AS mpl_ext, avg(mpr_ext_unq) AS mpr_ext,
+    {ci('mpl_ext_unq', 'count(mpl_ext_unq)')} AS mpl_ext_std, {ci('mpr_ext_unq', 'count(mpr_ext_unq)')} AS mpr_ext_std
+  FROM lb WHERE pos < 4 GROUP BY model, length_bin),
+s AS (SELECT model, series, x, (mpl_ext + mpr_ext) / 2 AS mp_ext, (mpl_ext_std + mpr_ext_std) / 2 AS mp_ext_std
+      FROM (SELECT * FROM ps UNION ALL SELECT * FROM ls)),
+labels(model, label, ord) AS (VALUES ('m0', 'Model 0', 0), ('m1', 'Model 1', 1), ('m2', 'Model 2', 2), ('ref', 'Reference', 3))
+SELECT s.model, series, CAST(x AS BIGINT) AS x, {r6('mp_ext')} AS mp_ext, {r6('mp_ext_std')} AS mp_ext_std,
+       {r6('mp_ext - mp_ext_std')} AS lo, {r6('mp_ext + mp_ext_std')} AS hi, label, CAST(ord AS BIGINT) AS ord
+FROM s LEFT JOIN labels USING (model)"""
+
+
+def sql_scorer_hook() -> str:
+    return with_(TOPICS, PREDS, LONG) + f"""
+SELECT model, row_id, exp, {r6('length(pred) / CASE WHEN length(ref) > 0 THEN length(ref) END')} AS len_ratio FROM long"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "passage_explode": sql_passage_explode(),
+        "first_sentence": sql_first_sentence(),
+        "passage_side": sql_passage_side(),
+        "passage_coverage": sql_facts_cols("as_coded", EXT[:4]),
+        "coverage_unique_as_coded": sql_facts_cols("as_coded", EXT[4:]),
+        "coverage_unique_shared": sql_facts_cols("shared", EXT[4:]),
         "position_report": position_report_sql(),
+        "side_report": sql_side_report(),
+        "doc_coverage_by_model": sql_doc_coverage(),
+        "summary_length_by_model": sql_summary_length(),
+        "length_bins": sql_bins("length", 10, "length_bin"),
+        "arousal_bins": sql_bins("arous_score", 20, "arous_bin", with_ci=False),
+        "density_bins": sql_bins("perc_arous", 10, "parous_bin"),
+        "arousal_features": sql_arousal_features(),
+        "intensity": sql_intensity(),
+        "intensity_gap": sql_intensity_gap(),
+        "lexicon_dedupe": sql_lexicon_dedupe(),
+        "rouge1": sql_rouge_n(1),
+        "rouge2": sql_rouge_n(2),
+        "rougeL": sql_rouge_l(),
+        "experiment_scores": sql_experiment_scores(),
+        "base_summary": sql_base_summary(),
+        "score_checks": sql_score_checks(),
+        "stance_gap": sql_stance_gap(),
+        "stance_summary": sql_stance_summary(),
+        "greedy_match_f1": sql_greedy_match(),
+        "matrix_reduce": sql_matrix_reduce(),
+        "prompt_table": sql_prompt_table(),
+        "response_parse": sql_response_parse(),
+        "output_cleanup": sql_output_cleanup(),
+        "pad_segments": sql_pad_segments(),
+        "plot_series": sql_plot_series(),
+        "scorer_hook": sql_scorer_hook(),
     }
