@@ -64,12 +64,6 @@ def score_rouge(long: DataFrame, first_sentence: bool = True, missing: str = "nu
         pred, ref = F.coalesce(pred, F.lit("nan")), F.coalesce(ref, F.lit("nan"))
     p = T.first_sentence(pred) if first_sentence else pred
     base = long.select("*", T.rouge_tokens(p).alias("_pt"), T.rouge_tokens(ref).alias("_rt"), (pred.isNotNull() & ref.isNotNull()).alias("_ok"))
-    scores = {
-        "rouge1": RG.rouge_n(F.col("_pt"), F.col("_rt"), 1),
-        "rouge2": RG.rouge_n(F.col("_pt"), F.col("_rt"), 2),
-        "rougeL": RG.rouge_l(F.col("_pt"), F.col("_rt")),
-    }
+    scored = RG.add_rouge(base, "_pt", "_rt")
     fallback = F.lit(-1.0) if missing == "sentinel" else F.lit(None).cast("double")
-    return base.select(
-        *long.columns, *[F.when(F.col("_ok"), c).otherwise(fallback).alias(n) for n, c in scores.items()]
-    )
+    return scored.select(*long.columns, *[F.when(F.col("_ok"), F.col(n)).otherwise(fallback).alias(n) for n in ROUGE_METRICS])

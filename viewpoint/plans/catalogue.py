@@ -24,6 +24,7 @@ from viewpoint.operators import lexicon as LX
 from viewpoint.operators import passages as P
 from viewpoint.operators import prompts as PR
 from viewpoint.operators import reports as RP
+from viewpoint.session import spread
 from viewpoint.sources import fixtures as FX
 
 EXPS = FX.PRED_COLS
@@ -194,7 +195,7 @@ def intensity_gap(spark, sf_dir):
 def lexicon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw lexicon lines with repeats: every token occurrence in the documents
     is a line whose scores hash (token, doc); line order is (doc, position)."""
-    d = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(FX.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     occ = d.select("doc_id", F.posexplode(T.lexicon_tokens("text")).alias("i", "term"))
     h = F.md5(F.concat(F.col("term"), F.lit(":"), F.col("doc_id").cast("string")))
     return occ.select(
@@ -217,19 +218,21 @@ def _pair_tokens(spark, sf_dir):
     )
 
 
+def _rouge_pairs(spark, sf_dir, metric):
+    p = RG.add_rouge(_pair_tokens(spark, sf_dir), "pt", "rt", metrics=(metric,))
+    return _out(p.select("conv_id", "turn", metric))
+
+
 def rouge1(spark, sf_dir):
-    p = _pair_tokens(spark, sf_dir)
-    return _out(p.select("conv_id", "turn", RG.rouge_n(F.col("pt"), F.col("rt"), 1).alias("rouge1")))
+    return _rouge_pairs(spark, sf_dir, "rouge1")
 
 
 def rouge2(spark, sf_dir):
-    p = _pair_tokens(spark, sf_dir)
-    return _out(p.select("conv_id", "turn", RG.rouge_n(F.col("pt"), F.col("rt"), 2).alias("rouge2")))
+    return _rouge_pairs(spark, sf_dir, "rouge2")
 
 
 def rougeL(spark, sf_dir):
-    p = _pair_tokens(spark, sf_dir)
-    return _out(p.select("conv_id", "turn", RG.rouge_l(F.col("pt"), F.col("rt")).alias("rougeL")))
+    return _rouge_pairs(spark, sf_dir, "rougeL")
 
 
 def experiment_scores(spark, sf_dir):

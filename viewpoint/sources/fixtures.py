@@ -63,9 +63,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout (topic columns + four prediction columns + ``model``)."""
     t = topics(spark, sf_dir)
     m = F.col("m")
-    L, R = T.split_ws("left_op"), T.split_ws("right_op")
+    L, R = F.col("_L"), F.col("_R")
     tail = F.lit(". Tail here.")
-    return t.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("m")).select(
+    # Word arrays once per topic; the explode keeps them from being recomputed per model.
+    words = t.select("*", T.split_ws("left_op").alias("_L"), T.split_ws("right_op").alias("_R"))
+    return words.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))).alias("m")).select(
         F.concat(F.lit("m"), m.cast("string")).alias("model"),
         *t.columns,
         F.concat(F.lit("The left "), _join_words(L, 8 + m), tail).alias("sp_left_pred"),
