@@ -49,24 +49,22 @@ def polar(v: Column, strict: bool) -> Column:
 
 
 def token_stats(df: DataFrame, keys: list[str], text_col: str, lookup: DataFrame, strict: bool) -> DataFrame:
-    """Per key: number of polar token occurrences, of arousing ones among
-    them, and the sum of their arousal. Keys without hits get zeros.
+    """Per row of ``df`` (identified by ``keys``): number of polar token
+    occurrences, of arousing ones among them, and the sum of their arousal.
 
-    Plan: explode tokens -> broadcast hash join to the (size-checked) lookup
-    -> partial aggregation by key -> left join back to ``df``'s keys.
+    Plan: ``explode_outer`` the tokens (rows without tokens survive) -> left
+    broadcast hash join to the size-checked lookup -> aggregate by ``keys``.
+    There is no join back: when ``df`` is already clustered by a prefix of the
+    keys (topics partitioned by ``row_id``), the aggregate needs no shuffle.
     """
     lk = bounded_broadcast(lookup)
-    occ = df.select(*keys, F.explode(T.lexicon_tokens(text_col)).alias("token"))
-    hits = occ.join(lk, "token").filter(polar(F.col("v"), strict))
-    agg = hits.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("num_pol"),
-        F.sum(F.when(F.col("a") > AROUSING, 1).otherwise(0)).alias("num_arous"),
-        F.sum("a").alias("sum_a"),
-    )
-    out = df.join(agg, keys, "left")
-    return out.select(
-        *[c for c in out.columns if c not in ("num_pol", "num_arous", "sum_a")],
-        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("num_pol", "num_arous", "sum_a")],
+    occ = df.select(*keys, F.explode_outer(T.lexicon_tokens(text_col)).alias("token"))
+    hits = occ.join(lk, "token", "left")
+    pol = F.col("v").isNotNull() & polar(F.col("v"), strict)
+    return hits.groupBy(*keys).agg(
+        F.count(F.when(pol, 1)).alias("num_pol"),
+        F.count(F.when(pol & (F.col("a") > AROUSING), 1)).alias("num_arous"),
+        F.coalesce(F.sum(F.when(pol, F.col("a"))), F.lit(0)).cast("bigint").alias("sum_a"),
     )
 
 
@@ -78,4 +76,4 @@ def mean_arousal(num_pol: Column, sum_a: Column) -> Column:
 def intensity(df: DataFrame, keys: list[str], text_col: str, lookup: DataFrame, out: str = "intensity") -> DataFrame:
     """Scorer intensity: mean arousal over strictly polar tokens (0 if none)."""
     s = token_stats(df, keys, text_col, lookup, strict=True)
-    return s.withColumn(out, mean_arousal(F.col("num_pol"), F.col("sum_a"))).drop("num_pol", "num_arous", "sum_a")
+    return s.select(*keys, mean_arousal(F.col("num_pol"), F.col("sum_a")).alias(out))

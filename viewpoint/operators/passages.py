@@ -44,11 +44,14 @@ def lead_side(topics: DataFrame) -> DataFrame:
 
 
 def topic_passages(topics: DataFrame) -> DataFrame:
-    """Per topic: the passages with their token sets, plus both ignore sets.
+    """Per topic, aligned per-passage arrays plus both ignore sets:
+    ``_toks`` token sets, ``_sides`` side labels, ``_lens`` lengths.
 
     ``ign_coded``: characters of passage 0 (normalised, not tokenised) union
     the tokens of passages 1..n, as the reference computes it.
     ``ign_shared``: tokens present in every passage (the stated intent).
+    Everything here is model-independent and computed once per topic; the
+    long source texts are dropped before any join.
     """
     ops = F.split(F.coalesce(F.col("alt_op"), F.lit("")), "\n")
     t = topics.select(
@@ -56,19 +59,19 @@ def topic_passages(topics: DataFrame) -> DataFrame:
         T.normalize("left_op").alias("_nl"),
         T.normalize("right_op").alias("_nr"),
         ops.alias("_ops"),
-    ).select(
+    )
+    t = t.select(
         "row_id",
-        "_nl",
-        "_nr",
         "_ops",
         F.transform("_ops", lambda op: F.array_distinct(T.word_tokens(op))).alias("_toks"),
+        F.transform("_ops", lambda op: T.side_of(op, F.col("_nl"), F.col("_nr"))).alias("_sides"),
+        F.transform("_ops", lambda op: T.passage_length(op)).alias("_lens"),
     )
     return t.select(
         "row_id",
-        "_nl",
-        "_nr",
-        "_ops",
         "_toks",
+        "_sides",
+        "_lens",
         C.ignore_as_coded(F.col("_ops"), F.col("_toks")).alias("ign_coded"),
         C.ignore_shared(F.col("_toks")).alias("ign_shared"),
     )
@@ -89,8 +92,9 @@ def summary_sets(preds: DataFrame, reference: bool = False) -> DataFrame:
 
 def arousal_by_passage(passages: DataFrame, lookup: DataFrame) -> DataFrame:
     """(row_id, pos, num_arous, perc_arous, arous_score): notebook arousal
-    features with inclusive polar bounds."""
-    s = LX.token_stats(passages.select("row_id", "pos", "op", "length"), ["row_id", "pos"], "op", lookup, strict=False)
+    features with inclusive polar bounds (``length`` rides along as a key: it
+    is a function of the passage)."""
+    s = LX.token_stats(passages.select("row_id", "pos", "op", "length"), ["row_id", "pos", "length"], "op", lookup, strict=False)
     return s.select(
         "row_id",
         "pos",
@@ -111,45 +115,51 @@ def extraction_facts(
 
     ``summaries`` comes from :func:`summary_sets` (models and/or reference).
     ``unique_mode`` picks the ignore set of the ``_unq`` columns
-    ('as_coded' or 'shared').
+    ('as_coded' or 'shared'). With a lexicon ``lookup`` the per-passage
+    arousal features are computed once per topic and gathered back into one
+    array per topic (no shuffle when topics are partitioned by ``row_id``)
+    before the model join, so the passage explode stays the last step.
     """
     if unique_mode not in ("as_coded", "shared"):
         raise ValueError("unique_mode must be 'as_coded' or 'shared'")
     ign = "ign_coded" if unique_mode == "as_coded" else "ign_shared"
     tp = topic_passages(topics)
+    if lookup is not None:
+        ar = arousal_by_passage(explode_passages(topics), lookup)
+        ar_t = ar.groupBy("row_id").agg(
+            F.array_sort(F.collect_list(F.struct("pos", "num_arous", "perc_arous", "arous_score"))).alias("_ar")
+        )
+        tp = tp.join(ar_t, "row_id", "left")
+    else:
+        tp = tp.withColumn("_ar", F.lit(None).cast("array<struct<pos:int,num_arous:bigint,perc_arous:double,arous_score:double>>"))
     j = summaries.join(tp, "row_id")
     # Summary token sets minus the topic's ignore set, once per (model, topic).
     j = j.select(
         "model",
         "row_id",
-        "_nl",
-        "_nr",
-        "_ops",
         "_toks",
+        "_sides",
+        "_lens",
+        "_ar",
         *SUMMARY_KEYS,
         *[F.array_except(F.col(k), F.col(ign)).alias(k + "_u") for k in SUMMARY_KEYS],
     )
+    zipped = F.arrays_zip(F.col("_toks").alias("toks"), F.col("_sides").alias("side"), F.col("_lens").alias("length"))
     rows = j.select(
-        "model",
-        "row_id",
-        "_nl",
-        "_nr",
-        *SUMMARY_KEYS,
-        *[k + "_u" for k in SUMMARY_KEYS],
-        F.posexplode(F.arrays_zip(F.col("_ops").alias("op"), F.col("_toks").alias("toks"))).alias("pos", "p"),
+        "model", "row_id", "_ar", *SUMMARY_KEYS, *[k + "_u" for k in SUMMARY_KEYS], F.posexplode(zipped).alias("pos", "p")
     )
-    facts = rows.select(
+    cols = [
         "model",
         "row_id",
         F.col("pos").cast("bigint").alias("pos"),
-        T.side_of(F.col("p.op"), "_nl", "_nr").alias("side"),
-        T.passage_length(F.col("p.op")).cast("bigint").alias("length"),
+        F.col("p.side").alias("side"),
+        F.col("p.length").cast("bigint").alias("length"),
         *[C.coverage(F.col(k), F.col("p.toks")).alias(f"{k}_ext") for k in SUMMARY_KEYS],
         # The summary set already excludes the ignore set, so intersecting with
         # the whole passage set equals intersecting with (passage - ignore).
         *[C.coverage(F.col(k + "_u"), F.col("p.toks")).alias(f"{k}_ext_unq") for k in SUMMARY_KEYS],
-    )
-    if lookup is None:
-        return facts
-    ar = arousal_by_passage(explode_passages(topics), lookup)
-    return facts.join(ar, ["row_id", "pos"], "left")
+    ]
+    if lookup is not None:
+        a = F.get(F.col("_ar"), F.col("pos"))
+        cols += [a["num_arous"].alias("num_arous"), a["perc_arous"].alias("perc_arous"), a["arous_score"].alias("arous_score")]
+    return rows.select(*cols)

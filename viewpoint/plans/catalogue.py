@@ -71,7 +71,10 @@ def all_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LX.surface_lookup(FX.lexicon(spark, sf_dir), FX.lemmas(spark, sf_dir))
+    """Surface-token lookup of the fixture lexicon and lemmas. The vocabulary
+    feeds both and the lemma self-join, so it is checkpointed once."""
+    vocab = FX.vocabulary(spark, sf_dir).checkpoint(eager=True)
+    return LX.surface_lookup(FX.lexicon(spark, sf_dir, vocab), FX.lemmas(spark, sf_dir, vocab))
 
 
 def facts(spark: SparkSession, sf_dir: str, unique_mode: str = "as_coded", with_lexicon: bool = False) -> DataFrame:

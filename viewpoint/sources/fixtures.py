@@ -91,21 +91,21 @@ def _hex_int(md5col, start: int):
     return F.conv(F.substring(md5col, start, 4), 16, 10).cast("int") % 1001
 
 
-def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lexicon(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
     """Valence/arousal/dominance lexicon in integer thousandths, derived from
     the vocabulary by md5 (about 6 of 16 tokens are kept)."""
     h = F.md5(F.col("token"))
     return (
-        vocabulary(spark, sf_dir)
+        (vocab if vocab is not None else vocabulary(spark, sf_dir))
         .filter(F.substring(h, 9, 1).isin("0", "1", "2", "3", "4", "5"))
         .select(F.col("token").alias("term"), _hex_int(h, 1).alias("v"), _hex_int(h, 5).alias("a"), _hex_int(h, 13).alias("d"))
     )
 
 
-def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lemmas(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
     """(token, lemma): '-ing' (longer than 5) and '-ed' (longer than 4) forms
     whose stem is itself in the vocabulary. One step, no chaining."""
-    vocab = vocabulary(spark, sf_dir)
+    vocab = vocab if vocab is not None else vocabulary(spark, sf_dir)
     tok = F.col("token")
     n = F.length(tok)
     cand = vocab.select(
