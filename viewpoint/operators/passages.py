@@ -130,8 +130,6 @@ def extraction_facts(
             F.array_sort(F.collect_list(F.struct("pos", "num_arous", "perc_arous", "arous_score"))).alias("_ar")
         )
         tp = tp.join(ar_t, "row_id", "left")
-    else:
-        tp = tp.withColumn("_ar", F.lit(None).cast("array<struct<pos:int,num_arous:bigint,perc_arous:double,arous_score:double>>"))
     j = summaries.join(tp, "row_id")
     # Summary token sets minus the topic's ignore set, once per (model, topic).
     j = j.select(
@@ -140,14 +138,17 @@ def extraction_facts(
         "_toks",
         "_sides",
         "_lens",
-        "_ar",
+        *(["_ar"] if lookup is not None else []),
         *SUMMARY_KEYS,
         *[F.array_except(F.col(k), F.col(ign)).alias(k + "_u") for k in SUMMARY_KEYS],
     )
-    zipped = F.arrays_zip(F.col("_toks").alias("toks"), F.col("_sides").alias("side"), F.col("_lens").alias("length"))
-    rows = j.select(
-        "model", "row_id", "_ar", *SUMMARY_KEYS, *[k + "_u" for k in SUMMARY_KEYS], F.posexplode(zipped).alias("pos", "p")
-    )
+    # Everything per passage travels inside one zipped array, so an exploded
+    # row carries only its own passage (never the topic's full arrays).
+    fields = [F.col("_toks").alias("toks"), F.col("_sides").alias("side"), F.col("_lens").alias("length")]
+    if lookup is not None:
+        fields.append(F.col("_ar").alias("ar"))
+    zipped = F.arrays_zip(*fields)
+    rows = j.select("model", "row_id", *SUMMARY_KEYS, *[k + "_u" for k in SUMMARY_KEYS], F.posexplode(zipped).alias("pos", "p"))
     cols = [
         "model",
         "row_id",
@@ -160,6 +161,6 @@ def extraction_facts(
         *[C.coverage(F.col(k + "_u"), F.col("p.toks")).alias(f"{k}_ext_unq") for k in SUMMARY_KEYS],
     ]
     if lookup is not None:
-        a = F.get(F.col("_ar"), F.col("pos"))
+        a = F.col("p.ar")
         cols += [a["num_arous"].alias("num_arous"), a["perc_arous"].alias("perc_arous"), a["arous_score"].alias("arous_score")]
     return rows.select(*cols)
