@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from viewpoint.operators.joins import bounded_broadcast
 from viewpoint.operators.reports import Z_DEFAULT, ci
@@ -19,19 +20,82 @@ def _pct_array(num_bins: int) -> str:
     return "array(" + ", ".join(f"CAST({i / num_bins!r} AS DOUBLE)" for i in range(1, num_bins + 1)) + ")"
 
 
-def percentile_edges(df: DataFrame, value: str, num_bins: int, key: str = "model", approx: bool = False) -> DataFrame:
-    """(key, edges): exact percentiles by default.
+def percentile_edges(
+    df: DataFrame, value: str, num_bins: int, key: str = "model", method: str = "ranked", approx: bool = False
+) -> DataFrame:
+    """(key, edges): percentiles at i/num_bins, i = 1..num_bins.
 
-    Values are first counted per (key, value) - a partial aggregation that a
-    skewed key cannot blow up - and the exact percentile then runs over the
-    distinct values with their counts as frequencies. ``approx`` switches to
-    ``percentile_approx`` (bounded memory) for very high-cardinality values.
+    ``method``:
+    * 'ranked' (default, exact, skew-proof): see :func:`_ranked_edges`.
+    * 'aggregate' (exact): ``percentile`` over per-(key, value) counts; the
+      final merge of one key holds all its distinct values in one task.
+    * ``approx=True``: ``percentile_approx`` (bounded sketch, not exact).
     """
-    pcts = _pct_array(num_bins)
     if approx:
+        pcts = _pct_array(num_bins)
         return df.groupBy(key).agg(F.expr(f"percentile_approx({value}, {pcts}, 100000)").cast("array<double>").alias("edges"))
-    counted = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.groupBy(key).agg(F.expr(f"percentile({value}, {pcts}, _n)").alias("edges"))
+    if method == "aggregate":
+        pcts = _pct_array(num_bins)
+        counted = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+        return counted.groupBy(key).agg(F.expr(f"percentile({value}, {pcts}, _n)").alias("edges"))
+    return _ranked_edges(df, value, num_bins, key)
+
+
+def _ranked_edges(df: DataFrame, value: str, num_bins: int, key: str) -> DataFrame:
+    """Exact linear-interpolation percentiles without gathering a key's
+    values in one task.
+
+    1. count rows per (key, value) (partial aggregation);
+    2. range-partition those counts by (key, value): a hot key's values are
+       split over many partitions; checkpoint (reused twice below);
+    3. per (partition, key) totals -> cumulative offsets and N per key: a small
+       table (partitions x keys), broadcast after a size check;
+    4. global end rank of each distinct value = offset + running count inside
+       its (partition, key) slice - a window over one slice, never a whole key;
+    5. the values at ranks floor/ceil((N - 1) * q) are picked by a broadcast
+       join to the 2 * num_bins target ranks per key, and interpolated as
+       numpy does (a + (b - a) t, or b - (b - a)(1 - t) when t >= 0.5).
+    """
+    spark = df.sparkSession
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = counts.repartitionByRange(nparts, key, value).select("*", F.spark_partition_id().alias("_pid"))
+    ranged = ranged.checkpoint(eager=True)
+    part = ranged.groupBy(key, "_pid").agg(F.sum("_n").alias("_tot"))
+    upto = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = part.select(
+        key,
+        "_pid",
+        (F.sum("_tot").over(upto) - F.col("_tot")).alias("_off"),
+        F.sum("_tot").over(Window.partitionBy(key)).alias("_total"),
+    )
+    part = bounded_broadcast(part, max_rows=1_000_000)
+    local = Window.partitionBy("_pid", key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = ranged.join(part, [key, "_pid"]).select(
+        key, value, "_n", (F.col("_off") + F.sum("_n").over(local)).alias("_end")
+    )
+    qs = F.array(*[F.lit(i / num_bins) for i in range(1, num_bins + 1)])
+    n = part.select(key, "_total").distinct()
+    tg = n.select(key, "_total", F.posexplode(qs).alias("_i", "_q")).select(
+        key, "_i", ((F.col("_total") - 1) * F.col("_q")).alias("_vi")
+    )
+    tg = tg.select(key, "_i", F.floor("_vi").alias("_lo"), (F.col("_vi") - F.floor("_vi")).alias("_t"), "_vi")
+    tg = tg.select(key, "_i", "_t", F.explode(F.array(
+        F.struct(F.lit(0).alias("hi"), F.col("_lo").alias("r")),
+        # upper neighbour; when t = 0 (always so at the last rank) it is the same row
+        F.struct(F.lit(1).alias("hi"), (F.col("_lo") + F.when(F.col("_t") > 0, 1).otherwise(0)).alias("r")),
+    )).alias("tr"))
+    tg = tg.select(key, "_i", "_t", "tr.hi", "tr.r")
+    picked = ranks.join(F.broadcast(tg), [key]).filter((F.col("_end") - F.col("_n") <= F.col("r")) & (F.col("r") < F.col("_end")))
+    ab = picked.groupBy(key, "_i", "_t").agg(
+        F.max(F.when(F.col("hi") == 0, F.col(value))).cast("double").alias("_a"),
+        F.max(F.when(F.col("hi") == 1, F.col(value))).cast("double").alias("_b"),
+    )
+    a, b, t = F.col("_a"), F.col("_b"), F.col("_t")
+    edge = F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
+    return ab.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_i"), edge.alias("e")))).alias("_es")).select(
+        key, F.transform("_es", lambda x: x["e"]).alias("edges")
+    )
 
 
 def assign_bins(df: DataFrame, value: str, num_bins: int, out: str, key: str = "model", approx: bool = False) -> DataFrame:
