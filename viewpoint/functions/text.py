@@ -50,10 +50,14 @@ CONTRACTION_SPLIT = (
 def word_tokens_of_normalized(norm) -> Column:
     """Word tokens of already-normalised text (only word characters and
     whitespace remain): the treebank contraction splits, then a whitespace
-    split. No lambdas: regex replace and split stay in generated code."""
-    spaced = F.regexp_replace(_c(norm), CONTRACTION_SPLIT, "$1 ")
-    t = F.regexp_replace(spaced, EDGE_WS, "")
-    return F.when(t == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(t, WS_RUN))
+    split without empty strings. No lambdas; the contraction regex only runs
+    on texts that contain one of the words."""
+    n = _c(norm)
+    has = None
+    for c in CONTRACTIONS:
+        has = F.contains(n, F.lit(c)) if has is None else has | F.contains(n, F.lit(c))
+    spaced = F.when(has, F.regexp_replace(n, CONTRACTION_SPLIT, "$1 ")).otherwise(n)
+    return F.array_remove(F.split(spaced, WS_RUN), "")
 
 
 def word_tokens(text) -> Column:
@@ -102,8 +106,8 @@ def char_set(norm) -> Column:
 def rouge_tokens(text) -> Column:
     """rouge-score default tokenizer, no stemming: lower, non [a-z0-9] runs to
     one space, split, no empty tokens (lambda-free)."""
-    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), ROUGE_NON_ALNUM, " "))
-    return F.when(spaced == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    spaced = F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), ROUGE_NON_ALNUM, " ")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def lexicon_tokens(text) -> Column:
