@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from viewpoint.operators.joins import bounded_broadcast
+from viewpoint.session import materialize as materialize_table
 from viewpoint.operators.reports import Z_DEFAULT, ci
 
 
@@ -60,7 +61,7 @@ def _ranked_edges(df: DataFrame, value: str, num_bins: int, key: str) -> DataFra
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     ranged = counts.repartitionByRange(nparts, key, value).select("*", F.spark_partition_id().alias("_pid"))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize_table(ranged, "ranks")
     part = ranged.groupBy(key, "_pid").agg(F.sum("_n").alias("_tot"))
     upto = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = part.select(
@@ -125,10 +126,10 @@ def binned_report(
     """Per (model, bin) over passages with ``pos < max_pos``: mean of each
     declared column and, with ``with_ci``, ``z * std / sqrt(count(col))``.
 
-    The facts are read twice (edges, then the report), so they are
-    checkpointed once to the session's checkpoint folder first."""
+    The facts are read twice (edges, then the report), so they are written
+    once to the session's shared checkpoint folder first."""
     if materialize:
-        facts = facts.checkpoint(eager=True)
+        facts = materialize_table(facts, "facts")
     binned = assign_bins(facts, value, num_bins, bin_col, approx=approx).filter(F.col("pos") < max_pos)
     aggs = [F.avg(c).alias(c) for c in columns]
     if with_ci:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewpoint.session import materialize as materialize_table
+
 # Dimension tables up to this many rows are broadcast (a lexicon of 1M terms
 # with three ints is ~40 MB); larger ones take the shuffle join.
 DEFAULT_BROADCAST_ROWS = 1_000_000
@@ -14,11 +16,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, mat
     """Return ``broadcast(df)`` when it has at most ``max_rows`` rows, else
     ``df`` unchanged so the planner uses a shuffle join.
 
-    With ``materialize`` the table is checkpointed first (to the session's
-    ``spark.checkpoint.dir``), so the size check and the join read it once and
-    a lost executor does not recompute its lineage.
+    With ``materialize`` the table is first written to the session's shared
+    ``spark.checkpoint.dir`` (see :func:`viewpoint.session.materialize`), so
+    the size check and the join read it once and a lost executor does not
+    recompute its lineage.
     """
     if materialize:
-        df = df.checkpoint(eager=True)
+        df = materialize_table(df, "dim")
     small = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df

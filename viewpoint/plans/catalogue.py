@@ -24,7 +24,7 @@ from viewpoint.operators import lexicon as LX
 from viewpoint.operators import passages as P
 from viewpoint.operators import prompts as PR
 from viewpoint.operators import reports as RP
-from viewpoint.session import spread
+from viewpoint.session import materialize, spread
 from viewpoint.sources import fixtures as FX
 
 EXPS = FX.PRED_COLS
@@ -72,8 +72,8 @@ def all_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface-token lookup of the fixture lexicon and lemmas. The vocabulary
-    feeds both and the lemma self-join, so it is checkpointed once."""
-    vocab = FX.vocabulary(spark, sf_dir).checkpoint(eager=True)
+    feeds both and the lemma self-join, so it is materialised once."""
+    vocab = materialize(FX.vocabulary(spark, sf_dir), "vocab")
     return LX.surface_lookup(FX.lexicon(spark, sf_dir, vocab), FX.lemmas(spark, sf_dir, vocab))
 
 
@@ -378,7 +378,7 @@ def pad_segments(spark, sf_dir):
 def plot_series(spark, sf_dir):
     """Figure data: position and length-percentile series of the mean
     left/right extraction with +/- CI bands, model labels and order."""
-    f = facts(spark, sf_dir).checkpoint(eager=True)
+    f = materialize(facts(spark, sf_dir), "facts")
     pos = RP.position_report(f).select(
         "model", F.lit("position").alias("series"), F.col("pos").alias("x"), "mpl_ext", "mpr_ext", "mpl_ext_std", "mpr_ext_std"
     )

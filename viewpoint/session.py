@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= min(target, spark.sparkContext.defaultParallelism):
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by writing ``df`` as Parquet into the shared checkpoint
+    folder and reading it back (a lost executor then re-reads files instead
+    of recomputing the plan). Columnar and compressed, so cheaper than an RDD
+    checkpoint of serialized rows."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
