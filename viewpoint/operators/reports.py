@@ -84,13 +84,24 @@ def metric_summary(
     return scores.groupBy(*keys).agg(*aggs)
 
 
-def doc_coverage(preds: DataFrame, left_col: str = "mp_left_pred", right_col: str = "mp_right_pred") -> DataFrame:
+def doc_coverage(
+    preds: DataFrame, topics: DataFrame, left_col: str = "mp_left_pred", right_col: str = "mp_right_pred"
+) -> DataFrame:
     """Per model: mean coverage of the whole left / right summaries by the
-    whole ``alt_op`` and their average."""
-    cov = preds.select(
+    whole ``alt_op`` and their average.
+
+    The document's token set is built once per topic and joined on
+    ``row_id`` (co-partitioned with the predictions), not once per model row.
+    """
+    doc = topics.select("row_id", F.array_distinct(T.word_tokens("alt_op")).alias("_doc"))
+    summ = preds.select(
         "model",
-        C.ext_cov(F.col("alt_op"), F.col(left_col)).alias("l"),
-        C.ext_cov(F.col("alt_op"), F.col(right_col)).alias("r"),
+        "row_id",
+        F.array_distinct(T.word_tokens(left_col)).alias("_l"),
+        F.array_distinct(T.word_tokens(right_col)).alias("_r"),
+    )
+    cov = summ.join(doc, "row_id").select(
+        "model", C.coverage(F.col("_l"), F.col("_doc")).alias("l"), C.coverage(F.col("_r"), F.col("_doc")).alias("r")
     )
     return cov.groupBy("model").agg(F.avg("l").alias("left_cov"), F.avg("r").alias("right_cov")).select(
         "model", "left_cov", "right_cov", (F.col("left_cov") / 2 + F.col("right_cov") / 2).alias("avg_cov")

@@ -141,7 +141,8 @@ def _with_ref(spark, sf_dir):
 
 
 def doc_coverage_by_model(spark, sf_dir):
-    return _out(RP.doc_coverage(_with_ref(spark, sf_dir)))
+    preds = _with_ref(spark, sf_dir).select("model", "row_id", "mp_left_pred", "mp_right_pred")
+    return _out(RP.doc_coverage(preds, FX.topics(spark, sf_dir)))
 
 
 def summary_length_by_model(spark, sf_dir):
