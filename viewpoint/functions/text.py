@@ -51,6 +51,17 @@ def word_tokens_of_normalized(norm) -> Column:
     )
 
 
+def raw_tokens(text) -> Column:
+    """Whitespace tokens of normalised text, before contraction splits."""
+    return F.array_remove(F.split(normalize(text), WS_RUN), "")
+
+
+def contraction_parts(tok) -> Column:
+    """One token -> its treebank pieces (two for a contraction, else itself)."""
+    t = _c(tok)
+    return F.when(t.isin(*CONTRACTIONS), F.array(F.substring(t, 1, 3), F.substring(t, 4, 1 << 20))).otherwise(F.array(t))
+
+
 def word_tokens(text) -> Column:
     """Tokens of ``word_tokenize(normalize(text))``."""
     return word_tokens_of_normalized(normalize(text))

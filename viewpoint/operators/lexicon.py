@@ -58,7 +58,7 @@ def token_stats(df: DataFrame, keys: list[str], text_col: str, lookup: DataFrame
     keys (topics partitioned by ``row_id``), the aggregate needs no shuffle.
     """
     lk = bounded_broadcast(lookup)
-    occ = df.select(*keys, F.explode_outer(T.lexicon_tokens(text_col)).alias("token"))
+    occ = explode_lexicon_tokens(df, keys, text_col, outer=True)
     hits = occ.join(lk, "token", "left")
     pol = F.col("v").isNotNull() & polar(F.col("v"), strict)
     return hits.groupBy(*keys).agg(
@@ -68,6 +68,18 @@ def token_stats(df: DataFrame, keys: list[str], text_col: str, lookup: DataFrame
     )
 
 
+def explode_lexicon_tokens(df: DataFrame, keep: list[str], text_col: str, outer: bool = False) -> DataFrame:
+    """(keep..., token): one row per lexicon token occurrence, in source order.
+
+    Two plain explodes - whitespace tokens, then contraction pieces - keep
+    the per-token work in generated code (no per-token lambda)."""
+    gen = F.explode_outer if outer else F.explode
+    text = F.replace(F.col(text_col), F.lit("U.S."), F.lit("USA"))
+    raw = df.select(*keep, gen(T.raw_tokens(text)).alias("_raw"))
+    pieces = F.when(F.col("_raw").isNull(), F.array(F.lit(None).cast("string"))).otherwise(T.contraction_parts("_raw"))
+    return raw.select(*keep, F.explode(pieces).alias("token"))
+
+
 def mean_arousal(num_pol: Column, sum_a: Column) -> Column:
     """Mean arousal of polar tokens on the 0..1 scale, 0 when there are none."""
     return F.when(num_pol > 0, sum_a / (num_pol * F.lit(1000.0))).otherwise(F.lit(0.0))

@@ -84,7 +84,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lexicon-normalised tokens of all documents (whole texts)."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return docs.select(F.explode(T.lexicon_tokens("text")).alias("token")).distinct()
+    from viewpoint.operators.lexicon import explode_lexicon_tokens
+
+    return explode_lexicon_tokens(docs, [], "text").distinct()
 
 
 def _hex_int(md5col, start: int):
