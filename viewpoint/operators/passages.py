@@ -21,15 +21,16 @@ SUMMARY_SOURCES = {"spl": "sp_left_pred", "spr": "sp_right_pred", "mpl": "mp_lef
 
 
 def explode_passages(topics: DataFrame) -> DataFrame:
-    """(row_id, pos, op, side, length): ``alt_op.split('\\n')`` with 0-based
-    positions (empty passages kept), side of each passage, ``len(re.split)``."""
-    base = topics.select(
-        "row_id",
-        T.normalize("left_op").alias("_nl"),
-        T.normalize("right_op").alias("_nr"),
-        F.posexplode(F.split(F.coalesce(F.col("alt_op"), F.lit("")), "\n")).alias("pos", "op"),
-    )
-    return base.select(
+    """(row_id, pos, op, side, length): ``alt_op.split('\n')`` with 0-based
+    positions (empty passages kept), side of each passage, ``len(re.split)``.
+
+    The normalised left/right texts are computed once per topic and joined
+    back on ``row_id`` (co-partitioned: no shuffle). Referencing them from a
+    per-passage lambda instead would let the optimizer inline the whole-text
+    normalisation into every passage."""
+    p = topics.select("row_id", F.posexplode(F.split(F.coalesce(F.col("alt_op"), F.lit("")), "\n")).alias("pos", "op"))
+    txt = topics.select("row_id", T.normalize("left_op").alias("_nl"), T.normalize("right_op").alias("_nr"))
+    return p.join(txt, "row_id").select(
         "row_id",
         "pos",
         "op",
@@ -44,34 +45,20 @@ def lead_side(topics: DataFrame) -> DataFrame:
 
 
 def topic_passages(topics: DataFrame) -> DataFrame:
-    """Per topic, aligned per-passage arrays plus both ignore sets:
-    ``_toks`` token sets, ``_sides`` side labels, ``_lens`` lengths.
+    """Per topic: ``_toks`` (token set of each passage, in order) and both
+    ignore sets.
 
     ``ign_coded``: characters of passage 0 (normalised, not tokenised) union
     the tokens of passages 1..n, as the reference computes it.
     ``ign_shared``: tokens present in every passage (the stated intent).
-    Everything here is model-independent and computed once per topic; the
-    long source texts are dropped before any join.
     """
     ops = F.split(F.coalesce(F.col("alt_op"), F.lit("")), "\n")
-    t = topics.select(
-        "row_id",
-        T.normalize("left_op").alias("_nl"),
-        T.normalize("right_op").alias("_nr"),
-        ops.alias("_ops"),
-    )
-    t = t.select(
-        "row_id",
-        "_ops",
-        F.transform("_ops", lambda op: F.array_distinct(T.word_tokens(op))).alias("_toks"),
-        F.transform("_ops", lambda op: T.side_of(op, F.col("_nl"), F.col("_nr"))).alias("_sides"),
-        F.transform("_ops", lambda op: T.passage_length(op)).alias("_lens"),
+    t = topics.select("row_id", ops.alias("_ops")).select(
+        "row_id", "_ops", F.transform("_ops", lambda op: F.array_distinct(T.word_tokens(op))).alias("_toks")
     )
     return t.select(
         "row_id",
         "_toks",
-        "_sides",
-        "_lens",
         C.ignore_as_coded(F.col("_ops"), F.col("_toks")).alias("ign_coded"),
         C.ignore_shared(F.col("_toks")).alias("ign_shared"),
     )
@@ -90,20 +77,35 @@ def summary_sets(preds: DataFrame, reference: bool = False) -> DataFrame:
     )
 
 
-def arousal_by_passage(passages: DataFrame, lookup: DataFrame) -> DataFrame:
-    """(row_id, pos, num_arous, perc_arous, arous_score): notebook arousal
-    features with inclusive polar bounds (``length`` rides along as a key: it
-    is a function of the passage)."""
-    s = LX.token_stats(passages.select("row_id", "pos", "op", "length"), ["row_id", "pos", "length"], "op", lookup, strict=False)
+def arousal_by_passage(passages: DataFrame, lookup: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, pos, extra..., num_arous, perc_arous, arous_score): notebook
+    arousal features with inclusive polar bounds. ``length`` and ``extra``
+    columns ride along as keys (they are functions of the passage)."""
+    keys = ["row_id", "pos", "length", *extra]
+    s = LX.token_stats(passages.select(*keys, "op"), keys, "op", lookup, strict=False)
     return s.select(
         "row_id",
         "pos",
+        *extra,
         F.col("num_arous"),
         (F.col("num_arous") / F.col("length")).alias("perc_arous"),
         LX.mean_arousal(F.col("num_pol"), F.col("sum_a")).alias("arous_score"),
     )
 
 
+def passage_info(topics: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+    """(row_id, _info): per topic, the array (ordered by position) of each
+    passage's side, length and - with a lexicon - arousal features. Built
+    from the exploded passages and gathered per topic without a shuffle when
+    topics are partitioned by ``row_id``."""
+    p = explode_passages(topics)
+    fields = ["pos", "side", "length"]
+    if lookup is not None:
+        p = arousal_by_passage(p, lookup, extra=("side", "length"))
+        fields += ["num_arous", "perc_arous", "arous_score"]
+    return p.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_info"))
+
+
 def extraction_facts(
     topics: DataFrame,
     summaries: DataFrame,
@@ -115,52 +117,38 @@ def extraction_facts(
 
     ``summaries`` comes from :func:`summary_sets` (models and/or reference).
     ``unique_mode`` picks the ignore set of the ``_unq`` columns
-    ('as_coded' or 'shared'). With a lexicon ``lookup`` the per-passage
-    arousal features are computed once per topic and gathered back into one
-    array per topic (no shuffle when topics are partitioned by ``row_id``)
-    before the model join, so the passage explode stays the last step.
+    ('as_coded' or 'shared'). All model-independent work (token sets, ignore
+    sets, sides, lengths, arousal) is done once per topic; the model join is
+    on ``row_id`` and the passage explode is the last step, each exploded row
+    carrying only its own passage.
     """
     if unique_mode not in ("as_coded", "shared"):
         raise ValueError("unique_mode must be 'as_coded' or 'shared'")
     ign = "ign_coded" if unique_mode == "as_coded" else "ign_shared"
-    tp = topic_passages(topics)
-    if lookup is not None:
-        ar = arousal_by_passage(explode_passages(topics), lookup)
-        ar_t = ar.groupBy("row_id").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "num_arous", "perc_arous", "arous_score"))).alias("_ar")
-        )
-        tp = tp.join(ar_t, "row_id", "left")
+    tp = topic_passages(topics).join(passage_info(topics, lookup), "row_id")
     j = summaries.join(tp, "row_id")
     # Summary token sets minus the topic's ignore set, once per (model, topic).
     j = j.select(
         "model",
         "row_id",
         "_toks",
-        "_sides",
-        "_lens",
-        *(["_ar"] if lookup is not None else []),
+        "_info",
         *SUMMARY_KEYS,
         *[F.array_except(F.col(k), F.col(ign)).alias(k + "_u") for k in SUMMARY_KEYS],
     )
-    # Everything per passage travels inside one zipped array, so an exploded
-    # row carries only its own passage (never the topic's full arrays).
-    fields = [F.col("_toks").alias("toks"), F.col("_sides").alias("side"), F.col("_lens").alias("length")]
-    if lookup is not None:
-        fields.append(F.col("_ar").alias("ar"))
-    zipped = F.arrays_zip(*fields)
+    zipped = F.arrays_zip(F.col("_toks").alias("toks"), F.col("_info").alias("info"))
     rows = j.select("model", "row_id", *SUMMARY_KEYS, *[k + "_u" for k in SUMMARY_KEYS], F.posexplode(zipped).alias("pos", "p"))
     cols = [
         "model",
         "row_id",
         F.col("pos").cast("bigint").alias("pos"),
-        F.col("p.side").alias("side"),
-        F.col("p.length").cast("bigint").alias("length"),
+        F.col("p.info.side").alias("side"),
+        F.col("p.info.length").cast("bigint").alias("length"),
         *[C.coverage(F.col(k), F.col("p.toks")).alias(f"{k}_ext") for k in SUMMARY_KEYS],
         # The summary set already excludes the ignore set, so intersecting with
         # the whole passage set equals intersecting with (passage - ignore).
         *[C.coverage(F.col(k + "_u"), F.col("p.toks")).alias(f"{k}_ext_unq") for k in SUMMARY_KEYS],
     ]
     if lookup is not None:
-        a = F.col("p.ar")
-        cols += [a["num_arous"].alias("num_arous"), a["perc_arous"].alias("perc_arous"), a["arous_score"].alias("arous_score")]
+        cols += [F.col(f"p.info.{c}").alias(c) for c in ("num_arous", "perc_arous", "arous_score")]
     return rows.select(*cols)
