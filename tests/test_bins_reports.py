@@ -15,8 +15,9 @@ def test_bins_match_numpy_percentile(spark):
     got = {r["i"]: r["b"] for r in B.assign_bins(df, "x", 10, "b").collect()}
     edges, expect = pyref.bins(vals, 10)
     assert [got[i] for i in range(len(vals))] == expect
-    e = B.percentile_edges(df, "x", 10).first()["edges"]
-    assert all(abs(a - b) < 1e-12 for a, b in zip(e, edges))
+    for method in ("auto", "aggregate", "ranked"):
+        e = B.percentile_edges(df, "x", 10, method=method).first()["edges"]
+        assert all(abs(a - b) < 1e-12 for a, b in zip(e, edges)), method
 
 
 def test_bins_monotone_and_complete(spark):

@@ -21,32 +21,50 @@ def _pct_array(num_bins: int) -> str:
     return "array(" + ", ".join(f"CAST({i / num_bins!r} AS DOUBLE)" for i in range(1, num_bins + 1)) + ")"
 
 
+# A key with at most this many distinct values is merged in one task by the
+# exact ``percentile`` aggregate (a value -> count map of bounded size).
+MAX_DISTINCT_PER_KEY = 1_000_000
+
+
 def percentile_edges(
-    df: DataFrame, value: str, num_bins: int, key: str = "model", method: str = "ranked", approx: bool = False
+    df: DataFrame,
+    value: str,
+    num_bins: int,
+    key: str = "model",
+    method: str = "auto",
+    approx: bool = False,
+    max_distinct: int = MAX_DISTINCT_PER_KEY,
 ) -> DataFrame:
-    """(key, edges): percentiles at i/num_bins, i = 1..num_bins.
-
-    ``method``:
-    * 'ranked' (default, exact, skew-proof): see :func:`_ranked_edges`.
-    * 'aggregate' (exact): ``percentile`` over per-(key, value) counts; the
-      final merge of one key holds all its distinct values in one task.
-    * ``approx=True``: ``percentile_approx`` (bounded sketch, not exact).
+    """(key, edges): exact percentiles at i/num_bins, i = 1..num_bins, with
+    numpy's linear interpolation.
+
+    Rows are first counted per (key, value) - partial aggregation, so a hot
+    key costs one row per distinct value. ``method``:
+    * 'auto': measure the widest key (distinct values); under
+      ``max_distinct`` use 'aggregate', else 'ranked';
+    * 'aggregate': exact ``percentile`` over the counts (one key's distinct
+      values are merged in one task - bounded by the check in 'auto');
+    * 'ranked': range-partitioned global ranks, skew-proof for any size.
+    ``approx=True`` uses ``percentile_approx`` (bounded sketch, not exact).
     """
+    pcts = _pct_array(num_bins)
     if approx:
-        pcts = _pct_array(num_bins)
         return df.groupBy(key).agg(F.expr(f"percentile_approx({value}, {pcts}, 100000)").cast("array<double>").alias("edges"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    if method == "auto":
+        counts = materialize_table(counts, "value_counts")
+        widest = counts.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        method = "aggregate" if widest <= max_distinct else "ranked"
     if method == "aggregate":
-        pcts = _pct_array(num_bins)
-        counted = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-        return counted.groupBy(key).agg(F.expr(f"percentile({value}, {pcts}, _n)").alias("edges"))
-    return _ranked_edges(df, value, num_bins, key)
+        return counts.groupBy(key).agg(F.expr(f"percentile({value}, {pcts}, _n)").alias("edges"))
+    return _ranked_edges(counts, value, num_bins, key)
 
 
-def _ranked_edges(df: DataFrame, value: str, num_bins: int, key: str) -> DataFrame:
+def _ranked_edges(counts: DataFrame, value: str, num_bins: int, key: str) -> DataFrame:
     """Exact linear-interpolation percentiles without gathering a key's
     values in one task.
 
-    1. count rows per (key, value) (partial aggregation);
+    1. input: rows counted per (key, value) (``_n``);
     2. range-partition those counts by (key, value): a hot key's values are
        split over many partitions; checkpoint (reused twice below);
     3. per (partition, key) totals -> cumulative offsets and N per key: a small
@@ -57,9 +75,8 @@ def _ranked_edges(df: DataFrame, value: str, num_bins: int, key: str) -> DataFra
        join to the 2 * num_bins target ranks per key, and interpolated as
        numpy does (a + (b - a) t, or b - (b - a)(1 - t) when t >= 0.5).
     """
-    spark = df.sparkSession
+    spark = counts.sparkSession
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     ranged = counts.repartitionByRange(nparts, key, value).select("*", F.spark_partition_id().alias("_pid"))
     ranged = materialize_table(ranged, "ranks")
     part = ranged.groupBy(key, "_pid").agg(F.sum("_n").alias("_tot"))
