@@ -48,8 +48,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     than cores (e.g. one parquet row group). Large inputs already have many
     splits and are left alone, so this never adds a shuffle at scale."""
     spark = df.sparkSession
-    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() >= min(target, spark.sparkContext.defaultParallelism):
+    cores = spark.sparkContext.defaultParallelism
+    target = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
+    if df.rdd.getNumPartitions() >= min(target, cores):
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
