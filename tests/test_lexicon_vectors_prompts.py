@@ -129,3 +129,14 @@ def test_apply_scorer_hook(spark):
 
     df = spark.createDataFrame([("ab", "abcd")], "p string, r string")
     assert E.apply_scorer(df, factory, ["p", "r"], "s").first()["s"] == 0.5
+
+
+def test_assemble_predictions_missing_is_error(spark):
+    req = spark.createDataFrame([("m0", 1, "mp_left_pred"), ("m0", 2, "mp_left_pred"), ("m0", 3, "mp_left_pred")], "model string, row_id long, exp string")
+    good = json.dumps({"choices": [{"message": {"content": "The left."}}]})
+    resp = spark.createDataFrame(
+        [("m0", 1, "mp_left_pred", "oops", 1), ("m0", 1, "mp_left_pred", good, 2), ("m0", 2, "mp_left_pred", "oops", 1)],
+        "model string, row_id long, exp string, raw string, received long",
+    )
+    got = {r["row_id"]: (r["pred"], r["is_error"]) for r in PR.assemble_predictions(req, resp).collect()}
+    assert got == {1: ("The left.", False), 2: ("Error", True), 3: ("Error", True)}

@@ -148,3 +148,22 @@ def _py_slice(text: Column, start: Column, end: Column) -> Column:
     """Python ``text[start:end]`` for 0 <= start, end measured from the left
     (negative ends already resolved by the caller)."""
     return text.substr(start + 1, F.greatest(end - start, F.lit(0)))
+
+
+def assemble_predictions(requests: DataFrame, responses: DataFrame, keys: tuple[str, ...] = ("model", "row_id", "exp")) -> DataFrame:
+    """Prediction table from the request rows and the response table: one row
+    per request with the parsed text; a request without a response (or with
+    an unparseable one) gets 'Error', flagged by ``is_error``. Equi-join on
+    the request key; duplicate responses keep the last by ``received`` when
+    present."""
+    r = responses
+    if "received" in r.columns:
+        r = r.groupBy(*keys).agg(F.max_by("raw", "received").alias("raw"))
+    parsed = r.select(*keys, F.get_json_object("raw", "$.choices[0].message.content").alias("_c"), F.col("raw").alias("raw_response"))
+    out = requests.join(parsed, list(keys), "left")
+    return out.select(
+        *requests.columns,
+        F.coalesce(F.col("_c"), F.lit("Error")).alias("pred"),
+        F.col("_c").isNull().alias("is_error"),
+        "raw_response",
+    )

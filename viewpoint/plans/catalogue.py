@@ -403,7 +403,8 @@ def plot_series(spark, sf_dir):
             "model string, label string, ord int",
         )
     )
-    return _out(s.join(labels, "model", "left"))
+    # presentation order (the reference's groupby output is key-sorted)
+    return _out(s.join(labels, "model", "left")).orderBy("ord", "series", "x")
 
 
 def _length_ratio_factory():
