@@ -30,7 +30,7 @@ def explode_passages(topics: DataFrame) -> DataFrame:
     normalisation into every passage."""
     p = topics.select("row_id", F.posexplode(F.split(F.coalesce(F.col("alt_op"), F.lit("")), "\n")).alias("pos", "op"))
     txt = topics.select("row_id", T.normalize("left_op").alias("_nl"), T.normalize("right_op").alias("_nr"))
-    return p.join(txt, "row_id").select(
+    return p.join(txt.hint("merge"), "row_id").select(
         "row_id",
         "pos",
         "op",
@@ -125,8 +125,10 @@ def extraction_facts(
     if unique_mode not in ("as_coded", "shared"):
         raise ValueError("unique_mode must be 'as_coded' or 'shared'")
     ign = "ign_coded" if unique_mode == "as_coded" else "ign_shared"
-    tp = topic_passages(topics).join(passage_info(topics, lookup), "row_id")
-    j = summaries.join(tp, "row_id")
+    # Both joins are on row_id between tables partitioned by row_id: merge
+    # joins without an exchange (never a broadcast of per-topic data).
+    tp = topic_passages(topics).join(passage_info(topics, lookup).hint("merge"), "row_id")
+    j = summaries.join(tp.hint("merge"), "row_id")
     # Summary token sets minus the topic's ignore set, once per (model, topic).
     j = j.select(
         "model",

@@ -40,23 +40,26 @@ def position_report(facts: DataFrame, positions: int = 10, z: float = Z_DEFAULT)
             F.count(F.when(right, 1)).alias("mpr_count"),
         )
     )
-    # Scaffold of all positions for every model seen (small: models x positions).
-    scaffold = agg.select("model").distinct().select(
-        "model", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(positions - 1).cast("bigint"))).alias("pos")
+    # Every position 0..positions-1 for every model: the (at most `positions`)
+    # cells of a model are gathered into a map and the positions generated
+    # from it - no self-join, so the facts are computed once.
+    cells = agg.groupBy("model").agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", F.struct(*STAT_COLS)))).alias("_m")
     )
-    out = scaffold.join(agg, ["model", "pos"], "left")
-    return out.select(
+    grid = cells.select("model", "_m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(positions - 1).cast("bigint"))).alias("pos"))
+    cell = F.element_at(F.col("_m"), F.col("pos"))
+    return grid.select(
         "model",
         "pos",
-        "mpl_ext",
-        "mpr_ext",
-        "mpl_ext_std",
-        "mpr_ext_std",
-        F.coalesce("mpl_count", F.lit(0)).cast("bigint").alias("mpl_count"),
-        F.coalesce("mpr_count", F.lit(0)).cast("bigint").alias("mpr_count"),
+        *[cell[c].alias(c) for c in ("mpl_ext", "mpr_ext", "mpl_ext_std", "mpr_ext_std")],
+        F.coalesce(cell["mpl_count"], F.lit(0)).cast("bigint").alias("mpl_count"),
+        F.coalesce(cell["mpr_count"], F.lit(0)).cast("bigint").alias("mpr_count"),
     )
 
 
+STAT_COLS = ["mpl_ext", "mpr_ext", "mpl_ext_std", "mpr_ext_std", "mpl_count", "mpr_count"]
+
+
 def side_report(facts: DataFrame, head: int = 4, n_head: int = 5, z: float = Z_DEFAULT) -> DataFrame:
     """Per model: summary side x passage side means over ``pos < head``; the CI
     uses the std of that subset but n from ``pos < n_head`` (as the reference)."""
@@ -100,7 +103,7 @@ def doc_coverage(
         F.array_distinct(T.word_tokens(left_col)).alias("_l"),
         F.array_distinct(T.word_tokens(right_col)).alias("_r"),
     )
-    cov = summ.join(doc, "row_id").select(
+    cov = summ.join(doc.hint("merge"), "row_id").select(
         "model", C.coverage(F.col("_l"), F.col("_doc")).alias("l"), C.coverage(F.col("_r"), F.col("_doc")).alias("r")
     )
     return cov.groupBy("model").agg(F.avg("l").alias("left_cov"), F.avg("r").alias("right_cov")).select(

@@ -107,7 +107,7 @@ def first_sentence(spark, sf_dir):
 def passage_side(spark, sf_dir):
     t = FX.topics(spark, sf_dir)
     p = P.explode_passages(t).select("row_id", "pos", "side")
-    return _out(p.join(P.lead_side(t), "row_id"))
+    return _out(p.join(P.lead_side(t).hint("merge"), "row_id"))
 
 
 def passage_coverage(spark, sf_dir):
@@ -192,7 +192,7 @@ def intensity_gap(spark, sf_dir):
     pred_int = LX.intensity(lp, ["model", "row_id", "exp"], "p", lk, out="pred_int").drop("p")
     t = FX.topics(spark, sf_dir).select("row_id", "alt_op")
     src_int = LX.intensity(t, ["row_id"], "alt_op", lk, out="src_int").drop("alt_op")
-    g = pred_int.join(src_int, "row_id")
+    g = pred_int.join(src_int.hint("merge"), "row_id")
     return _out(g.withColumn("intens", F.pow(F.col("pred_int") - F.col("src_int"), 2)))
 
 
