@@ -43,13 +43,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def partition_target(spark: SparkSession) -> int:
+    """Partition count for key partitioning: the session's shuffle partitions,
+    at most four per core of the cluster."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def partition_by(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a central table by its key once. Every later join or
+    aggregation on that key (or on a key that starts with it) then runs
+    without another exchange; the one shuffle is of the raw input."""
+    return df.repartition(partition_target(df.sparkSession), key)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a thin input by its row key when it has fewer partitions
     than cores (e.g. one parquet row group). Large inputs already have many
     splits and are left alone, so this never adds a shuffle at scale."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    target = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
+    target = partition_target(spark)
     if df.rdd.getNumPartitions() >= min(target, cores):
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewpoint.functions import text as T
-from viewpoint.session import spread
+from viewpoint.session import partition_by, spread
 
 # Fixture model ids and the experiments of one prediction row.
 N_MODELS = 3
@@ -38,7 +38,9 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     0,2,6,8,... form ``left_op``, 1,3,5,7,... ``right_op`` (every fifth line is
     on no side); the reference summaries are the first 20 words of each side."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    docs = spread(docs, "row_id")
+    # The topic table is partitioned by row_id once; all per-topic joins and
+    # aggregations downstream reuse that partitioning.
+    docs = partition_by(docs, "row_id")
     lines = F.split(F.col("text"), "\n")
     base = docs.select(
         "row_id",
