@@ -1,0 +1,20 @@
+from viewpoint.operators.joins import bounded_broadcast
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounded_broadcast_switches_on_row_bound(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = spark.range(1000).withColumnRenamed("id", "k")
+        dim = spark.range(50).withColumnRenamed("id", "k")
+        small_join = big.join(bounded_broadcast(dim, max_rows=100), "k")
+        large_join = big.join(bounded_broadcast(dim, max_rows=10), "k")
+        assert "BroadcastHashJoin" in _plan(small_join)
+        assert "BroadcastHashJoin" not in _plan(large_join)
+        assert small_join.count() == large_join.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -123,7 +123,9 @@ def assign_bins(df: DataFrame, value: str, num_bins: int, out: str, key: str = "
     row-count check; a join on the low-cardinality key must never shuffle the
     facts by that key. Pass a materialised ``df`` (see :func:`binned_report`).
     """
-    edges = bounded_broadcast(percentile_edges(df, value, num_bins, key, approx), max_rows=100_000)
+    # The edges are a small aggregate over materialised counts: checked, not
+    # written again.
+    edges = bounded_broadcast(percentile_edges(df, value, num_bins, key, approx=approx), max_rows=100_000, materialize=False)
     v = F.col(value)
     return df.join(edges, key).withColumn(out, F.size(F.filter("edges", lambda e: e < v)).cast("bigint")).drop("edges")
 
