@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests import pyref
 from viewpoint.operators import bins as B

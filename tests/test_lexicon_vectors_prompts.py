@@ -122,7 +122,6 @@ def test_greedy_match_and_matrix_reduce(spark):
 
 
 def test_apply_scorer_hook(spark):
-    import pandas as pd
 
     def factory():
         return lambda a, b: a.str.len() / b.str.len()
