@@ -104,7 +104,9 @@ def _ranked_edges(counts: DataFrame, value: str, num_bins: int, key: str) -> Dat
         F.struct(F.lit(1).alias("hi"), (F.col("_lo") + F.when(F.col("_t") > 0, 1).otherwise(0)).alias("r")),
     )).alias("tr"))
     tg = tg.select(key, "_i", "_t", "tr.hi", "tr.r")
-    picked = ranks.join(F.broadcast(tg), [key]).filter((F.col("_end") - F.col("_n") <= F.col("r")) & (F.col("r") < F.col("_end")))
+    # targets: 2 * num_bins rows per key of the (size-checked) offsets table
+    tg = bounded_broadcast(tg, max_rows=1_000_000, materialize=False)
+    picked = ranks.join(tg, [key]).filter((F.col("_end") - F.col("_n") <= F.col("r")) & (F.col("r") < F.col("_end")))
     ab = picked.groupBy(key, "_i", "_t").agg(
         F.max(F.when(F.col("hi") == 0, F.col(value))).cast("double").alias("_a"),
         F.max(F.when(F.col("hi") == 1, F.col(value))).cast("double").alias("_b"),
