@@ -29,18 +29,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a scratch folder is created.
+    is. Only when it is unset (local tests) one scratch folder per application
+    is created and registered.
     """
     sc = spark.sparkContext
-    current = sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="viewpoint-ckpt-")
-    sc.setCheckpointDir(current)
-    return current
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if current:
+        if _LOCAL_DIRS.get(sc.applicationId) != current:
+            sc.setCheckpointDir(current)
+            _LOCAL_DIRS[sc.applicationId] = current
+        return current
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="viewpoint-ckpt-")
+        sc.setCheckpointDir(_LOCAL_DIRS[sc.applicationId])
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def partition_target(spark: SparkSession) -> int:
