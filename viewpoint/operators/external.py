@@ -29,7 +29,7 @@ def score_checks(scores: DataFrame, rows: DataFrame, keys: list[str] = KEYS, lo:
         .count()
         .agg(F.lit("duplicates").alias("check"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("n"))
     )
-    unknown = scores.join(rows.select(*keys), keys, "left_anti").agg(
+    unknown = scores.join(rows.select(*keys).hint("merge"), keys, "left_anti").agg(
         F.lit("unknown_keys").alias("check"), F.count(F.lit(1)).alias("n")
     )
     counts = scores.agg(
@@ -47,7 +47,7 @@ def attach_scores(rows: DataFrame, scores: DataFrame, metrics: list[str], keys:
     order column when present, else the max score."""
     order = "ingest_order" if "ingest_order" in scores.columns else "score"
     wide = scores.filter(F.col("metric").isin(metrics)).groupBy(*keys).pivot("metric", metrics).agg(F.max_by("score", order))
-    return rows.join(wide, keys, "left")
+    return rows.join(wide.hint("merge"), keys, "left")
 
 
 def greedy_match(vectors: DataFrame, key: str = "pair_id") -> DataFrame:

@@ -249,7 +249,8 @@ def external_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     'bleurt' score per prediction of every labelled document; unlabelled
     documents have no score (missing rows)."""
     p = long_predictions(spark, sf_dir)
-    labelled = p.join(FX.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id")).distinct(), "row_id", "left_semi")
+    labels = FX.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id")).distinct()
+    labelled = p.join(labels.hint("merge"), "row_id", "left_semi")
     m = F.substring("model", 2, 10).cast("int")
     return labelled.select(
         "model", "row_id", "exp", F.lit("bleurt").alias("metric"), (((F.col("row_id") * 31 + m * 7) % 101) / 100.0).alias("score")
@@ -329,7 +330,7 @@ def response_parse(spark, sf_dir):
 def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded local-model outputs per family: m0/m1 echo the family's chat
     markers around the title and summary, m2 returns bare text."""
-    p = long_predictions(spark, sf_dir).join(FX.topics(spark, sf_dir).select("row_id", "title"), "row_id")
+    p = long_predictions(spark, sf_dir).join(FX.topics(spark, sf_dir).select("row_id", "title").hint("merge"), "row_id")
     fam = F.explode(F.array(*[F.lit(x) for x in ("mistral", "vicuna", "llama", "mixtral")])).alias("family")
     p = p.select("model", "row_id", "exp", "pred", "title", fam)
     bare = F.col("model") == "m2"

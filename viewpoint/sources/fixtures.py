@@ -125,7 +125,7 @@ def rouge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation turn (prediction) against the previous turn (reference)."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     prev = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("ref"))
-    return conv.join(prev, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("pred"), "ref")
+    return conv.join(prev.hint("merge"), ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("pred"), "ref")
 
 
 def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
