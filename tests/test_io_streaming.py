@@ -72,3 +72,18 @@ def test_stream_ingest_idempotent(spark):
     q.awaitTermination(120)
     got = sorted((r["row_id"], r["pred"], r["is_error"]) for r in S.latest(spark, out).collect())
     assert got == [(1, "The left.", False), (2, "Error", True)]
+
+
+def test_row_metrics_summary_and_raw_response_sinks(spark):
+    d = _tmp()
+    rows = spark.createDataFrame([("m0", 1, "mp_left_pred", 0.5), ("m1", 1, "mp_left_pred", 0.25)], "model string, row_id long, exp string, rouge1 double")
+    io.write_row_metrics(rows, os.path.join(d, "rm"), full=True)
+    back = spark.read.parquet(os.path.join(d, "rm"))
+    assert sorted(r["model"] for r in back.collect()) == ["m0", "m1"] and back.first()["full_pred"] is True
+    summ = spark.createDataFrame([("m0", "mp_left_pred", 50.0, 1.5)], "model string, exp string, rouge1 double, rouge1_ci double")
+    io.write_summary(summ, os.path.join(d, "summary"))
+    got = io.read_summary(spark, os.path.join(d, "summary"), ["rouge1"]).first()
+    assert (got["model"], got["rouge1"], got["rouge1_ci"]) == ("m0", 50.0, 1.5)
+    raw = spark.createDataFrame([('{"choices":[{"message":{"content":"x"}}]}',), ("oops",)], "raw string")
+    out = [(r["pred"], r["raw_response"]) for r in io.with_raw_response(raw).collect()]
+    assert out == [("x", '{"choices":[{"message":{"content":"x"}}]}'), ("Error", "oops")]
