@@ -35,7 +35,7 @@ def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     done = 1
     while done < n:
         step = min(done, n - done)
-        out[done : done + step] = out[:step] * (out[done - 1] * base)
+        out[done : done + step] = out[:step] * _U(int(out[done - 1]) * int(base) % (1 << 64))
         done += step
     return out[:n]
 

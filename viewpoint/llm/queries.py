@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewpoint.llm import bpe, chat, lines, mixing
+from viewpoint.llm import bpe, chat, lines, mixing, quality
 
 #: Vocabulary file of op9; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +26,11 @@ def op6_mix_sources(spark, sf_dir):
     return mixing.mix(docs).drop("text")
 
 
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -40,6 +45,7 @@ def op10_line_dedup(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op6_mix_sources": op6_mix_sources,
+    "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
