@@ -63,7 +63,7 @@ def prefix_hash(data: np.ndarray, table: Powers) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
-    return pa.compute.cast(column, pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
 def chunks(sizes: list[int], most: int) -> Iterator[slice]:

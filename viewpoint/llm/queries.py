@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewpoint.llm import bpe, chat, lines, mixing, quality
+from viewpoint.llm import bpe, chat, lines, minhash, mixing, quality
 
 #: Vocabulary file of op9; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat_format(spark, sf_dir):
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -43,6 +47,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op4_chat_format": op4_chat_format,
     "op6_mix_sources": op6_mix_sources,
     "op8_quality": op8_quality,
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL = {
+    "op1_minhash_dedup": minhash.ORACLE_SQL,
     "op4_chat_format": chat.ORACLE_SQL,
     "op6_mix_sources": mixing.ORACLE_SQL,
     "op10_line_dedup": lines.ORACLE_SQL,
