@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewpoint.llm import bpe, chat, lines, minhash, mixing, quality
+from viewpoint.llm import bpe, chat, embeddings, lines, minhash, mixing, quality, topk
 
 #: Vocabulary file of op9; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,10 +21,18 @@ def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_chat_format(spark, sf_dir):
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op5_exact_top_k(spark, sf_dir):
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).drop("text")
@@ -48,7 +56,9 @@ def op10_line_dedup(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_chat_format": op4_chat_format,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_mix_sources": op6_mix_sources,
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
@@ -57,7 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL = {
     "op1_minhash_dedup": minhash.ORACLE_SQL,
+    "op3_embedding_dedup": embeddings.ORACLE_SQL,
     "op4_chat_format": chat.ORACLE_SQL,
+    "op5_exact_top_k": topk.ORACLE_SQL,
     "op6_mix_sources": mixing.ORACLE_SQL,
     "op10_line_dedup": lines.ORACLE_SQL,
 }
