@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewpoint.llm import bpe, chat, embeddings, lines, minhash, mixing, quality, topk
+from viewpoint.llm import bpe, chat, embeddings, lines, minhash, mixing, quality, suffix, topk
 
 #: Vocabulary file of op9; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op6_mix_sources(spark, sf_dir):
     return mixing.mix(docs).drop("text")
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, table(spark, sf_dir, "labels"))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_mix_sources": op6_mix_sources,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
