@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewpoint.llm import bpe, chat, embeddings, lines, minhash, mixing, quality, suffix, topk
+from viewpoint.llm import bpe, chat, embeddings, lines, minhash, mixing, passages, quality, suffix, topk
 
 #: Vocabulary file of op9; a parameter of the operator.
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_passage_dedup(spark, sf_dir):
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_embedding_dedup(spark, sf_dir):
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -60,6 +64,7 @@ def op10_line_dedup(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_passage_dedup": op2_passage_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_exact_top_k": op5_exact_top_k,
