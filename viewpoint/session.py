@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests and scale-aware defaults."""
+"""Session helpers: a local session for tests, the shared scratch folder and tables written to it."""
 
 from __future__ import annotations
 
@@ -21,11 +21,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("VIEWPOINT_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("VIEWPOINT_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -33,56 +32,42 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The folder that the driver and all executors share.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) one scratch folder per application
-    is created and registered.
+    It is ``spark.checkpoint.dir`` of the session, else the folder that the
+    application has set with ``setCheckpointDir``; neither is changed. Only a
+    local session without either gets a scratch folder of its own, one per
+    application: on a cluster that would be another disk on every machine, so
+    there it is an error.
     """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if current:
-        if _LOCAL_DIRS.get(sc.applicationId) != current:
-            sc.setCheckpointDir(current)
-            _LOCAL_DIRS[sc.applicationId] = current
-        return current
+    set_ = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if set_:
+        return set_
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _LOCAL_DIRS:
         _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="viewpoint-ckpt-")
-        sc.setCheckpointDir(_LOCAL_DIRS[sc.applicationId])
     return _LOCAL_DIRS[sc.applicationId]
 
 
-def partition_target(spark: SparkSession) -> int:
-    """Partition count for key partitioning: the session's shuffle partitions,
-    at most four per core of the cluster."""
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-
-
-def partition_by(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a central table by its key once. Every later join or
-    aggregation on that key (or on a key that starts with it) then runs
-    without another exchange; the one shuffle is of the raw input."""
-    return df.repartition(partition_target(df.sparkSession), key)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a thin input by its row key when it has fewer partitions
-    than cores (e.g. one parquet row group). Large inputs already have many
-    splits and are left alone, so this never adds a shuffle at scale."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    target = partition_target(spark)
-    if df.rdd.getNumPartitions() >= min(target, cores):
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+def _tables_dir(spark: SparkSession) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut lineage by writing ``df`` as Parquet into the shared checkpoint
-    folder and reading it back (a lost executor then re-reads files instead
-    of recomputing the plan). Columnar and compressed, so cheaper than an RDD
-    checkpoint of serialized rows."""
+    """Cut lineage by writing ``df`` as Parquet into the shared folder and
+    reading it back (a lost executor then re-reads files instead of recomputing
+    the plan, and the planner knows the table's bytes). The tables of an
+    application lie in one folder, see :func:`drop_tables`."""
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_tables_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> bool:
+    """Delete the tables that this application has materialized so far. Results
+    that still read them cannot be computed afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

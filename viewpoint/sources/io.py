@@ -7,36 +7,54 @@ preferred format, which gives partition pruning on model and experiment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from viewpoint import schemas
 from viewpoint.operators import lexicon as LX
 
-TOPIC_COLS = ["title", "alt_op", "left_op", "right_op", "left_sum", "right_sum"]
-PRED_COLS = ["sp_left_pred", "sp_right_pred", "mp_left_pred", "mp_right_pred"]
+#: Columns that a CSV file of predictions or metrics has at most.
+MAX_COLUMNS = 128
 
-TOPICS_SCHEMA = StructType([StructField(c, StringType()) for c in TOPIC_COLS])
-PREDS_SCHEMA = StructType(
-    [StructField(c, StringType()) for c in TOPIC_COLS + PRED_COLS] + [StructField(c + "_full", StringType()) for c in PRED_COLS]
-)
 
+def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, names, cells): the records of CSV files in one scan. ``at`` is the
+    record's place in its file, ``names`` the file's header; files may order their
+    columns differently. Passages are newline separated inside quoted fields and
+    pandas doubles quotes, so a file is read by one task in any case."""
+    cells = StructType([StructField(f"c{i}", StringType()) for i in range(MAX_COLUMNS)])
+    read = spark.read.schema(cells).option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
+    rows = read.csv(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.array(*cells.names).alias("cells"))
+    order = Window.partitionBy("file").orderBy("id")
+    rows = rows.withColumn("at", F.row_number().over(order).cast("bigint") - 2).withColumn("names", F.first("cells").over(order))
+    return rows.where("at >= 0").select("file", "at", "names", "cells")
 
-def _csv(spark: SparkSession, schema: StructType):
-    # Passages are newline separated inside quoted fields; pandas doubles quotes.
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
 
+def _cell(name: str) -> Column:
+    """The record's value in the named column, NULL if the file has none."""
+    return F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """Add ``row_id`` when the source has none (the reference keys rows by
-    their position in the file; ``monotonically_increasing_id`` follows file
-    order, and the ids are stable for a given input)."""
-    return df if "row_id" in df.columns else df.withColumn("row_id", F.monotonically_increasing_id())
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` plus ``row_id``: the row's place among all rows of its ``keys``,
+    files in the order of their names, records in the order of the file. It does
+    not depend on file sizes or on how Spark splits the work."""
+    name = F.substring_index("file", "/", -1)
+    rows = rows.withColumn("_file", name)
+    count = rows.groupBy(*keys, "_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    count = count.select(*keys, "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(count, [*keys, "_file"]).withColumn("row_id", F.col("_before") + F.col("at")).drop("_file", "_before")
 
 
 def read_topics_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1: topic table from a CSV written by pandas."""
-    return with_row_id(_csv(spark, TOPICS_SCHEMA).csv(path))
+    """A1: topic table from one CSV file written by pandas or a folder of them.
+    A ``row_id`` column of the files is the key; without one, rows are numbered
+    in file order (see :func:`_numbered`)."""
+    rows = _numbered(_csv_rows(spark, path), [])
+    key = F.coalesce(_cell("row_id").try_cast("bigint"), F.col("row_id"))
+    return rows.select(key.alias("row_id"), *[_cell(c).alias(c) for c in schemas.TOPIC_COLS])
 
 
 def model_key(path_or_name: Column) -> Column:
@@ -45,30 +63,23 @@ def model_key(path_or_name: Column) -> Column:
 
 
 def read_model_files(
-    spark: SparkSession, root: str, models: list[str], file_name: str = "preds.csv", schema: StructType = PREDS_SCHEMA
+    spark: SparkSession, root: str, models: list[str] | None = None, file_name: str = "preds.csv", schema: StructType = schemas.PREDICTIONS
 ) -> DataFrame:
-    """A2/A3: ``{root}/{model}/{file_name}`` for the given models, as one
-    DataFrame with a ``model`` column.
+    """A2/A3: ``{root}/{model}/{file_name}`` of all models, or of those named, in
+    one scan: (model, the schema's columns, row_id). ``model`` is the folder's
+    name, ``row_id`` the file's row_id column or the record's place in it, as of
+    :func:`read_topics_csv`; columns that a file lacks are NULL."""
+    names = [m.rstrip("/").rsplit("/", 1)[-1] for m in models] if models is not None else ["*"]
+    paths = f"{root}/{{{','.join(names)}}}/{file_name}" if len(names) > 1 else f"{root}/{names[0]}/{file_name}"
+    rows = _csv_rows(spark, paths).withColumn("model", F.url_decode(F.replace(F.element_at(F.split("file", "/"), -2), F.lit("+"), F.lit("%2B"))))
+    rows = _numbered(rows, ["model"])
+    key = F.coalesce(_cell("row_id").try_cast("bigint"), F.col("row_id"))
+    return rows.select("model", *[_cell(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields], key.alias("row_id"))
 
-    Files written at different stages have different column orders, and CSV
-    schemas apply by position, so each file is read with its own header (all
-    columns as strings, no inference) and the schema's columns are selected by
-    name (missing ones NULL). The per-model scans form one union plan.
-    """
-    parts = []
-    for m in models:
-        raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-        df = raw.csv(f"{root}/{m}/{file_name}")
-        cols = [
-            (F.col(f"`{f.name}`").cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields
-        ]
-        key = model_key(F.lit(m))
-        parts.append(df.select(key.alias("model"), *cols, F.monotonically_increasing_id().alias("row_id")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+def read_row_metrics_csv(spark: SparkSession, root: str, models: list[str] | None = None, reverse: bool = False, full: bool = False) -> DataFrame:
+    """A3: the row metrics of all models, as the reference names their files."""
+    return read_model_files(spark, root, models, f"preds{'_rev' * reverse}{'_full' * full}_bmetrics.csv", schemas.ROW_METRICS)
 
 
 def read_predictions_parquet(spark: SparkSession, path: str, models: list[str] | None = None) -> DataFrame:
@@ -78,23 +89,33 @@ def read_predictions_parquet(spark: SparkSession, path: str, models: list[str] |
     return df.filter(F.col("model").isin(models)) if models else df
 
 
-def read_summary(spark: SparkSession, path: str, metrics: list[str]) -> DataFrame:
-    """A4: summary table (model, exp, metric, metric_ci ...)."""
-    fields = [StructField("model", StringType()), StructField("exp", StringType())]
-    for m in metrics:
-        fields += [StructField(m, DoubleType()), StructField(m + "_ci", DoubleType())]
-    return spark.read.schema(StructType(fields)).option("header", True).csv(path)
+def run_name(reverse: bool = False, full: bool = False) -> str:
+    """Partition value of a run: reversed passages, full predictions, both or neither."""
+    return "_".join(["rev"] * reverse + ["full"] * full) or "plain"
+
+
+def read_row_metrics(spark: SparkSession, path: str, reverse: bool = False, full: bool = False) -> DataFrame:
+    """The row metrics that :func:`write_row_metrics` has written for one run."""
+    return spark.read.parquet(path).where(F.col("run") == run_name(reverse, full)).drop("run")
+
+
+def read_summary(spark: SparkSession, path: str, metrics: list[str], reverse: bool = False, full: bool = False) -> DataFrame:
+    """A4: summary table (model, exp, metric, metric_ci ...) of one run."""
+    schema = StructType([*schemas.summary(metrics).fields, StructField("run", StringType())])
+    return spark.read.schema(schema).option("header", True).csv(path).where(F.col("run") == run_name(reverse, full)).drop("run")
 
 
 def read_lexicon_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A5: ``term \\t v \\t a \\t d`` without header.
+    """A5: ``term \\t v \\t a \\t d`` without header, one file or several.
 
-    Returns (lexicon, rejected): the lexicon has one row per term (a repeated
-    term keeps its last line) with scores as integer thousandths; lines that do
-    not have exactly four fields with numeric scores are returned in
-    ``rejected`` instead of failing the load.
+    Returns (lexicon, rejected): the lexicon has one row per term with scores as
+    integer thousandths; a repeated term keeps its last line, files in the order
+    of their names. Lines that do not have exactly four fields with numeric scores
+    are returned in ``rejected`` instead of failing the load.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.split("value", "\t").alias("f"))
+    # Within a split, ids rise with the lines.
+    line = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select(line.alias("line_no"), F.split("value", "\t").alias("f"))
     parsed = lines.select(
         "line_no",
         F.size("f").alias("n"),
@@ -108,28 +129,29 @@ def read_lexicon_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return LX.dedupe_last(good), parsed.filter(~ok).select("line_no", "n", "term")
 
 
+def _replace_partitions(df: DataFrame, path: str, by: list[str], fmt: str) -> None:
+    """Write ``df``, replacing the partitions it has rows of and no others; the
+    session's settings stay as they are."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(fmt)
+    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+
+
 def write_experiment(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """A6: checkpointed prediction sink. Rows are (model, row_id, exp, ...);
-    with dynamic partition overwrite a rerun of one experiment replaces only
-    its own ``model=/exp=`` partition."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy("model", "exp").format(fmt).save(path)
+    """A6: checkpointed prediction sink. Rows are (model, row_id, exp, ...); a
+    rerun of one experiment replaces only its own ``model=/exp=`` partition."""
+    _replace_partitions(df, path, ["model", "exp"], fmt)
 
 
 def write_row_metrics(df: DataFrame, path: str, reverse: bool = False, full: bool = False, fmt: str = "parquet") -> None:
-    """A7: row metrics partitioned by model; the reference's file-name flags
-    become columns."""
-    out = df.withColumn("reverse", F.lit(reverse)).withColumn("full_pred", F.lit(full))
-    out.write.mode("overwrite").partitionBy("model").format(fmt).save(path)
-
-
-def write_summary(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """A8: the per (model, exp) summary (a small table)."""
-    writer = df.write.mode("overwrite").format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    writer.save(path)
+    """A7: row metrics, partitioned by model and run; the reference's file-name
+    flags become columns. Runs of a model lie side by side, a rerun replaces its own."""
+    out = df.withColumn("reverse", F.lit(reverse)).withColumn("full_pred", F.lit(full)).withColumn("run", F.lit(run_name(reverse, full)))
+    _replace_partitions(out, path, ["model", "run"], fmt)
+
+
+def write_summary(df: DataFrame, path: str, reverse: bool = False, full: bool = False, fmt: str = "csv") -> None:
+    """A8: the per (model, exp) summary (a small table), partitioned by run."""
+    _replace_partitions(df.withColumn("run", F.lit(run_name(reverse, full))), path, ["run"], fmt)
 
 
 def with_raw_response(df: DataFrame, raw_col: str = "raw", pred_col: str = "pred") -> DataFrame:

@@ -2,11 +2,11 @@
 
 The reference rewrites its prediction file after every experiment so a
 crashed run keeps finished work. Here responses arrive as files (one row per
-``model, row_id, exp, raw``); each micro-batch is parsed with the same column
-expressions as the batch path and written with dynamic partition overwrite
-per (model, exp, batch). The stream's offsets live under the session's shared
-checkpoint folder, so a restarted query resumes where it stopped and a
-replayed batch rewrites the same partitions (idempotent).
+``model, row_id, exp, raw, received``); each micro-batch is parsed with the same
+column expressions as the batch path and written with dynamic partition
+overwrite per (model, exp, batch). The stream's offsets live under the session's
+shared folder, so a restarted query resumes where it stopped and a replayed
+batch rewrites the same partitions (idempotent).
 """
 
 from __future__ import annotations
@@ -16,48 +16,46 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from viewpoint.operators.prompts import response_text
+from viewpoint.operators.prompts import response_content, response_text
+from viewpoint.schemas import RESPONSES as RESPONSE_SCHEMA
 from viewpoint.session import ensure_checkpoint_dir
 
-RESPONSE_SCHEMA = StructType(
-    [
-        StructField("model", StringType()),
-        StructField("row_id", LongType()),
-        StructField("exp", StringType()),
-        StructField("raw", StringType()),
-    ]
-)
+KEYS = ["model", "row_id", "exp"]
 
 
 def parse_responses(df: DataFrame) -> DataFrame:
-    """Batch and stream: parsed text, error flag and the raw body."""
-    content = F.get_json_object(F.col("raw"), "$.choices[0].message.content")
+    """Batch and stream: parsed text, error flag, the raw body and when it came."""
     return df.select(
-        "model", "row_id", "exp", response_text(F.col("raw")).alias("pred"), content.isNull().alias("is_error"), F.col("raw").alias("raw_response")
+        *KEYS,
+        response_text(F.col("raw")).alias("pred"),
+        response_content(F.col("raw")).isNull().alias("is_error"),
+        F.col("raw").alias("raw_response"),
+        "received",
     )
 
 
+def _last(df: DataFrame, order: list[str]) -> DataFrame:
+    """One row per request: the last by ``order``, equal ones by their body."""
+    row = F.max_by(F.struct("pred", "is_error", "raw_response", "received"), F.struct(*order, "raw_response")).alias("r")
+    return df.groupBy(*KEYS).agg(row).select(*KEYS, "r.*")
+
+
 def _sink(out_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         # Each micro-batch owns the partitions (model, exp, batch); with dynamic
         # overwrite a replayed batch replaces exactly its own files.
-        batch.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        out = batch.dropDuplicates(["model", "row_id", "exp"]).withColumn("batch", F.lit(batch_id))
-        out.write.mode("overwrite").partitionBy("model", "exp", "batch").parquet(out_dir)
+        out = _last(batch, ["received"]).withColumn("batch", F.lit(batch_id))
+        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("model", "exp", "batch").parquet(out_dir)
 
     return write
 
 
 def latest(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Current predictions: per (model, row_id, exp) the row of the latest batch."""
-    df = spark.read.parquet(out_dir)
-    return (
-        df.groupBy("model", "row_id", "exp")
-        .agg(F.max_by(F.struct("pred", "is_error", "raw_response"), F.col("batch")).alias("r"))
-        .select("model", "row_id", "exp", "r.pred", "r.is_error", "r.raw_response")
-    )
+    """Current predictions: per (model, row_id, exp) the response received last,
+    of those received together the one of the later batch."""
+    return _last(spark.read.parquet(out_dir), ["received", "batch"])
 
 
 def start_ingest(
