@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from viewpoint.plans import catalogue, oracle
 
-FAST = ["position_report", "side_report", "passage_side", "rouge1", "rouge2", "rougeL", "experiment_scores",
-        "stance_gap", "greedy_match_f1", "matrix_reduce", "response_parse", "output_cleanup", "pad_segments",
-        "intensity", "length_bins"]
-
-
 @pytest.fixture(scope="module")
 def duck(small_dir):
     con = duckdb.connect()
@@ -21,10 +16,10 @@ def duck(small_dir):
 
 
 def _norm(rows):
-    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+    return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", list(catalogue.queries()))
 def test_query_matches_oracle(spark, duck, small_dir, name):
     df = catalogue.queries()[name](spark, small_dir)
     cur = duck.execute(oracle.oracle_sql()[name])
@@ -54,3 +49,32 @@ def test_coverage_in_unit_interval(spark, small_dir):
 def test_every_query_registered_with_oracle():
     q, o = catalogue.queries(), oracle.oracle_sql()
     assert set(q) == set(o)
+
+
+ROW_LOCAL = ["first_sentence", "experiment_scores", "prompt_table", "response_parse", "output_cleanup", "pad_segments", "scorer_hook", "passage_explode", "passage_side"]
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+@pytest.mark.parametrize("name", ROW_LOCAL)
+def test_row_local_queries_shuffle_nothing(spark, small_dir, name):
+    assert _exchanges(catalogue.queries()[name](spark, small_dir)) == 0
+
+
+def test_coverage_shuffles_each_side_of_its_join_once(spark, small_dir):
+    from viewpoint.operators import passages as P
+    from viewpoint.sources import fixtures as FX
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        f = P.extraction_facts(FX.topics(spark, small_dir), P.summary_sets(FX.predictions(spark, small_dir)))
+        assert "lead_side" in f.columns and _exchanges(f) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_the_score_fixture_has_every_fault(spark, small_dir):
+    assert all(r["n"] > 0 for r in catalogue.score_checks(spark, small_dir).collect())

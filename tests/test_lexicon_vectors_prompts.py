@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests import pyref
 from viewpoint.functions import vectors as V
 from viewpoint.operators import external as E
 from viewpoint.operators import lexicon as LX
@@ -62,13 +61,19 @@ def test_softmax_argmax_stance_gap(spark):
         assert row["g"] == pytest.approx(abs(sp[k] - sr[k]))
 
 
-@pytest.mark.parametrize("padding", ["post", "pre"])
-@pytest.mark.parametrize("truncating", ["post", "pre"])
-def test_pad_truncate_matches_numpy(spark, padding, truncating):
-    seqs = [[1, 2, 3], list(range(1, 21)), [7]]
-    df = spark.createDataFrame([(s,) for s in seqs], "s array<bigint>")
-    got = [r[0] for r in df.select(V.pad_truncate(F.col("s"), 8, padding, truncating)).collect()]
-    assert got == [pyref.pad_and_truncate(s, 8, padding, truncating) for s in seqs]
+@pytest.mark.parametrize(
+    "padding, truncating, short, long",
+    [
+        ("post", "post", [1, 2, 3, 0, 0], [11, 12, 13, 14, 15]),
+        ("pre", "post", [0, 0, 1, 2, 3], [11, 12, 13, 14, 15]),
+        ("post", "pre", [1, 2, 3, 0, 0], [13, 14, 15, 16, 17]),
+        ("pre", "pre", [0, 0, 1, 2, 3], [13, 14, 15, 16, 17]),
+    ],
+)
+def test_pad_truncate_by_hand(spark, padding, truncating, short, long):
+    df = spark.createDataFrame([([1, 2, 3],), ([11, 12, 13, 14, 15, 16, 17],), ([5, 6, 7, 8, 9],)], "s array<bigint>")
+    got = [r[0] for r in df.select(V.pad_truncate(F.col("s"), 5, padding, truncating)).collect()]
+    assert got == [short, long, [5, 6, 7, 8, 9]]
 
 
 def test_segment_ids(spark):
@@ -102,9 +107,88 @@ def test_response_text_and_cleanup(spark):
     assert parity[1] == "no marker here at all"[7:]
 
 
-def test_family_of(spark):
-    df = spark.createDataFrame([("mistralai/Mistral-7B",), ("lmsys/vicuna-7b",), ("Mixtral-8x22b",), ("Meta-Llama-3",), ("gpt4-o",)], "m string")
-    assert [r[0] for r in df.select(PR.family_of(F.col("m"))).collect()] == ["mistral", "vicuna", "mixtral", "llama", None]
+def test_only_a_whole_json_text_is_a_response(spark):
+    good = json.dumps({"choices": [{"message": {"content": "x"}}]})
+    raws = [good, f" {good}\n", good[:-1], good[:-3], good + " garbage", good + "]", good + "}", good + ", 1", good + ', "y": 1', f"[{good}", "", "oops", None]
+    raws += ['{"choices":[{"message":{"content":null}}]}', '{"choices":[]}', "[]", "3", '{"choices":[{"message":{"content":""}}]}']
+    df = spark.createDataFrame([(r,) for r in raws], "raw string")
+
+    def python(raw):
+        try:
+            return json.loads(raw)["choices"][0]["message"]["content"]
+        except Exception:
+            return None
+
+    assert [r[0] for r in df.select(PR.response_content(F.col("raw"))).collect()] == [python(r) for r in raws]
+
+
+def test_families_of_prompts_and_of_cleanup(spark):
+    names = ["mistralai/mistral-7b", "lmsys/vicuna-7b", "Mixtral-8x22b", "Meta-Llama-3", "llama-v3", "Mistral-7B", "gpt4-o"]
+    df = spark.createDataFrame([(n,) for n in names], "m string")
+    got = df.select(PR.family_of(F.col("m")), PR.cleanup_family_of(F.col("m")), PR.family_error(PR.family_of(F.col("m")), F.col("m"))).collect()
+    assert [r[0] for r in got] == ["mistral", "vicuna", "mixtral", "llama", "llama", None, None]
+    assert [r[1] for r in got] == ["mistral", "vicuna", None, None, "llama", None, None]
+    assert [r[2] for r in got] == [None] * 5 + ["unknown model family: Mistral-7B", "unknown model family: gpt4-o"]
+
+
+def test_capitalised_llama_output_is_left_alone(spark):
+    df = spark.createDataFrame([("Here: The left.", "Meta-Llama-3-8B"), ("Here: The left.", "llama-3")], "t string, m string")
+    got = [r[0] for r in df.select(PR.clean_output(F.col("t"), PR.cleanup_family_of(F.col("m")), parity=True)).collect()]
+    assert got == ["Here: The left.", " The left."]
+
+
+def test_tokenless_rows_and_frequent_tokens_without_a_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, "war " * (i % 3)) for i in range(30)], "k long, t string")
+        got = {r["k"]: r["num_pol"] for r in LX.token_stats(df, ["k"], "t", _lex(spark), strict=True).collect()}
+        assert got == {i: i % 3 for i in range(30)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_last_line_by_two_columns(spark):
+    lines = spark.createDataFrame([("a", 1, 2_000_000, 1, 1, 1), ("a", 2, 0, 2, 2, 2), ("a", 2, -1, 3, 3, 3)], "term string, doc long, i long, v int, a int, d int")
+    out = LX.dedupe_last(lines.withColumn("line_no", F.struct("doc", "i"))).first()
+    assert (out["v"], out["a"], out["d"]) == (2, 2, 2)
+
+
+def test_zero_vectors_and_too_long_texts(spark):
+    df = spark.createDataFrame([(0, 0, [0.0, 0.0]), (0, 1, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.0])], "pair_id long, side int, vec array<double>")
+    assert {r["pair_id"]: r["f1"] for r in E.greedy_match(df).collect()} == {0: 0.0, 1: 1.0}
+    many = spark.createDataFrame([(0, 0, [1.0])] * 5, "pair_id long, side int, vec array<double>")
+    assert E.greedy_match(many, max_tokens=5).count() == 1
+    with pytest.raises(Exception, match="more than 4 token vectors"):
+        E.greedy_match(many, max_tokens=4).collect()
+
+
+def test_keyphrase_target_shares_the_source_phrase(spark):
+    pred = spark.createDataFrame([("m", 1, "a", [1.0, 0.0]), ("m", 1, "b", [0.0, 1.0]), ("m", 2, "a", [1.0, 0.0])], "model string, row_id long, exp string, vec array<double>")
+    src = spark.createDataFrame([(1, "s", [1.0, 0.0])], "row_id long, src string, vec array<double>")
+    got = {(r["row_id"], r["exp"]): r["target"] for r in E.keyphrase_target(pred, src, {"a": "s", "b": "s"}).collect()}
+    assert got == {(1, "a"): 1.0, (1, "b"): 0.0, (2, "a"): None}
+
+
+def _scores(spark, rows, order=True):
+    return spark.createDataFrame(rows, "model string, row_id long, exp string, metric string, score double" + ", ingest_order int" * order)
+
+
+def test_score_checks_count_every_fault(spark):
+    preds = spark.createDataFrame([("m", i, "e") for i in range(4)], "model string, row_id long, exp string")
+    scores = _scores(spark, [("m", 0, "e", "bleurt", 0.5), ("m", 0, "e", "bleurt", 0.6), ("m", 1, "e", "bleurt", None), ("m", 1, "e", "menli", 0.5),
+                             ("m", 2, "e", "align", 7.0), ("x", 2, "e", "align", 0.1), ("m", 9, "e", "bert", float("nan"))], order=False)
+    got = {r["check"]: r["n"] for r in E.score_checks(scores, preds).collect()}
+    assert got == {"duplicates": 1, "unknown_keys": 2, "unknown_metrics": 1, "out_of_range": 2, "null_scores": 1, "rows": 7, "without_score": 1}
+
+
+def test_several_scores_need_an_order(spark):
+    preds = spark.createDataFrame([("m", 0, "e"), ("m", 1, "e")], "model string, row_id long, exp string")
+    rows = [("m", 0, "e", "bleurt", 0.9, 1), ("m", 0, "e", "bleurt", 0.2, 2)]
+    got = {r["row_id"]: r["bleurt"] for r in E.attach_scores(preds, _scores(spark, rows), ["bleurt"]).collect()}
+    assert got == {0: 0.2, 1: None}
+    with pytest.raises(Exception, match="several bleurt scores"):
+        E.attach_scores(preds, _scores(spark, [r[:5] for r in rows], order=False), ["bleurt"]).collect()
 
 
 def test_greedy_match_and_matrix_reduce(spark):
@@ -130,12 +214,27 @@ def test_apply_scorer_hook(spark):
     assert E.apply_scorer(df, factory, ["p", "r"], "s").first()["s"] == 0.5
 
 
-def test_assemble_predictions_missing_is_error(spark):
-    req = spark.createDataFrame([("m0", 1, "mp_left_pred"), ("m0", 2, "mp_left_pred"), ("m0", 3, "mp_left_pred")], "model string, row_id long, exp string")
+def test_prediction_table_has_one_row_per_request(spark):
     good = json.dumps({"choices": [{"message": {"content": "The left."}}]})
-    resp = spark.createDataFrame(
-        [("m0", 1, "mp_left_pred", "oops", 1), ("m0", 1, "mp_left_pred", good, 2), ("m0", 2, "mp_left_pred", "oops", 1)],
-        "model string, row_id long, exp string, raw string, received long",
+    requests = spark.createDataFrame(
+        [("api", i, "e", None) for i in range(1, 6)] + [("loc", 1, "e", "mistral-7b"), ("loc", 2, "e", "mistral-7b"), ("odd", 1, "e", "falcon")],
+        "model string, row_id long, exp string, name string",
     )
-    got = {r["row_id"]: (r["pred"], r["is_error"]) for r in PR.assemble_predictions(req, resp).collect()}
-    assert got == {1: ("The left.", False), 2: ("Error", True), 3: ("Error", True)}
+    responses = spark.createDataFrame(
+        [("api", 1, "e", "oops", 1), ("api", 1, "e", good, 2), ("api", 2, "e", good, 1), ("api", 2, "e", "oops", 2), ("api", 3, "e", good + " tail", 1),
+         ("api", 5, "e", good, 1), ("api", 5, "e", good, 1), ("loc", 1, "e", "[INST] q [/INST] The right.", 1), ("odd", 1, "e", "text", 1), ("gone", 1, "e", good, 1)],
+        "model string, row_id long, exp string, raw string, received long",
+    )
+    got = {(r["model"], r["row_id"]): (r["pred"], r["is_error"], r["error"]) for r in PR.assemble_predictions(requests, responses).collect()}
+    assert got == {
+        ("api", 1): ("The left.", False, None),
+        ("api", 2): ("Error", True, "unparseable response"),
+        ("api", 3): ("Error", True, "unparseable response"),
+        ("api", 4): ("Error", True, "no response"),
+        ("api", 5): ("The left.", False, None),
+        ("loc", 1): ("The right.", False, None),
+        ("loc", 2): ("Error", True, "no response"),
+        ("odd", 1): ("Error", True, "unknown model family: falcon"),
+    }
+    with pytest.raises(ValueError, match="received"):
+        PR.assemble_predictions(requests, responses.drop("received"))

@@ -9,6 +9,7 @@ from viewpoint.operators import passages as P
 
 def test_unknown_metric_is_rejected():
     assert X.resolve_metrics(["rouge", "bleurt"]) == ["rouge1", "rouge2", "rougeL", "bleurt"]
+    assert X.resolve_metrics(["rouge2", "rouge", "intens", "target"]) == ["rouge2", "rouge1", "rougeL", "intens", "target"]
     with pytest.raises(ValueError):
         X.resolve_metrics(["rouge", "menli"])
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests import pyref
@@ -33,6 +34,26 @@ def test_rouge_matches_python(spark):
         assert abs(row["rougeL"] - pyref.rouge_l(p, r)) < 1e-12
 
 
+def test_clipped_counts_by_hand(spark):
+    df = spark.createDataFrame([(["a", "a", "a", "b", ""], ["a", "b", "b", "a", "", ""])], "p array<string>, r array<string>")
+    hits = df.select(RG.clipped_hits(RG.tagged(F.col("p"), F.col("r")))).first()[0]
+    assert hits == 4  # two a, one b, one empty
+    assert RG.add_rouge(df, "p", "r").first()["rouge1"] == pytest.approx(2 * 4 / (5 + 6))
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    seconds = {}
+    for n in (2_000, 2_000, 20_000):
+        tokens = [f"t{i}" for i in range(n)]
+        df = spark.createDataFrame([(tokens, tokens[::-1])], "p array<string>, r array<string>")
+        start = time.perf_counter()
+        assert RG.add_rouge(df, "p", "r", metrics=("rouge1", "rouge2")).first()["rouge1"] == 1.0
+        seconds[n] = time.perf_counter() - start
+    assert seconds[20_000] < 10 * seconds[2_000] + 5
+
+
 def test_rouge_identity_and_range(spark):
     df = spark.createDataFrame([(["x", "y", "z"],), (["q"],)], "p array<string>")
     got = RG.add_rouge(df.withColumn("r", F.col("p")), "p", "r").collect()

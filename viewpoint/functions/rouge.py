@@ -1,12 +1,12 @@
 """ROUGE-1/2/L F-measures (rouge-score semantics, no stemming).
 
 N-gram overlap is clipped (min of the two counts per n-gram). It is computed
-row-locally with built-ins: each token array is sorted, every occurrence is
-tagged with its rank among equal tokens ('t\\x01k'), and the overlap is the
-size of the hash-based ``array_intersect`` of the tagged arrays - linear
-lambda work, no explode, no shuffle. The LCS length is the one dynamic
-programme Spark cannot express without quadratic array copies; it runs as an
-Arrow-batched pandas UDF with a bit-parallel LCS (O(n * m / 64) per pair).
+row-locally with built-ins: the grams of both sides are sorted together, the
+prediction's before equal ones of the reference, and one fold over the sorted
+array counts the reference grams that still find a partner. That is a sort and
+a pass, whatever the texts; no explode, no shuffle. The LCS length is the one
+dynamic programme Spark cannot express without quadratic array copies; it runs
+as an Arrow-batched pandas UDF with a bit-parallel LCS (O(n * m / 64) per pair).
 
 :func:`add_rouge` stages intermediates in separate projections: every array
 referenced twice is a materialised column, so no expression is re-evaluated.
@@ -19,20 +19,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-TAG = "\u0001"
-
 
 def bigrams(toks: Column) -> Column:
     n = F.size(toks)
-    grams = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.concat(F.get(toks, i), F.lit(" "), F.get(toks, i + 1)))
+    shifted = F.slice(toks, 2, F.greatest(n - 1, F.lit(0)))
+    grams = F.zip_with(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))), shifted, lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(n >= 2, grams).otherwise(F.array().cast("array<string>"))
 
 
-def tag_sorted(sorted_toks: Column) -> Column:
-    """Tag a *sorted, materialised* token array: the k-th equal token gets
-    suffix k (its 1-based index minus the first index of that token)."""
-    s = sorted_toks
-    return F.transform(s, lambda x, i: F.concat(x, F.lit(TAG), (i + 1 - F.array_position(s, x)).cast("string")))
+def tagged(pred: Column, ref: Column) -> Column:
+    """The grams of both sides, sorted, each with its side (0 before 1)."""
+    side = lambda c, s: F.transform(c, lambda g: F.struct(g.alias("g"), F.lit(s).alias("s")))
+    return F.sort_array(F.concat(side(pred, 0), side(ref, 1)))
+
+
+def clipped_hits(grams: Column) -> Column:
+    """Sum over distinct grams of the smaller count, from a :func:`tagged` array."""
+    start = F.struct(F.lit("").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("hits"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = F.when(x["g"] == acc["g"], acc["left"]).otherwise(F.lit(0))
+        hit = ((x["s"] == 1) & (left > 0)).cast("int")
+        return F.struct(x["g"].alias("g"), F.when(x["s"] == 0, left + 1).otherwise(left - hit).alias("left"), (acc["hits"] + hit).alias("hits"))
+
+    return F.aggregate(grams, start, step, lambda acc: acc["hits"])
 
 
 def f_measure(hits: Column, n_pred: Column, n_ref: Column) -> Column:
@@ -61,7 +71,7 @@ def _lcs_length(a, b) -> int:
     for tok in a:
         u = v & masks.get(tok, 0)
         v = ((v + u) | (v - u)) & full
-    return m - bin(v).count("1")
+    return m - v.bit_count()
 
 
 @F.pandas_udf(IntegerType())
@@ -81,15 +91,12 @@ def add_rouge(df: DataFrame, pred_toks: str, ref_toks: str, metrics=("rouge1", "
     if "rouge2" in metrics:
         stage = stage.select("*", bigrams(pt).alias("_p2"), bigrams(rt).alias("_r2"))
         grams["2"] = (F.col("_p2"), F.col("_r2"))
-    sorted_cols = []
-    for k, (p, r) in grams.items():
-        sorted_cols += [F.array_sort(p).alias(f"_sp{k}"), F.array_sort(r).alias(f"_sr{k}"), F.size(p).alias(f"_np{k}"), F.size(r).alias(f"_nr{k}")]
+    staged = [c for k, (p, r) in grams.items() for c in (tagged(p, r).alias(f"_g{k}"), F.size(p).alias(f"_np{k}"), F.size(r).alias(f"_nr{k}"))]
     extra = [F.size(pt).alias("_npt"), F.size(rt).alias("_nrt")]
     if "rougeL" in metrics:
         extra.append(lcs_length(pt, rt).alias("_lcs"))
-    stage = stage.select(*keep, *sorted_cols, *extra)
-    hits = [F.size(F.array_intersect(tag_sorted(F.col(f"_sp{k}")), tag_sorted(F.col(f"_sr{k}")))).alias(f"_h{k}") for k in grams]
-    stage = stage.select("*", *hits)
+    stage = stage.select(*keep, *staged, *extra)
+    stage = stage.select("*", *[clipped_hits(F.col(f"_g{k}")).alias(f"_h{k}") for k in grams])
     out = [f_measure(F.col(f"_h{k}"), F.col(f"_np{k}"), F.col(f"_nr{k}")).alias(f"rouge{k}") for k in grams]
     if "rougeL" in metrics:
         out.append(lcs_f_measure(F.col("_lcs"), F.col("_npt"), F.col("_nrt")).alias("rougeL"))

@@ -3,133 +3,111 @@
 Edges are per model over all passages (before any position filter), at
 100*i/n for i = 1..n with linear interpolation; a value's bin is the first edge
 it is <= to (ties go to the lowest bin, bins may be empty). This is
-value-based, not ``ntile``.
+value-based, not ``ntile``. Rows without a value have no bin (NULL) and stay.
+
+Everything is worked out on the distinct values of a model with their counts.
+Their ranks come from two windows: one over the counts of value buckets (runs of
+neighbouring doubles, so their number is set by the range of the values and not
+by the rows), one inside each bucket. A model may hold any share of the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from viewpoint.operators.joins import bounded_broadcast
-from viewpoint.session import materialize as materialize_table
-from viewpoint.operators.reports import Z_DEFAULT, ci
+from viewpoint.operators.reports import Z_DEFAULT
+from viewpoint.session import materialize
 
+#: Buckets per factor of two; a bucket holds doubles within 1 part in 90,000.
+BUCKETS_PER_OCTAVE = 1 << 16
+_OFFSET = 1 << 40
+_LARGEST = 1.7976931348623157e308
 
-def _pct_array(num_bins: int) -> str:
-    return "array(" + ", ".join(f"CAST({i / num_bins!r} AS DOUBLE)" for i in range(1, num_bins + 1)) + ")"
 
+def _number(value: str) -> Column:
+    v = F.col(value).cast("double")
+    return F.when(~F.isnan(v), v)
 
-# A key with at most this many distinct values is merged in one task by the
-# exact ``percentile`` aggregate (a value -> count map of bounded size).
-MAX_DISTINCT_PER_KEY = 1_000_000
 
+def _bucket(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises."""
+    size = _OFFSET + F.floor(F.log2(F.least(F.abs(v), F.lit(_LARGEST))) * BUCKETS_PER_OCTAVE)
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
 
-def percentile_edges(
-    df: DataFrame,
-    value: str,
-    num_bins: int,
-    key: str = "model",
-    method: str = "auto",
-    approx: bool = False,
-    max_distinct: int = MAX_DISTINCT_PER_KEY,
-) -> DataFrame:
-    """(key, edges): exact percentiles at i/num_bins, i = 1..num_bins, with
-    numpy's linear interpolation.
-
-    Rows are first counted per (key, value) - partial aggregation, so a hot
-    key costs one row per distinct value. ``method``:
-    * 'auto': measure the widest key (distinct values); under
-      ``max_distinct`` use 'aggregate', else 'ranked';
-    * 'aggregate': exact ``percentile`` over the counts (one key's distinct
-      values are merged in one task - bounded by the check in 'auto');
-    * 'ranked': range-partitioned global ranks, skew-proof for any size.
-    ``approx=True`` uses ``percentile_approx`` (bounded sketch, not exact).
-    """
-    pcts = _pct_array(num_bins)
-    if approx:
-        return df.groupBy(key).agg(F.expr(f"percentile_approx({value}, {pcts}, 100000)").cast("array<double>").alias("edges"))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    if method == "auto":
-        counts = materialize_table(counts, "value_counts")
-        widest = counts.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-        method = "aggregate" if widest <= max_distinct else "ranked"
-    if method == "aggregate":
-        return counts.groupBy(key).agg(F.expr(f"percentile({value}, {pcts}, _n)").alias("edges"))
-    return _ranked_edges(counts, value, num_bins, key)
-
-
-def _ranked_edges(counts: DataFrame, value: str, num_bins: int, key: str) -> DataFrame:
-    """Exact linear-interpolation percentiles without gathering a key's
-    values in one task.
-
-    1. input: rows counted per (key, value) (``_n``);
-    2. range-partition those counts by (key, value): a hot key's values are
-       split over many partitions; checkpoint (reused twice below);
-    3. per (partition, key) totals -> cumulative offsets and N per key: a small
-       table (partitions x keys), broadcast after a size check;
-    4. global end rank of each distinct value = offset + running count inside
-       its (partition, key) slice - a window over one slice, never a whole key;
-    5. the values at ranks floor/ceil((N - 1) * q) are picked by a broadcast
-       join to the 2 * num_bins target ranks per key, and interpolated as
-       numpy does (a + (b - a) t, or b - (b - a)(1 - t) when t >= 0.5).
-    """
-    spark = counts.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(nparts, key, value).select("*", F.spark_partition_id().alias("_pid"))
-    ranged = materialize_table(ranged, "ranks")
-    part = ranged.groupBy(key, "_pid").agg(F.sum("_n").alias("_tot"))
-    upto = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = part.select(
-        key,
-        "_pid",
-        (F.sum("_tot").over(upto) - F.col("_tot")).alias("_off"),
-        F.sum("_tot").over(Window.partitionBy(key)).alias("_total"),
-    )
-    part = bounded_broadcast(part, max_rows=1_000_000)
-    local = Window.partitionBy("_pid", key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = ranged.join(part, [key, "_pid"]).select(
-        key, value, "_n", (F.col("_off") + F.sum("_n").over(local)).alias("_end")
-    )
-    qs = F.array(*[F.lit(i / num_bins) for i in range(1, num_bins + 1)])
-    n = part.select(key, "_total").distinct()
-    tg = n.select(key, "_total", F.posexplode(qs).alias("_i", "_q")).select(
-        key, "_i", ((F.col("_total") - 1) * F.col("_q")).alias("_vi")
-    )
-    tg = tg.select(key, "_i", F.floor("_vi").alias("_lo"), (F.col("_vi") - F.floor("_vi")).alias("_t"), "_vi")
-    tg = tg.select(key, "_i", "_t", F.explode(F.array(
-        F.struct(F.lit(0).alias("hi"), F.col("_lo").alias("r")),
-        # upper neighbour; when t = 0 (always so at the last rank) it is the same row
-        F.struct(F.lit(1).alias("hi"), (F.col("_lo") + F.when(F.col("_t") > 0, 1).otherwise(0)).alias("r")),
-    )).alias("tr"))
-    tg = tg.select(key, "_i", "_t", "tr.hi", "tr.r")
-    # targets: 2 * num_bins rows per key of the (size-checked) offsets table
-    tg = bounded_broadcast(tg, max_rows=1_000_000, materialize=False)
-    picked = ranks.join(tg, [key]).filter((F.col("_end") - F.col("_n") <= F.col("r")) & (F.col("r") < F.col("_end")))
-    ab = picked.groupBy(key, "_i", "_t").agg(
-        F.max(F.when(F.col("hi") == 0, F.col(value))).cast("double").alias("_a"),
-        F.max(F.when(F.col("hi") == 1, F.col(value))).cast("double").alias("_b"),
+
+def value_counts(df: DataFrame, value: str, key: str = "model") -> DataFrame:
+    """(key, _v, _n): the distinct values of each key, as doubles, and their rows."""
+    return df.select(key, _number(value).alias("_v")).groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def ranked(counts: DataFrame, key: str = "model") -> DataFrame:
+    """``counts`` (key, _v, _n, ...) without NULL values plus the ranks that each
+    value takes, [_start, _end), the rows of its key, _total, and the value before
+    it, _prev."""
+    c = counts.where("_v is not null").withColumn("_bucket", _bucket(F.col("_v")))
+    sums = c.groupBy(key, "_bucket").agg(F.sum("_n").alias("_rows"), F.max("_v").alias("_top"))
+    order = Window.partitionBy(key).orderBy("_bucket")
+    before = F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(
+        F.col(key).alias("_k"),
+        F.col("_bucket").alias("_b"),
+        F.coalesce(before, F.lit(0)).alias("_before"),
+        F.lag("_top").over(order).alias("_below"),
+        F.sum("_rows").over(Window.partitionBy(key)).alias("_total"),
     )
-    a, b, t = F.col("_a"), F.col("_b"), F.col("_t")
-    edge = F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
-    return ab.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_i"), edge.alias("e")))).alias("_es")).select(
-        key, F.transform("_es", lambda x: x["e"]).alias("edges")
+    inside = Window.partitionBy(key, "_bucket").orderBy("_v")
+    c = c.join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))).drop("_k", "_b")
+    c = c.withColumn("_end", F.col("_before") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    c = c.withColumn("_prev", F.coalesce(F.lag("_v").over(inside), F.col("_below"))).withColumn("_start", F.col("_end") - F.col("_n"))
+    return c.drop("_bucket", "_before", "_below")
+
+
+def _targets(num_bins: int) -> Column:
+    """Per edge: its number and the ranks lo and hi between which it lies, t of the way."""
+    at = F.array(*[F.lit(i / num_bins) for i in range(1, num_bins + 1)])
+    at = F.transform(at, lambda q, i: F.struct(i.alias("i"), ((F.col("_total") - 1) * q).alias("r")))
+    at = F.transform(at, lambda x: F.struct(x["i"].alias("i"), F.floor(x["r"]).alias("lo"), (x["r"] - F.floor(x["r"])).alias("t")))
+    return F.transform(at, lambda x: F.struct(x["i"].alias("i"), x["lo"].alias("lo"), x["t"].alias("t"), (x["lo"] + (x["t"] > 0).cast("int")).alias("hi")))
+
+
+def _between(a: Column, b: Column, t: Column) -> Column:
+    """a + (b - a) t, measured from the nearer end."""
+    return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
+
+
+def percentile_edges(df: DataFrame, value: str, num_bins: int, key: str = "model") -> DataFrame:
+    """(key, edges): exact percentiles at i/num_bins, i = 1..num_bins, with
+    linear interpolation; NULL edges for a key without any value."""
+    r = ranked(value_counts(df, value, key), key)
+    holds = lambda rank: (F.col("_start") <= rank) & (rank < F.col("_end"))
+    hit = r.select(key, "_v", "_start", "_end", F.explode(F.filter(_targets(num_bins), lambda x: holds(x["lo"]) | holds(x["hi"]))).alias("x"))
+    ab = hit.groupBy(key, "x.i", "x.t").agg(
+        F.max(F.when(holds(F.col("x.lo")), F.col("_v"))).alias("_a"), F.max(F.when(holds(F.col("x.hi")), F.col("_v"))).alias("_b")
     )
+    ab = ab.select(key, F.struct("i", _between(F.col("_a"), F.col("_b"), F.col("t")).alias("e")).alias("x"))
+    # Keys without a value come with a NULL, which the gathering skips.
+    ab = ab.unionByName(df.select(key).distinct().select(key, F.lit(None).cast(ab.schema["x"].dataType).alias("x")))
+    edges = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"])
+    return ab.groupBy(key).agg(edges.alias("edges")).select(key, F.when(F.size("edges") > 0, F.col("edges")).alias("edges"))
 
 
-def assign_bins(df: DataFrame, value: str, num_bins: int, out: str, key: str = "model", approx: bool = False) -> DataFrame:
-    """Add ``out`` = index of the first edge >= value.
+def _bin(num_bins: int) -> Column:
+    """Number of edges below the value of a :func:`ranked` row. An edge between
+    ranks lo and hi is below if both lie before the value; if only lo does, it is
+    interpolated between the value before and this one."""
+    v, start = F.col("_v"), F.col("_start")
+    below = lambda x: (x["lo"] < start) & ((x["hi"] < start) | (_between(F.col("_prev"), v, x["t"]) < v))
+    return F.size(F.filter(_targets(num_bins), below)).cast("bigint")
 
-    The edges table (one row per key) is materialised and broadcast after a
-    row-count check; a join on the low-cardinality key must never shuffle the
-    facts by that key. Pass a materialised ``df`` (see :func:`binned_report`).
-    """
-    # The edges are a small aggregate over materialised counts: checked, not
-    # written again.
-    edges = bounded_broadcast(percentile_edges(df, value, num_bins, key, approx=approx), max_rows=100_000, materialize=False)
-    v = F.col(value)
-    return df.join(edges, key).withColumn(out, F.size(F.filter("edges", lambda e: e < v)).cast("bigint")).drop("edges")
+
+def assign_bins(df: DataFrame, value: str, num_bins: int, out: str, key: str = "model") -> DataFrame:
+    """``df`` plus ``out`` = index of the first edge >= value, NULL where there is
+    no value. Rows meet their bin by (key, value), never by the key alone."""
+    bins = ranked(value_counts(df, value, key), key).select(F.col(key).alias("_k"), "_v", _bin(num_bins).alias(out))
+    rows = df.withColumn("_x", _number(value))
+    return rows.join(bins, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_x") == F.col("_v")), "left").drop("_x", "_k", "_v")
 
 
 def binned_report(
@@ -141,18 +119,31 @@ def binned_report(
     max_pos: int = 4,
     with_ci: bool = True,
     z: float = Z_DEFAULT,
-    approx: bool = False,
-    materialize: bool = True,
+    key: str = "model",
 ) -> DataFrame:
-    """Per (model, bin) over passages with ``pos < max_pos``: mean of each
+    """Per (key, bin) over passages with ``pos < max_pos``: mean of each
     declared column and, with ``with_ci``, ``z * std / sqrt(count(col))``.
 
-    The facts are read twice (edges, then the report), so they are written
-    once to the session's shared checkpoint folder first."""
-    if materialize:
-        facts = materialize_table(facts, "facts")
-    binned = assign_bins(facts, value, num_bins, bin_col, approx=approx).filter(F.col("pos") < max_pos)
-    aggs = [F.avg(c).alias(c) for c in columns]
-    if with_ci:
-        aggs += [ci(F.col(c), F.count(c), z).alias(c + "_std") for c in columns]
-    return binned.groupBy("model", bin_col).agg(*aggs)
+    The facts are read once: counts and sums per (key, distinct value) are
+    written to the shared folder, and bins and report follow from that table."""
+    head = F.col("pos") < max_pos
+    aggs = [F.count(F.lit(1)).alias("_n"), F.count(F.when(head, 1)).alias("_head")]
+    for c in columns:
+        x = F.when(head, F.col(c))
+        aggs += [F.count(x).alias(f"_c_{c}"), F.sum(x.cast("double")).alias(f"_s_{c}")]
+        aggs += [F.sum(x.cast("double") * x).alias(f"_q_{c}")] if with_ci else []
+    stats = facts.withColumn("_v", _number(value)).groupBy(key, "_v").agg(*aggs)
+    stats = materialize(stats, "value_stats")
+    kept = [key, *[c for c in stats.columns if c not in (key, "_v", "_n")]]
+    binned = ranked(stats, key).select(*kept, _bin(num_bins).alias(bin_col))
+    binned = binned.unionByName(stats.where("_v is null").select(*kept, F.lit(None).cast("bigint").alias(bin_col)))
+    sums = binned.groupBy(key, bin_col).agg(*[F.sum(c).alias(c) for c in kept[1:]]).where("_head > 0")
+    out = []
+    for c in columns:
+        n, s = F.col(f"_c_{c}"), F.col(f"_s_{c}")
+        out.append(F.try_divide(s, n).alias(c))
+        if with_ci:
+            spread = F.greatest(F.col(f"_q_{c}") - F.try_divide(s * s, n), F.lit(0.0))
+            # One value has no spread: 0 / 0 is NULL.
+            out.append((z * F.sqrt(F.try_divide(spread, n - 1)) / F.sqrt(F.when(n > 0, n))).alias(c + "_std"))
+    return sums.select(key, bin_col, *out)

@@ -7,16 +7,15 @@ prediction row into one row per experiment in a single scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewpoint.functions import rouge as RG
 from viewpoint.functions import text as T
-from viewpoint.sources.fixtures import PRED_COLS, REF_COLS, SRC_COLS
+from viewpoint.schemas import EXTERNAL_METRICS, PERSPECTIVE_METRICS, PRED_COLS, REF_COLS, ROUGE_METRICS, SRC_COLS
 
-# Metric names a caller may select, and what 'rouge' expands to.
-ROUGE_METRICS = ["rouge1", "rouge2", "rougeL"]
-EXTERNAL_METRICS = ["bleurt", "summac", "align", "bert", "stance"]
+#: Names a caller may ask for, and the score columns that each stands for.
+METRICS = {"rouge": ROUGE_METRICS} | {m: [m] for m in ROUGE_METRICS + EXTERNAL_METRICS + PERSPECTIVE_METRICS}
 
 
 def unpivot(
@@ -39,31 +38,33 @@ def unpivot(
 
 
 def resolve_metrics(metrics: list[str]) -> list[str]:
-    """Expand 'rouge' into its three names; reject unknown names (the
+    """The score columns of the named metrics; unknown names raise (the
     reference silently lists a metric it never implements)."""
-    out: list[str] = []
     for m in metrics:
-        if m == "rouge":
-            out += ROUGE_METRICS
-        elif m in ROUGE_METRICS or m in EXTERNAL_METRICS:
-            out.append(m)
-        else:
+        if m not in METRICS:
             raise ValueError(f"unknown metric {m!r}")
-    return out
+    return list(dict.fromkeys(c for m in metrics for c in METRICS[m]))
 
 
-def score_rouge(long: DataFrame, first_sentence: bool = True, missing: str = "null") -> DataFrame:
-    """Add rouge1/rouge2/rougeL of (first sentence of) ``pred`` against ``ref``.
+def as_text(c: Column) -> Column:
+    """Missing text as the word that pandas' ``astype(str)`` makes of it."""
+    return F.coalesce(c.cast("string"), F.lit("nan"))
+
+
+def score_rouge(long: DataFrame, first_sentence: bool = True, missing: str = "null", metrics: list[str] = ("rouge",)) -> DataFrame:
+    """Add the ROUGE columns named in ``metrics``, of (first sentence of)
+    ``pred`` against ``ref``.
 
     ``missing``: 'null' - a NULL text gives NULL scores; 'sentinel' - -1 as
     the reference's unreachable branch; 'nan_text' - NULL is scored as the
     text 'nan' (what the reference's ``astype(str)`` actually does).
     """
+    names = [m for m in resolve_metrics(list(metrics)) if m in ROUGE_METRICS]
     pred, ref = F.col("pred"), F.col("ref")
     if missing == "nan_text":
-        pred, ref = F.coalesce(pred, F.lit("nan")), F.coalesce(ref, F.lit("nan"))
+        pred, ref = as_text(pred), as_text(ref)
     p = T.first_sentence(pred) if first_sentence else pred
     base = long.select("*", T.rouge_tokens(p).alias("_pt"), T.rouge_tokens(ref).alias("_rt"), (pred.isNotNull() & ref.isNotNull()).alias("_ok"))
-    scored = RG.add_rouge(base, "_pt", "_rt")
+    scored = RG.add_rouge(base, "_pt", "_rt", metrics=tuple(names))
     fallback = F.lit(-1.0) if missing == "sentinel" else F.lit(None).cast("double")
-    return scored.select(*long.columns, *[F.when(F.col("_ok"), F.col(n)).otherwise(fallback).alias(n) for n in ROUGE_METRICS])
+    return scored.select(*long.columns, *[F.when(F.col("_ok"), F.col(n)).otherwise(fallback).alias(n) for n in names])

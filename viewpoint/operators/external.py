@@ -11,68 +11,111 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from viewpoint.functions import vectors as V
+from viewpoint.schemas import EXTERNAL_METRICS
 
 KEYS = ["model", "row_id", "exp"]
+#: Token vectors of one text at most, as of the encoders that make them.
+MAX_TOKENS = 512
 
 
-def score_checks(scores: DataFrame, rows: DataFrame, keys: list[str] = KEYS, lo: float = -1.0, hi: float = 1.0) -> DataFrame:
-    """Quality report of a long score table (keys..., metric, score) as
-    (check, n) rows: duplicate (key, metric) rows, rows whose key has no
-    prediction, scores outside [lo, hi], NULL scores and all rows."""
-    dup = (
-        scores.groupBy(*keys, "metric")
-        .count()
-        .agg(F.lit("duplicates").alias("check"), F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("n"))
-    )
-    unknown = scores.join(rows.select(*keys).hint("merge"), keys, "left_anti").agg(
-        F.lit("unknown_keys").alias("check"), F.count(F.lit(1)).alias("n")
+def score_checks(
+    scores: DataFrame, rows: DataFrame, keys: list[str] = KEYS, metrics: list[str] = EXTERNAL_METRICS, lo: float = -1.0, hi: float = 1.0
+) -> DataFrame:
+    """Quality report of a long score table (keys..., metric, score) against the
+    predictions ``rows`` (keys...), as (check, n) rows: duplicate (key, metric)
+    rows, rows whose key has no prediction, rows of unknown metrics, scores
+    outside [lo, hi], NULL scores, all rows, and predictions without any score.
+
+    Both tables go through one aggregate by (key, metric), whose few rows per
+    key are summed by key: no join."""
+    s = scores.select(
+        *keys,
+        "metric",
+        F.lit(0).alias("_pred"),
+        F.lit(1).alias("rows"),
+        F.coalesce(((F.col("score") < lo) | (F.col("score") > hi)).cast("int"), F.lit(0)).alias("out_of_range"),
+        F.col("score").isNull().cast("int").alias("null_scores"),
+        (~F.coalesce(F.col("metric").isin(metrics), F.lit(False))).cast("int").alias("unknown_metrics"),
     )
-    counts = scores.agg(
-        F.count(F.when((F.col("score") < lo) | (F.col("score") > hi), 1)).alias("out_of_range"),
-        F.count(F.when(F.col("score").isNull(), 1)).alias("null_scores"),
-        F.count(F.lit(1)).alias("rows"),
-    ).select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in ("out_of_range", "null_scores", "rows")]),
-                                          F.array("out_of_range", "null_scores", "rows"))).alias("check", "n"))
-    return dup.unionByName(unknown).unionByName(counts)
+    zero = [F.lit(0).alias(c) for c in s.columns[len(keys) + 2 :]]
+    both = s.unionByName(rows.select(*keys, F.lit(None).cast("string").alias("metric"), F.lit(1).alias("_pred"), *zero))
+    sums = ["rows", "out_of_range", "null_scores", "unknown_metrics"]
+    per = both.groupBy(*keys, "metric").agg(F.max("_pred").alias("_pred"), *[F.sum(c).alias(c) for c in sums])
+    per = per.withColumn("duplicates", F.greatest(F.col("rows") - 1, F.lit(0)))
+    per = per.groupBy(*keys).agg(F.max("_pred").alias("_pred"), *[F.sum(c).alias(c) for c in [*sums, "duplicates"]])
+    per = per.withColumn("unknown_keys", F.when(F.col("_pred") == 0, F.col("rows")).otherwise(0))
+    per = per.withColumn("without_score", (F.col("rows") == 0).cast("int"))
+    checks = ["duplicates", "unknown_keys", "unknown_metrics", "out_of_range", "null_scores", "rows", "without_score"]
+    total = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in checks])
+    return total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in checks])).alias("x")).select("x.*")
 
 
 def attach_scores(rows: DataFrame, scores: DataFrame, metrics: list[str], keys: list[str] = KEYS) -> DataFrame:
-    """Left-join a long score table as one column per metric. Duplicate
-    (key, metric) rows keep the last-written value by max over an ingest
-    order column when present, else the max score."""
-    order = "ingest_order" if "ingest_order" in scores.columns else "score"
-    wide = scores.filter(F.col("metric").isin(metrics)).groupBy(*keys).pivot("metric", metrics).agg(F.max_by("score", order))
-    return rows.join(wide.hint("merge"), keys, "left")
-
-
-def greedy_match(vectors: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Left-join a long score table as one column per metric. Of several scores
+    of one (key, metric) the last by the column ``ingest_order`` counts; without
+    that column they are an error (NULL scores aside)."""
+    cols = []
+    for m in metrics:
+        mine = F.col("metric") == m
+        x = F.when(mine, F.col("score"))
+        if "ingest_order" in scores.columns:
+            cols.append(F.max_by(x, F.when(mine, F.col("ingest_order"))).alias(m))
+        else:
+            twice = F.raise_error(F.lit(f"several {m} scores of one prediction and no column ingest_order")).cast("double")
+            cols.append(F.when(F.count(x) > 1, twice).otherwise(F.max(x)).alias(m))
+    wide = scores.filter(F.col("metric").isin(metrics)).groupBy(*keys).agg(*cols)
+    return rows.join(wide, keys, "left")
+
+
+def _checked(vectors: DataFrame, keys: list[str], max_tokens: int) -> DataFrame:
+    """``vectors`` gathered by ``keys``; more than ``max_tokens`` of them raise
+    before any are collected. Window and gathering share one shuffle."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.monotonically_increasing_id()))
+    too_many = F.raise_error(F.lit(f"a text of more than {max_tokens} token vectors")).cast("array<double>")
+    v = vectors.withColumn("_n", n).withColumn("vec", F.when(F.col("_n") > max_tokens, too_many).otherwise(F.col("vec")))
+    return v.groupBy(*keys).agg(F.collect_list("vec").alias("vecs"))
+
+
+def greedy_match(vectors: DataFrame, key: str = "pair_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Greedy-matching similarity (BERTScore form, no idf weighting): for
     token vectors (key, side, vec) with side 0 = candidate, 1 = reference,
     P = mean over candidate tokens of the best cosine to any reference token,
-    R = the converse, F1 = 2PR / (P + R).
+    R = the converse, F1 = 2PR / (P + R). A zero vector has cosine 0.
 
-    The vectors of one text pair (bounded by the encoder's sequence length)
-    are gathered per key and reduced by an Arrow-batched numpy matrix product.
+    The vectors of one text are gathered and reduced by an Arrow-batched numpy
+    matrix product; a text has ``max_tokens`` of them at most, the encoder's
+    sequence length, and a longer one raises.
     """
-    grouped = vectors.groupBy(key).agg(
-        F.collect_list(F.when(F.col("side") == 0, F.col("vec"))).alias("cand"),
-        F.collect_list(F.when(F.col("side") == 1, F.col("vec"))).alias("ref"),
+    sides = _checked(vectors.select(key, "side", "vec"), [key, "side"], max_tokens)
+    grouped = sides.groupBy(key).agg(
+        F.max(F.when(F.col("side") == 0, F.col("vecs"))).alias("cand"), F.max(F.when(F.col("side") == 1, F.col("vecs"))).alias("ref")
     )
     return grouped.select(key, _greedy_prf("cand", "ref").alias("s")).select(key, "s.precision", "s.recall", "s.f1")
 
 
+def keyphrase_target(pred_vectors: DataFrame, src_vectors: DataFrame, src_of: dict[str, str], max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """(model, row_id, exp, target): greedy-matching F1 of the key phrase of each
+    prediction, as token vectors (model, row_id, exp, vec), and that of its source,
+    (row_id, src, vec). ``src_of`` names the source column of each experiment. The
+    phrase of a source is gathered once, whatever the number of predictions; a
+    prediction without a phrase on either side has no row or a NULL target."""
+    pred = _checked(pred_vectors.select("model", "row_id", "exp", "vec"), ["model", "row_id", "exp"], max_tokens).withColumnRenamed("vecs", "cand")
+    src = _checked(src_vectors.select("row_id", "src", "vec"), ["row_id", "src"], max_tokens).withColumnRenamed("vecs", "ref")
+    of = F.create_map(*[F.lit(x) for kv in src_of.items() for x in kv])
+    both = pred.withColumn("src", F.try_element_at(of, F.col("exp"))).join(src, ["row_id", "src"], "left")
+    return both.select("model", "row_id", "exp", _greedy_prf("cand", "ref").alias("s")).select("model", "row_id", "exp", F.col("s.f1").alias("target"))
+
+
 def _prf(cand, ref):
-    if len(cand) == 0 or len(ref) == 0:
+    if cand is None or ref is None or len(cand) == 0 or len(ref) == 0:
         return (None, None, None)
-    a = np.vstack(cand).astype(np.float64)
-    b = np.vstack(ref).astype(np.float64)
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    a, b = (np.vstack(x).astype(np.float64) for x in (cand, ref))
+    a, b = (np.divide(x, n, out=np.zeros_like(x), where=n > 0) for x, n in ((y, np.linalg.norm(y, axis=1, keepdims=True)) for y in (a, b)))
     sim = a @ b.T
     p, r = float(sim.max(axis=1).mean()), float(sim.max(axis=0).mean())
     return (p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0)
@@ -92,8 +135,9 @@ def matrix_reduce(matrix: DataFrame, key: str = "pair_id") -> DataFrame:
 
 
 def stance_pairs(logits: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, p_pred, p_ref, label, stance) from class logits (key, is_ref,
-    logits): softmax both, take the reference's arg-max class, score the gap."""
+    """(key, p_pred, p_ref, label, stance, rmse) from class logits (key, is_ref,
+    logits): softmax both, take the reference's arg-max class, score the gap;
+    ``rmse`` is that of the two whole distributions."""
     g = logits.groupBy(key).agg(
         F.first(F.when(~F.col("is_ref"), F.col("logits")), ignorenulls=True).alias("lp"),
         F.first(F.when(F.col("is_ref"), F.col("logits")), ignorenulls=True).alias("lr"),
@@ -106,6 +150,7 @@ def stance_pairs(logits: DataFrame, key: str = "pair_id") -> DataFrame:
         "p_ref",
         F.element_at(labels, V.argmax1(F.col("p_ref")).cast("int")).alias("label"),
         V.stance_gap(F.col("p_pred"), F.col("p_ref")).alias("stance"),
+        V.rmse(F.col("p_pred"), F.col("p_ref")).alias("rmse"),
     )
 
 

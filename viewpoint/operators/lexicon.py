@@ -1,5 +1,5 @@
-"""Lexicon operators: loading, last-wins dedupe, lemma composition, and
-token-level valence/arousal statistics joined on exploded tokens.
+"""Lexicon operators: last-wins dedupe, lemma composition, and token-level
+valence/arousal statistics joined on exploded tokens.
 
 Scores are integer thousandths (``v``, ``a``, ``d`` in 0..1000): sums stay
 exact and are divided once.
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewpoint.functions import text as T
-from viewpoint.operators.joins import bounded_broadcast
 
 # Valence bounds for polar terms and the arousal threshold
 # (thousandths of the lexicon's 0..1 scale).
@@ -19,10 +18,9 @@ POLAR_LOW, POLAR_HIGH, AROUSING = 350, 650, 650
 
 
 def dedupe_last(lines: DataFrame) -> DataFrame:
-    """One entry per term; a repeated term keeps its last line (``line_no``)."""
-    return lines.groupBy("term").agg(F.max_by(F.struct("v", "a", "d"), F.col("line_no")).alias("e")).select(
-        "term", "e.v", "e.a", "e.d"
-    )
+    """One entry per term; a repeated term keeps its last line (``line_no``, of
+    any type that orders). With a number as ``line_no`` this is a hash aggregate."""
+    return lines.groupBy("term").agg(*[F.max_by(c, "line_no").alias(c) for c in ("v", "a", "d")])
 
 
 def surface_lookup(lexicon: DataFrame, lemmas: DataFrame | None = None, polar_only: bool = True) -> DataFrame:
@@ -30,7 +28,9 @@ def surface_lookup(lexicon: DataFrame, lemmas: DataFrame | None = None, polar_on
 
     Tokens with a lemma use the lemma's entry (a miss if the lemma has none);
     other tokens use their own entry. Composing the two small tables once
-    replaces a lemma join on every token occurrence.
+    replaces a lemma join on every token occurrence. Write the result once
+    (:func:`viewpoint.session.materialize`) and pass it to all that use it: the
+    planner then knows its bytes and broadcasts it if they are few.
     """
     lex = lexicon.select("term", "v", "a")
     if polar_only:  # non-polar entries never contribute to any statistic
@@ -52,14 +52,16 @@ def token_stats(df: DataFrame, keys: list[str], text_col: str, lookup: DataFrame
     """Per row of ``df`` (identified by ``keys``): number of polar token
     occurrences, of arousing ones among them, and the sum of their arousal.
 
-    Plan: ``explode_outer`` the tokens (rows without tokens survive) -> left
-    broadcast hash join to the size-checked lookup -> aggregate by ``keys``.
-    There is no join back: when ``df`` is already clustered by a prefix of the
-    keys (topics partitioned by ``row_id``), the aggregate needs no shuffle.
+    ``explode_outer`` the tokens (rows without tokens survive), left join the
+    lookup, aggregate by ``keys``: no join back. The planner picks the join by
+    the lookup's bytes; where it has to shuffle tokens, the skew join splits the
+    frequent ones, and rows without a token carry a key of their own that matches
+    nothing instead of meeting in one partition.
     """
-    lk = bounded_broadcast(lookup)
     occ = explode_lexicon_tokens(df, keys, text_col, outer=True)
-    hits = occ.join(lk, "token", "left")
+    nothing = F.concat(F.lit("\u0000"), F.xxhash64(*keys).cast("string"))
+    occ = occ.withColumn("token", F.coalesce("token", nothing))
+    hits = occ.join(lookup, "token", "left")
     pol = F.col("v").isNotNull() & polar(F.col("v"), strict)
     return hits.groupBy(*keys).agg(
         F.count(F.when(pol, 1)).alias("num_pol"),
@@ -89,3 +91,13 @@ def intensity(df: DataFrame, keys: list[str], text_col: str, lookup: DataFrame,
     """Scorer intensity: mean arousal over strictly polar tokens (0 if none)."""
     s = token_stats(df, keys, text_col, lookup, strict=True)
     return s.select(*keys, mean_arousal(F.col("num_pol"), F.col("sum_a")).alias(out))
+
+
+def intensity_gap(long: DataFrame, sources: DataFrame, lookup: DataFrame, first_sentence: bool = True) -> DataFrame:
+    """(model, row_id, exp, pred_int, src_int, intens): the squared difference of
+    the intensity of ``long`` (model, row_id, exp, pred) and that of ``sources``
+    (row_id, text), which is worked out once per topic, not once per experiment."""
+    text = T.first_sentence("pred") if first_sentence else F.col("pred")
+    pred = intensity(long.select("model", "row_id", "exp", text.alias("text")), ["model", "row_id", "exp"], "text", lookup, out="pred_int")
+    src = intensity(sources.select("row_id", "text"), ["row_id"], "text", lookup, out="src_int")
+    return pred.join(src, "row_id", "left").withColumn("intens", F.pow(F.col("pred_int") - F.col("src_int"), 2))

@@ -1,15 +1,15 @@
 """Passage explode and extraction facts (one row per model, topic, passage).
 
-Plan shape: topic-level work (passage split, side, length, token sets, the two
-ignore sets, lexicon statistics) is done once per topic, independent of the
-model; predictions only contribute four small first-sentence token sets per
-(model, topic). The two meet in one equi-join on ``row_id`` and the passages
-are exploded after it, carrying ids, side, length and token sets only.
+Topic-level work (passage split, side, length, token sets, ignore sets) is
+row-local: it needs neither a join nor a shuffle. Predictions contribute four
+small first-sentence token sets per (model, topic). The two meet in one
+equi-join on ``row_id``, one exchange a side, and the passages are exploded
+after it, carrying ids, side, length and token sets only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewpoint.functions import coverage as C
@@ -20,48 +20,52 @@ SUMMARY_KEYS = ["spl", "spr", "mpl", "mpr"]
 SUMMARY_SOURCES = {"spl": "sp_left_pred", "spr": "sp_right_pred", "mpl": "mp_left_pred", "mpr": "mp_right_pred"}
 
 
+def pinned(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """(keep..., columns...), each of ``columns`` computed once per row: the
+    explode of a one-element array keeps the optimizer from copying the
+    expressions into every place, and every lambda, that uses them."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_x")
+    return df.select(*keep, one).select(*keep, *[F.col(f"_x.{n}").alias(n) for n in columns])
+
+
+def _split(topics: DataFrame) -> DataFrame:
+    """(row_id, ops, nl, nr): passages and normalised sides of each topic."""
+    ops = F.split(F.coalesce(F.col("alt_op"), F.lit("")), "\n")
+    return pinned(topics, ["row_id"], ops=ops, nl=T.normalize("left_op"), nr=T.normalize("right_op"))
+
+
+def _info() -> Column:
+    return F.transform("ops", lambda op: F.struct(T.side_of(op, F.col("nl"), F.col("nr")).alias("side"), T.passage_length(op).alias("length")))
+
+
 def explode_passages(topics: DataFrame) -> DataFrame:
     """(row_id, pos, op, side, length): ``alt_op.split('\n')`` with 0-based
-    positions (empty passages kept), side of each passage, ``len(re.split)``.
-
-    The normalised left/right texts are computed once per topic and joined
-    back on ``row_id`` (co-partitioned: no shuffle). Referencing them from a
-    per-passage lambda instead would let the optimizer inline the whole-text
-    normalisation into every passage."""
-    p = topics.select("row_id", F.posexplode(F.split(F.coalesce(F.col("alt_op"), F.lit("")), "\n")).alias("pos", "op"))
-    txt = topics.select("row_id", T.normalize("left_op").alias("_nl"), T.normalize("right_op").alias("_nr"))
-    return p.join(txt.hint("merge"), "row_id").select(
-        "row_id",
-        "pos",
-        "op",
-        T.side_of("op", "_nl", "_nr").alias("side"),
-        T.passage_length("op").alias("length"),
-    )
+    positions (empty passages kept), side of each passage, ``len(re.split)``."""
+    p = _split(topics).select("row_id", F.posexplode(F.arrays_zip(F.col("ops").alias("op"), _info().alias("info"))).alias("pos", "p"))
+    return p.select("row_id", "pos", F.col("p.op").alias("op"), F.col("p.info.side").alias("side"), F.col("p.info.length").alias("length"))
 
 
-def lead_side(topics: DataFrame) -> DataFrame:
-    """(row_id, lead_side): the side of the whole ``alt_op`` (its first 30 chars)."""
-    return topics.select("row_id", T.side_of("alt_op", T.normalize("left_op"), T.normalize("right_op")).alias("lead_side"))
+def lead_side() -> Column:
+    """Side of the whole ``alt_op`` (its first 30 characters)."""
+    return T.side_of("alt_op", T.normalize("left_op"), T.normalize("right_op"))
 
 
-def topic_passages(topics: DataFrame) -> DataFrame:
-    """Per topic: ``_toks`` (token set of each passage, in order) and both
-    ignore sets.
+def topic_passages(topics: DataFrame, unique_mode: str = "as_coded") -> DataFrame:
+    """Per topic: ``_toks`` (token set of each passage, in order), ``_info``
+    (side and length of each), ``lead_side`` and the ignore set ``_ign``.
 
-    ``ign_coded``: characters of passage 0 (normalised, not tokenised) union
-    the tokens of passages 1..n, as the reference computes it.
-    ``ign_shared``: tokens present in every passage (the stated intent).
+    'as_coded': characters of passage 0 (normalised, not tokenised) union the
+    tokens of passages 1..n, as the reference computes it. 'shared': tokens
+    present in every passage (the stated intent).
     """
-    ops = F.split(F.coalesce(F.col("alt_op"), F.lit("")), "\n")
-    t = topics.select("row_id", ops.alias("_ops")).select(
-        "row_id", "_ops", F.transform("_ops", lambda op: F.array_distinct(T.word_tokens(op))).alias("_toks")
-    )
-    return t.select(
-        "row_id",
-        "_toks",
-        C.ignore_as_coded(F.col("_ops"), F.col("_toks")).alias("ign_coded"),
-        C.ignore_shared(F.col("_toks")).alias("ign_shared"),
-    )
+    if unique_mode not in ("as_coded", "shared"):
+        raise ValueError("unique_mode must be 'as_coded' or 'shared'")
+    t = _split(topics)
+    toks = F.transform("ops", lambda op: F.array_distinct(T.word_tokens(op)))
+    lead = T.side_of(F.array_join("ops", "\n"), F.col("nl"), F.col("nr"))
+    t = pinned(t, ["row_id"], ops=F.col("ops"), _toks=toks, _info=_info(), lead_side=lead)
+    ign = C.ignore_as_coded(F.col("ops"), F.col("_toks")) if unique_mode == "as_coded" else C.ignore_shared(F.col("_toks"))
+    return t.select("row_id", "_toks", "_info", "lead_side", ign.alias("_ign"))
 
 
 def summary_sets(preds: DataFrame, reference: bool = False) -> DataFrame:
@@ -93,56 +97,37 @@ def arousal_by_passage(passages: DataFrame, lookup: DataFrame, extra: tuple[str,
     )
 
 
-def passage_info(topics: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
-    """(row_id, _info): per topic, the array (ordered by position) of each
-    passage's side, length and - with a lexicon - arousal features. Built
-    from the exploded passages and gathered per topic without a shuffle when
-    topics are partitioned by ``row_id``."""
-    p = explode_passages(topics)
-    fields = ["pos", "side", "length"]
-    if lookup is not None:
-        p = arousal_by_passage(p, lookup, extra=("side", "length"))
-        fields += ["num_arous", "perc_arous", "arous_score"]
-    return p.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_info"))
-
-
 def extraction_facts(
     topics: DataFrame,
     summaries: DataFrame,
     lookup: DataFrame | None = None,
     unique_mode: str = "as_coded",
 ) -> DataFrame:
-    """Extraction fact table: (model, row_id, pos, side, length, {spl,spr,mpl,mpr}_ext,
-    {..}_ext_unq [, num_arous, perc_arous, arous_score]).
+    """Extraction fact table: (model, row_id, lead_side, pos, side, length,
+    {spl,spr,mpl,mpr}_ext, {..}_ext_unq [, num_arous, perc_arous, arous_score]).
 
     ``summaries`` comes from :func:`summary_sets` (models and/or reference).
-    ``unique_mode`` picks the ignore set of the ``_unq`` columns
-    ('as_coded' or 'shared'). All model-independent work (token sets, ignore
-    sets, sides, lengths, arousal) is done once per topic; the model join is
-    on ``row_id`` and the passage explode is the last step, each exploded row
-    carrying only its own passage.
+    ``unique_mode`` picks the ignore set of the ``_unq`` columns, see
+    :func:`topic_passages`. All model-independent work is done once per topic;
+    the model join is on ``row_id`` and the passage explode is the last step,
+    each exploded row carrying only its own passage.
     """
-    if unique_mode not in ("as_coded", "shared"):
-        raise ValueError("unique_mode must be 'as_coded' or 'shared'")
-    ign = "ign_coded" if unique_mode == "as_coded" else "ign_shared"
-    # Both joins are on row_id between tables partitioned by row_id: merge
-    # joins without an exchange (never a broadcast of per-topic data).
-    tp = topic_passages(topics).join(passage_info(topics, lookup).hint("merge"), "row_id")
-    j = summaries.join(tp.hint("merge"), "row_id")
+    tp = topic_passages(topics, unique_mode)
+    arousal = ["num_arous", "perc_arous", "arous_score"] if lookup is not None else []
+    if arousal:
+        a = arousal_by_passage(explode_passages(topics), lookup)
+        a = a.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("pos", *arousal))).alias("_arous"))
+        tp = tp.join(a, "row_id")
+    j = summaries.join(tp, "row_id")
     # Summary token sets minus the topic's ignore set, once per (model, topic).
-    j = j.select(
-        "model",
-        "row_id",
-        "_toks",
-        "_info",
-        *SUMMARY_KEYS,
-        *[F.array_except(F.col(k), F.col(ign)).alias(k + "_u") for k in SUMMARY_KEYS],
-    )
-    zipped = F.arrays_zip(F.col("_toks").alias("toks"), F.col("_info").alias("info"))
-    rows = j.select("model", "row_id", *SUMMARY_KEYS, *[k + "_u" for k in SUMMARY_KEYS], F.posexplode(zipped).alias("pos", "p"))
-    cols = [
+    sets = {k: F.col(k) for k in SUMMARY_KEYS} | {k + "_u": F.array_except(F.col(k), F.col("_ign")) for k in SUMMARY_KEYS}
+    parts = [F.col("_toks").alias("toks"), F.col("_info").alias("info")] + [F.col("_arous").alias("arous")] * bool(arousal)
+    j = pinned(j, ["model", "row_id", "lead_side"], **sets, p=F.arrays_zip(*parts))
+    rows = j.select("model", "row_id", "lead_side", *sets, F.posexplode("p").alias("pos", "p"))
+    return rows.select(
         "model",
         "row_id",
+        "lead_side",
         F.col("pos").cast("bigint").alias("pos"),
         F.col("p.info.side").alias("side"),
         F.col("p.info.length").cast("bigint").alias("length"),
@@ -150,7 +135,5 @@ def extraction_facts(
         # The summary set already excludes the ignore set, so intersecting with
         # the whole passage set equals intersecting with (passage - ignore).
         *[C.coverage(F.col(k + "_u"), F.col("p.toks")).alias(f"{k}_ext_unq") for k in SUMMARY_KEYS],
-    ]
-    if lookup is not None:
-        cols += [F.col(f"p.info.{c}").alias(c) for c in ("num_arous", "perc_arous", "arous_score")]
-    return rows.select(*cols)
+        *[F.col(f"p.arous.{c}").alias(c) for c in arousal],
+    )

@@ -6,7 +6,7 @@ parses the response table; sending requests and running models stay outside.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Instructions per template set and experiment (the mixed and
@@ -55,21 +55,24 @@ MISTRAL_MARK, MISTRAL_SKIP = "[/INST]", 8
 VICUNA_MARK, VICUNA_SKIP, VICUNA_TAIL = "ASSISTANT:", 11, 3
 
 
-def template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "template string, exp string, instruction string")
+def instruction(template: Column, exp: Column) -> Column:
+    """Instruction of a template set for an experiment, NULL for unknown ones."""
+    out = F.lit(None).cast("string")
+    for t, e, text in reversed(TEMPLATES):
+        out = F.when((template == t) & (exp == e), F.lit(text)).otherwise(out)
+    return out
 
 
-def prompt_rows(topics: DataFrame, templates: DataFrame, exps: list[str] | None = None) -> DataFrame:
-    """(row_id, template, exp, prompt = instruction + '\\n' + source text).
-
-    One explode of (exp, source text) per topic, then a broadcast join to the
-    8-row template table (a fixed-size constant)."""
+def prompt_rows(topics: DataFrame, templates: tuple[str, ...] = ("api", "local"), exps: list[str] | None = None) -> DataFrame:
+    """(row_id, template, exp, prompt = instruction + '\\n' + source text): one
+    explode per topic over the experiments and template sets asked for; the
+    instructions are constants of the plan, so there is no join."""
     items = [e for e in EXP_SOURCE if exps is None or e in exps]
     arr = F.array(*[F.struct(F.lit(e).alias("exp"), F.col(EXP_SOURCE[e]).alias("text")) for e in items])
     per_exp = topics.select("row_id", F.explode(arr).alias("x")).select("row_id", "x.exp", "x.text")
-    return per_exp.join(F.broadcast(templates), "exp").select(
-        "row_id", "template", "exp", F.concat(F.col("instruction"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("prompt")
-    )
+    rows = per_exp.select("row_id", F.explode(F.array(*[F.lit(t) for t in templates])).alias("template"), "exp", "text")
+    prompt = F.concat(instruction(F.col("template"), F.col("exp")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return rows.select("row_id", "template", "exp", prompt.alias("prompt"))
 
 
 def messages_json(prompt: Column) -> Column:
@@ -78,7 +81,8 @@ def messages_json(prompt: Column) -> Column:
 
 def wrap_for_family(family: Column, prompt_col: str = "prompt") -> Column:
     """Model input by family: mistral '<s>[INST]...' text, vicuna 'USER: ...
-    ASSISTANT:' text, chat families a JSON message list."""
+    ASSISTANT:' text, chat families a JSON message list. NULL for other
+    families; list those with :func:`family_error`."""
     inst_text = F.col(prompt_col)
     return (
         F.when(family == "mistral", F.concat(F.lit("<s>[INST]\n"), inst_text, F.lit("\n[/INST]\n")))
@@ -101,15 +105,31 @@ def request_payload(model: Column, prompt: Column, user: Column, model_prefix: s
     )
 
 
+def response_content(raw: Column) -> Column:
+    """``choices[0].message.content`` of a response whose whole text is one JSON
+    value, else NULL.
+
+    Spark's JSON functions stop at the end of the first value, so the text is
+    also read as the only element of an array and as a member of an object: text
+    after the value breaks one of the two."""
+    alone = (F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1) & F.get_json_object(
+        F.concat(F.lit('{"x":'), raw, F.lit("}")), "$.x"
+    ).isNotNull()
+    return F.when(alone, F.get_json_object(raw, "$.choices[0].message.content"))
+
+
 def response_text(raw: Column) -> Column:
-    """``choices[0].message.content`` of a JSON response, 'Error' when the
-    response does not parse or lacks it."""
-    return F.coalesce(F.get_json_object(raw, "$.choices[0].message.content"), F.lit("Error"))
+    """:func:`response_content`, 'Error' when the response does not parse or lacks it."""
+    return F.coalesce(response_content(raw), F.lit("Error"))
+
+
+# Families whose prompts are wrapped.
+FAMILIES = ["mistral", "vicuna", "mixtral", "llama"]
 
 
 def family_of(model: Column) -> Column:
-    """The reference's name test made explicit: 'mistral' and 'vicuna' are
-    case-sensitive substrings, 'mixtral'/'llama' case-insensitive; NULL if none."""
+    """Prompt family by name: 'mistral' and 'vicuna' are case-sensitive
+    substrings, 'mixtral'/'llama' case-insensitive; NULL if none."""
     low = F.lower(model)
     return (
         F.when(model.contains("mistral"), F.lit("mistral"))
@@ -119,6 +139,22 @@ def family_of(model: Column) -> Column:
     )
 
 
+def cleanup_family_of(model: Column) -> Column:
+    """Family whose output rule applies: all three names are case-sensitive, so
+    'Meta-Llama-3' is prompted as llama and its output left alone."""
+    return (
+        F.when(model.contains("mistral"), F.lit("mistral"))
+        .when(model.contains("vicuna"), F.lit("vicuna"))
+        .when(model.contains("llama"), F.lit("llama"))
+    )
+
+
+def family_error(family: Column, model: Column) -> Column:
+    """Why a row has no model input; NULL for the known families."""
+    known = F.coalesce(family.isin(*FAMILIES, "api"), F.lit(False))
+    return F.when(~known, F.concat(F.lit("unknown model family: "), F.coalesce(model, F.lit(""))))
+
+
 def clean_output(text: Column, family: Column, parity: bool = False) -> Column:
     """Strip the echoed prompt / preamble from a local model's decoded output.
 
@@ -150,20 +186,29 @@ def _py_slice(text: Column, start: Column, end: Column) -> Column:
     return text.substr(start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def assemble_predictions(requests: DataFrame, responses: DataFrame, keys: tuple[str, ...] = ("model", "row_id", "exp")) -> DataFrame:
-    """Prediction table from the request rows and the response table: one row
-    per request with the parsed text; a request without a response (or with
-    an unparseable one) gets 'Error', flagged by ``is_error``. Equi-join on
-    the request key; duplicate responses keep the last by ``received`` when
-    present."""
-    r = responses
-    if "received" in r.columns:
-        r = r.groupBy(*keys).agg(F.max_by("raw", "received").alias("raw"))
-    parsed = r.select(*keys, F.get_json_object("raw", "$.choices[0].message.content").alias("_c"), F.col("raw").alias("raw_response"))
-    out = requests.join(parsed, list(keys), "left")
+def assemble_predictions(
+    requests: DataFrame, responses: DataFrame, keys: tuple[str, ...] = ("model", "row_id", "exp"), parity: bool = False
+) -> DataFrame:
+    """Prediction table: the rows of ``requests`` (keys..., and ``name``, the
+    model's name, where it is a local model) plus pred, is_error, error and
+    raw_response; one row per request.
+
+    ``responses`` (keys..., raw, received): of several responses to a request the
+    last by ``received`` counts, of those with the same one the largest text. A
+    request without a name is an API request, whose response is a JSON body; a
+    missing or unparseable one gives 'Error'. The output of a local model is
+    cleaned by its family; a family that is not known is listed in ``error``, and
+    a missing output is 'Error', too."""
+    if "received" not in responses.columns:
+        raise ValueError("responses need a column 'received' that orders those to one request")
+    last = responses.groupBy(*keys).agg(F.max_by("raw", F.struct("received", "raw")).alias("raw_response"))
+    out = requests.join(last, list(keys), "left")
+    raw, name = F.col("raw_response"), F.col("name") if "name" in requests.columns else F.lit(None).cast("string")
+    local = clean_output(raw, cleanup_family_of(name), parity)
+    bad = F.when(name.isNotNull(), family_error(family_of(name), name))
+    text = F.when(name.isNull(), response_content(raw)).when(bad.isNull(), local)
+    out = out.select(*requests.columns, text.alias("_text"), bad.alias("_bad"), "raw_response")
+    error = F.coalesce("_bad", F.when(raw.isNull(), F.lit("no response")).when(F.col("_text").isNull(), F.lit("unparseable response")))
     return out.select(
-        *requests.columns,
-        F.coalesce(F.col("_c"), F.lit("Error")).alias("pred"),
-        F.col("_c").isNull().alias("is_error"),
-        "raw_response",
+        *requests.columns, F.coalesce("_text", F.lit("Error")).alias("pred"), F.col("_text").isNull().alias("is_error"), error.alias("error"), "raw_response"
     )

@@ -94,7 +94,7 @@ def doc_coverage(
     whole ``alt_op`` and their average.
 
     The document's token set is built once per topic and joined on
-    ``row_id`` (co-partitioned with the predictions), not once per model row.
+    ``row_id``, not once per model row.
     """
     doc = topics.select("row_id", F.array_distinct(T.word_tokens("alt_op")).alias("_doc"))
     summ = preds.select(
@@ -103,7 +103,7 @@ def doc_coverage(
         F.array_distinct(T.word_tokens(left_col)).alias("_l"),
         F.array_distinct(T.word_tokens(right_col)).alias("_r"),
     )
-    cov = summ.join(doc.hint("merge"), "row_id").select(
+    cov = summ.join(doc, "row_id").select(
         "model", C.coverage(F.col("_l"), F.col("_doc")).alias("l"), C.coverage(F.col("_r"), F.col("_doc")).alias("r")
     )
     return cov.groupBy("model").agg(F.avg("l").alias("left_cov"), F.avg("r").alias("right_cov")).select(
@@ -111,10 +111,38 @@ def doc_coverage(
     )
 
 
-def summary_length(preds: DataFrame, left_col: str = "mp_left_pred", right_col: str = "mp_right_pred") -> DataFrame:
-    """Per model: mean word-token length of left / right summaries and their
-    average (labels follow the column they come from)."""
-    ln = preds.select("model", T.word_count(left_col).alias("l"), T.word_count(right_col).alias("r"))
+def summary_length(preds: DataFrame, left: Column | None = None, right: Column | None = None) -> DataFrame:
+    """Per model: mean length of left / right summaries and their average (labels
+    follow the column they come from). ``left`` and ``right`` are the lengths,
+    for example columns of subword counts; by default word tokens are counted."""
+    left = T.word_count("mp_left_pred") if left is None else left
+    right = T.word_count("mp_right_pred") if right is None else right
+    ln = preds.select("model", left.alias("l"), right.alias("r"))
     return ln.groupBy("model").agg(F.avg("l").alias("left_len"), F.avg("r").alias("right_len")).select(
         "model", "left_len", "right_len", (F.col("left_len") / 2 + F.col("right_len") / 2).alias("avg_len")
     )
+
+
+def plot_points(report: DataFrame, series: str, x: Column, suffix: str = "", sides: tuple[str, ...] = ("avg", "left", "right")) -> DataFrame:
+    """(model, series, side, x, ext, ext_std, lo, hi): the points and bands of a
+    figure from a report with mpl_ext, mpr_ext and their _std columns (with
+    ``suffix`` after _ext); side 'avg' is the mean of left and right."""
+    left, right = F.col(f"mpl_ext{suffix}"), F.col(f"mpr_ext{suffix}")
+    left_std, right_std = F.col(f"mpl_ext{suffix}_std"), F.col(f"mpr_ext{suffix}_std")
+    of = {"avg": ((left + right) / 2, (left_std + right_std) / 2), "left": (left, left_std), "right": (right, right_std)}
+    points = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), of[s][0].alias("ext"), of[s][1].alias("ext_std")) for s in sides])).alias("p")
+    p = report.select("model", F.lit(series).alias("series"), x.cast("bigint").alias("x"), points).select("model", "series", "x", "p.*")
+    return p.withColumn("lo", F.col("ext") - F.col("ext_std")).withColumn("hi", F.col("ext") + F.col("ext_std"))
+
+
+def percentile_axis(bin_col: str, num_bins: int = 10) -> Column:
+    """Upper percentile of a bin."""
+    return (F.col(bin_col) + 1) * (100 // num_bins)
+
+
+def display_names(df: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """``df`` plus the label of each model and its place in the given order; NULL
+    for models without one. The names are constants of the plan."""
+    names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    places = F.create_map(*[F.lit(x) for i, m in enumerate(labels) for x in (m, i)])
+    return df.withColumn("label", F.try_element_at(names, F.col("model"))).withColumn("ord", F.try_element_at(places, F.col("model")))

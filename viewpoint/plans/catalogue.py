@@ -2,6 +2,7 @@
 
 Every query reads the given parquet tables (through the derivations in
 :mod:`viewpoint.sources.fixtures`) over whole tables and whole texts.
+Queries that only look at single rows shuffle nothing.
 Doubles are rounded to 6 decimals as ``round(x * 1e6) / 1e6`` (the oracle does
 the same) so order-dependent float sums compare equal; integers are BIGINT.
 """
@@ -24,11 +25,11 @@ from viewpoint.operators import lexicon as LX
 from viewpoint.operators import passages as P
 from viewpoint.operators import prompts as PR
 from viewpoint.operators import reports as RP
-from viewpoint.session import materialize, spread
+from viewpoint.schemas import PRED_COLS as EXPS
+from viewpoint.schemas import ROUGE_METRICS, SRC_COLS
+from viewpoint.session import materialize
 from viewpoint.sources import fixtures as FX
 
-EXPS = FX.PRED_COLS
-
 
 def r6(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
@@ -71,10 +72,10 @@ def all_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surface-token lookup of the fixture lexicon and lemmas. The vocabulary
-    feeds both and the lemma self-join, so it is materialised once."""
+    """Surface-token lookup of the fixture lexicon and lemmas, written once. The
+    vocabulary feeds both and the lemma self-join, so it is written, too."""
     vocab = materialize(FX.vocabulary(spark, sf_dir), "vocab")
-    return LX.surface_lookup(FX.lexicon(spark, sf_dir, vocab), FX.lemmas(spark, sf_dir, vocab))
+    return materialize(LX.surface_lookup(FX.lexicon(vocab), FX.lemmas(vocab)), "lookup")
 
 
 def facts(spark: SparkSession, sf_dir: str, unique_mode: str = "as_coded", with_lexicon: bool = False) -> DataFrame:
@@ -105,9 +106,9 @@ def first_sentence(spark, sf_dir):
 
 
 def passage_side(spark, sf_dir):
-    t = FX.topics(spark, sf_dir)
-    p = P.explode_passages(t).select("row_id", "pos", "side")
-    return _out(p.join(P.lead_side(t).hint("merge"), "row_id"))
+    t = P.topic_passages(FX.topics(spark, sf_dir))
+    p = t.select("row_id", "lead_side", F.posexplode("_info").alias("pos", "p"))
+    return _out(p.select("row_id", "pos", F.col("p.side").alias("side"), "lead_side"))
 
 
 def passage_coverage(spark, sf_dir):
@@ -149,6 +150,13 @@ def summary_length_by_model(spark, sf_dir):
     return _out(RP.summary_length(_with_ref(spark, sf_dir)))
 
 
+def summary_length_tokens(spark, sf_dir):
+    """As above with token counts that come as columns (a subword for every four
+    characters begun)."""
+    p = _with_ref(spark, sf_dir).withColumns({f"{c}_tokens": F.ceil(F.length(c) / 4) for c in ("mp_left_pred", "mp_right_pred")})
+    return _out(RP.summary_length(p, F.col("mp_left_pred_tokens"), F.col("mp_right_pred_tokens")))
+
+
 # --- bins ----------------------------------------------------------------------
 
 
@@ -185,32 +193,13 @@ def intensity(spark, sf_dir):
 
 
 def intensity_gap(spark, sf_dir):
-    """(pred first-sentence intensity - alt_op intensity)^2 per prediction; the
-    source intensity is computed once per topic, not once per experiment."""
-    lk = lookup(spark, sf_dir)
-    lp = long_predictions(spark, sf_dir).select("model", "row_id", "exp", T.first_sentence("pred").alias("p"))
-    pred_int = LX.intensity(lp, ["model", "row_id", "exp"], "p", lk, out="pred_int").drop("p")
-    t = FX.topics(spark, sf_dir).select("row_id", "alt_op")
-    src_int = LX.intensity(t, ["row_id"], "alt_op", lk, out="src_int").drop("alt_op")
-    g = pred_int.join(src_int.hint("merge"), "row_id")
-    return _out(g.withColumn("intens", F.pow(F.col("pred_int") - F.col("src_int"), 2)))
-
-
-def lexicon_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw lexicon lines with repeats: every token occurrence in the documents
-    is a line whose scores hash (token, doc); line order is (doc, position)."""
-    d = spread(FX.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    occ = d.select("doc_id", F.posexplode(T.lexicon_tokens("text")).alias("i", "term"))
-    h = F.md5(F.concat(F.col("term"), F.lit(":"), F.col("doc_id").cast("string")))
-    return occ.select(
-        "term",
-        (F.col("doc_id") * 1000000 + F.col("i")).alias("line_no"),
-        *[(F.conv(F.substring(h, s, 4), 16, 10).cast("int") % 1001).alias(n) for n, s in (("v", 1), ("a", 5), ("d", 13))],
-    )
+    """(pred first-sentence intensity - alt_op intensity)^2 per prediction."""
+    sources = FX.topics(spark, sf_dir).select("row_id", F.col("alt_op").alias("text"))
+    return _out(LX.intensity_gap(long_predictions(spark, sf_dir), sources, lookup(spark, sf_dir)))
 
 
 def lexicon_dedupe(spark, sf_dir):
-    return _out(LX.dedupe_last(lexicon_lines(spark, sf_dir)))
+    return _out(LX.dedupe_last(FX.lexicon_lines(spark, sf_dir)))
 
 
 # --- ROUGE ---------------------------------------------------------------------
@@ -241,56 +230,66 @@ def rougeL(spark, sf_dir):
 
 def experiment_scores(spark, sf_dir):
     s = X.score_rouge(long_predictions(spark, sf_dir))
-    return _out(s.select("model", "row_id", "exp", *X.ROUGE_METRICS))
-
-
-def external_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long external score table (model, row_id, exp, metric, score): a
-    'bleurt' score per prediction of every labelled document; unlabelled
-    documents have no score (missing rows)."""
-    p = long_predictions(spark, sf_dir)
-    labels = FX.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id")).distinct()
-    labelled = p.join(labels.hint("merge"), "row_id", "left_semi")
-    m = F.substring("model", 2, 10).cast("int")
-    return labelled.select(
-        "model", "row_id", "exp", F.lit("bleurt").alias("metric"), (((F.col("row_id") * 31 + m * 7) % 101) / 100.0).alias("score")
-    )
+    return _out(s.select("model", "row_id", "exp", *ROUGE_METRICS))
 
 
-def _base_summary_df(spark, sf_dir):
-    s = X.score_rouge(long_predictions(spark, sf_dir)).select("model", "row_id", "exp", *X.ROUGE_METRICS)
-    s = E.attach_scores(s, external_scores(spark, sf_dir), ["bleurt"])
-    return RP.metric_summary(s, X.resolve_metrics(["rouge", "bleurt"]))
+def rouge_missing_text(spark, sf_dir):
+    """ROUGE-1 of whole predictions, every ninth topic without one, in the three
+    ways of scoring a missing text; mixed experiments only."""
+    p = X.unpivot(FX.predictions(spark, sf_dir), exps=["mp_left_pred", "mp_right_pred"])
+    p = p.withColumn("pred", F.when(F.col("row_id") % 9 != 0, F.col("pred"))).select("model", "row_id", "exp", "pred", "ref")
+    for missing in ("null", "sentinel", "nan_text"):
+        p = X.score_rouge(p, first_sentence=False, missing=missing, metrics=["rouge1"]).withColumnRenamed("rouge1", missing)
+    return _out(p.drop("pred", "ref"))
+
+
+def _base_rows(spark, sf_dir):
+    long = long_predictions(spark, sf_dir)
+    s = X.score_rouge(long).select("model", "row_id", "exp", *ROUGE_METRICS)
+    return E.attach_scores(s, FX.external_scores(spark, sf_dir, long), ["bleurt"])
 
 
 def base_summary(spark, sf_dir):
-    return _out(_base_summary_df(spark, sf_dir))
+    return _out(RP.metric_summary(_base_rows(spark, sf_dir), X.resolve_metrics(["rouge", "bleurt"])))
 
 
 def score_checks(spark, sf_dir):
-    return _out(E.score_checks(external_scores(spark, sf_dir), long_predictions(spark, sf_dir)))
+    long = long_predictions(spark, sf_dir)
+    return _out(E.score_checks(FX.external_scores(spark, sf_dir, long), long))
 
 
 # --- model-output tables ---------------------------------------------------------
 
 
+def _stance(spark, sf_dir):
+    return E.stance_pairs(FX.stance_logits(spark, sf_dir))
+
+
 def stance_gap(spark, sf_dir):
-    s = E.stance_pairs(FX.stance_logits(spark, sf_dir))
-    return _out(s.select("pair_id", "label", "stance", F.get("p_ref", 0).alias("p_ref_pro")))
+    return _out(_stance(spark, sf_dir).select("pair_id", "label", "stance", "rmse", F.get("p_ref", 0).alias("p_ref_pro")))
 
 
 def stance_summary(spark, sf_dir):
-    """Stance per (model, exp) joined to the base summary: pair k is scored
-    for model m(k mod 3) and experiment (k div 3) mod 4."""
-    s = E.stance_pairs(FX.stance_logits(spark, sf_dir))
-    exps = F.array(*[F.lit(e) for e in EXPS])
-    s = s.select(
-        F.concat(F.lit("m"), (F.col("pair_id") % 3).cast("string")).alias("model"),
-        F.element_at(exps, (F.floor(F.col("pair_id") / 3) % 4 + 1).cast("int")).alias("exp"),
-        "stance",
-    )
-    st = RP.metric_summary(s, ["stance"])
-    return _out(_base_summary_df(spark, sf_dir).join(st, ["model", "exp"], "left"))
+    """Base metrics and stance per (model, exp); the CI of stance counts every
+    prediction, with a stance or without."""
+    rows = _base_rows(spark, sf_dir).join(FX.stance_scores(_stance(spark, sf_dir)), E.KEYS, "left")
+    return _out(RP.metric_summary(rows, X.resolve_metrics(["rouge", "bleurt", "stance"])))
+
+
+def _targets(spark, sf_dir):
+    return E.keyphrase_target(*FX.phrase_vectors(spark, sf_dir), dict(zip(EXPS, SRC_COLS)))
+
+
+def keyphrase_target(spark, sf_dir):
+    return _out(_targets(spark, sf_dir))
+
+
+def perspective_rows(spark, sf_dir):
+    """Stance, intensity gap and key-phrase score of every prediction."""
+    sources = FX.topics(spark, sf_dir).select("row_id", F.col("alt_op").alias("text"))
+    rows = LX.intensity_gap(long_predictions(spark, sf_dir), sources, lookup(spark, sf_dir)).select(*E.KEYS, "intens")
+    rows = rows.join(FX.stance_scores(_stance(spark, sf_dir)), E.KEYS, "left").join(_targets(spark, sf_dir), E.KEYS, "left")
+    return _out(rows.select(*E.KEYS, "stance", "intens", "target"))
 
 
 def greedy_match_f1(spark, sf_dir):
@@ -302,35 +301,37 @@ def matrix_reduce(spark, sf_dir):
 
 
 def prompt_table(spark, sf_dir):
-    """Model inputs per topic, experiment and family: the API request body,
-    and the local template wrapped for mistral, vicuna and llama."""
-    rows = PR.prompt_rows(FX.topics(spark, sf_dir), PR.template_table(spark))
-    fam = F.when(F.col("template") == "api", F.array(F.lit("api"))).otherwise(F.array(*[F.lit(x) for x in ("mistral", "vicuna", "llama")]))
-    r = rows.select("row_id", "exp", "prompt", "template", F.explode(fam).alias("family"))
-    body = F.when(
-        F.col("family") == "api", PR.request_payload(F.lit("summarizer"), F.col("prompt"), F.col("exp"))
-    ).otherwise(PR.wrap_for_family(F.col("family")))
-    return _out(r.select("row_id", "exp", "family", body.alias("model_input")))
+    """Model inputs per topic, experiment and family: the API request body, the
+    local template wrapped for mistral, vicuna and llama, and the error for a
+    family that is not known."""
+    rows = PR.prompt_rows(FX.topics(spark, sf_dir))
+    local = F.array(*[F.lit(x) for x in ("mistral-7b", "vicuna-7b", "Meta-Llama-3", "falcon-7b")])
+    names = F.when(F.col("template") == "api", F.array(F.lit("summarizer"))).otherwise(local)
+    r = rows.select("row_id", "exp", "prompt", "template", F.explode(names).alias("name"))
+    r = r.withColumn("family", F.when(F.col("template") == "api", F.lit("api")).otherwise(PR.family_of(F.col("name"))))
+    body = F.when(F.col("family") == "api", PR.request_payload(F.col("name"), F.col("prompt"), F.col("exp"))).otherwise(
+        PR.wrap_for_family(F.col("family"))
+    )
+    return _out(r.select("row_id", "exp", "name", "family", body.alias("model_input"), PR.family_error(F.col("family"), F.col("name")).alias("error")))
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw API responses per prediction; topics with row_id % 17 = 0 got a
-    malformed body."""
-    p = long_predictions(spark, sf_dir)
-    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("pred").alias("content")).alias("message"))).alias("choices")))
-    return p.select("model", "row_id", "exp", F.when(F.col("row_id") % 17 == 0, F.lit("oops")).otherwise(body).alias("raw"))
+def prediction_table(spark, sf_dir):
+    """The prediction of every request from its responses, good and broken ones."""
+    long = long_predictions(spark, sf_dir)
+    return _out(PR.assemble_predictions(FX.requests(long), FX.responses(long)).drop("name"))
 
 
 def response_parse(spark, sf_dir):
-    r = responses(spark, sf_dir)
-    txt = PR.response_text(F.col("raw"))
-    return _out(r.select("model", "row_id", "exp", txt.alias("text"), (F.get_json_object("raw", "$.choices[0].message.content").isNull()).alias("is_error")))
+    """Text of each API response; bodies and faults as in the prediction table."""
+    r = FX.responses(long_predictions(spark, sf_dir).where("model = 'm0'"))
+    raw = F.col("raw")
+    return _out(r.select("row_id", "exp", "received", PR.response_text(raw).alias("text"), PR.response_content(raw).isNull().alias("is_error")))
 
 
 def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded local-model outputs per family: m0/m1 echo the family's chat
     markers around the title and summary, m2 returns bare text."""
-    p = long_predictions(spark, sf_dir).join(FX.topics(spark, sf_dir).select("row_id", "title").hint("merge"), "row_id")
+    p = X.unpivot(FX.predictions(spark, sf_dir), keys=("model", "row_id", "title"))
     fam = F.explode(F.array(*[F.lit(x) for x in ("mistral", "vicuna", "llama", "mixtral")])).alias("family")
     p = p.select("model", "row_id", "exp", "pred", "title", fam)
     bare = F.col("model") == "m2"
@@ -378,34 +379,19 @@ def pad_segments(spark, sf_dir):
 
 
 def plot_series(spark, sf_dir):
-    """Figure data: position and length-percentile series of the mean
-    left/right extraction with +/- CI bands, model labels and order."""
-    f = materialize(facts(spark, sf_dir), "facts")
-    pos = RP.position_report(f).select(
-        "model", F.lit("position").alias("series"), F.col("pos").alias("x"), "mpl_ext", "mpr_ext", "mpl_ext_std", "mpr_ext_std"
-    )
-    ln = B.binned_report(f, "length", 10, "length_bin", ["mpl_ext_unq", "mpr_ext_unq"], materialize=False).select(
-        "model",
-        F.lit("length").alias("series"),
-        ((F.col("length_bin") + 1) * 10).alias("x"),
-        F.col("mpl_ext_unq").alias("mpl_ext"),
-        F.col("mpr_ext_unq").alias("mpr_ext"),
-        F.col("mpl_ext_unq_std").alias("mpl_ext_std"),
-        F.col("mpr_ext_unq_std").alias("mpr_ext_std"),
-    )
-    s = pos.unionByName(ln)
-    mp = (F.col("mpl_ext") + F.col("mpr_ext")) / 2
-    band = (F.col("mpl_ext_std") + F.col("mpr_ext_std")) / 2
-    s = s.select("model", "series", "x", mp.alias("mp_ext"), band.alias("mp_ext_std"))
-    s = s.select("*", (F.col("mp_ext") - F.col("mp_ext_std")).alias("lo"), (F.col("mp_ext") + F.col("mp_ext_std")).alias("hi"))
-    labels = F.broadcast(
-        spark.createDataFrame(
-            [("m0", "Model 0", 0), ("m1", "Model 1", 1), ("m2", "Model 2", 2), ("ref", "Reference", 3)],
-            "model string, label string, ord int",
-        )
-    )
+    """Figure data: means and confidence bands by position, by length percentile
+    (plain and unique coverage) and by density percentile, with labels and order."""
+    f = materialize(facts(spark, sf_dir, with_lexicon=True), "facts")
+    by_length = B.binned_report(f, "length", 10, "length_bin", ["mpl_ext", "mpr_ext", "mpl_ext_unq", "mpr_ext_unq"])
+    by_density = B.binned_report(f, "perc_arous", 10, "parous_bin", ["mpl_ext", "mpr_ext"])
+    length, density = RP.percentile_axis("length_bin"), RP.percentile_axis("parous_bin")
+    s = RP.plot_points(RP.position_report(f), "position", F.col("pos"), sides=("avg",))
+    s = s.unionByName(RP.plot_points(by_length, "length", length, sides=("avg",)))
+    s = s.unionByName(RP.plot_points(by_length, "length_unq", length, suffix="_unq"))
+    s = s.unionByName(RP.plot_points(by_density, "density", density))
+    labels = {"m0": "Model 0", "m1": "Model 1", "m2": "Model 2", "ref": "Reference"}
     # presentation order (the reference's groupby output is key-sorted)
-    return _out(s.join(labels, "model", "left")).orderBy("ord", "series", "x")
+    return _out(RP.display_names(s, labels)).orderBy("ord", "series", "side", "x")
 
 
 def _length_ratio_factory():
@@ -431,6 +417,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "side_report": side_report,
     "doc_coverage_by_model": doc_coverage_by_model,
     "summary_length_by_model": summary_length_by_model,
+    "summary_length_tokens": summary_length_tokens,
     "length_bins": length_bins,
     "arousal_bins": arousal_bins,
     "density_bins": density_bins,
@@ -442,13 +429,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rouge2": rouge2,
     "rougeL": rougeL,
     "experiment_scores": experiment_scores,
+    "rouge_missing_text": rouge_missing_text,
     "base_summary": base_summary,
     "score_checks": score_checks,
     "stance_gap": stance_gap,
     "stance_summary": stance_summary,
+    "keyphrase_target": keyphrase_target,
+    "perspective_rows": perspective_rows,
     "greedy_match_f1": greedy_match_f1,
     "matrix_reduce": matrix_reduce,
     "prompt_table": prompt_table,
+    "prediction_table": prediction_table,
     "response_parse": response_parse,
     "output_cleanup": output_cleanup,
     "pad_segments": pad_segments,

@@ -20,6 +20,7 @@ from viewpoint.plans.sqltext import (
     rouge_tokens,
     side,
     split_ws,
+    spread,
     token_set,
     tokens,
 )
@@ -35,9 +36,8 @@ topics0 AS (
          array_to_string(list_filter(string_split(text, {NL}), lambda x, i: (i - 1) % 5 <> 4 AND (i - 1) % 2 = 1), {NL}) AS right_op
   FROM documents),
 topics AS (
-  SELECT *, array_to_string({split_ws('left_op')}[1:20], ' ') || '.' AS left_sum,
-            array_to_string({split_ws('right_op')}[1:20], ' ') || '.' AS right_sum
-  FROM topics0)"""
+  SELECT * EXCLUDE (L, R), {spread('L', '20')} || '.' AS left_sum, {spread('R', '20')} || '.' AS right_sum
+  FROM (SELECT *, {split_ws('left_op')} AS L, {split_ws('right_op')} AS R FROM topics0))"""
 
 PREDS = f"""
 preds0 AS (
@@ -45,10 +45,10 @@ preds0 AS (
   FROM topics t CROSS JOIN (SELECT unnest([0, 1, 2]) AS m) m),
 preds AS (
   SELECT 'm' || m AS model, row_id, title, alt_op, left_op, right_op, left_sum, right_sum,
-    'The left ' || array_to_string(L[1:8 + m], ' ') || '. Tail here.' AS sp_left_pred,
-    'The right ' || array_to_string(R[1:8 + m], ' ') || '. Tail here.' AS sp_right_pred,
-    'The left ' || array_to_string(L[1:6 + 2 * m], ' ') || ' ' || array_to_string(R[1:6 - 2 * m], ' ') || '. Tail here.' AS mp_left_pred,
-    'The right ' || array_to_string(R[1:6 + 2 * m], ' ') || ' ' || array_to_string(L[1:6 - 2 * m], ' ') || '. Tail here.' AS mp_right_pred
+    'The left ' || {spread('L', '8 + m')} || '. Tail here.' AS sp_left_pred,
+    'The right ' || {spread('R', '8 + m')} || '. Tail here.' AS sp_right_pred,
+    'The left ' || {spread('L', '6 + 2 * m')} || ' ' || {spread('R', '6 - 2 * m')} || '. Tail here.' AS mp_left_pred,
+    'The right ' || {spread('R', '6 + 2 * m')} || ' ' || {spread('L', '6 - 2 * m')} || '. Tail here.' AS mp_right_pred
   FROM preds0)"""
 
 
@@ -265,22 +265,30 @@ scored AS (
   FROM sc_tok t JOIN sc_tok_lcs l USING (model, row_id, exp))"""
 
 EXTERNAL = """
+lab AS (SELECT doc_id AS row_id, max(quality) AS quality FROM labels GROUP BY doc_id),
+lrow AS (SELECT l.model, l.row_id, l.exp, lab.quality, CAST(substr(l.model, 2) AS INTEGER) AS m FROM long l JOIN lab USING (row_id)),
 ext AS (
-  SELECT model, row_id, exp, 'bleurt' AS metric,
-         CAST((row_id * 31 + CAST(substr(model, 2) AS INTEGER) * 7) % 101 AS DOUBLE) / 100.0 AS score
-  FROM long WHERE row_id IN (SELECT doc_id FROM labels))"""
+  SELECT model, row_id, exp, 'bleurt' AS metric, 1 AS ingest_order,
+    CASE WHEN row_id % 29 = 0 THEN NULL WHEN row_id % 23 = 0 THEN 1.5 ELSE CAST(quality * 50 + (row_id * 31 + m * 7) % 51 AS DOUBLE) / 100.0 END AS score
+  FROM lrow
+  UNION ALL SELECT model, row_id, exp, 'bleurt', 2, 0.25 FROM lrow WHERE row_id % 11 = 0
+  UNION ALL SELECT model, row_id, exp, 'menli', 1, 0.5 FROM lrow WHERE row_id % 31 = 0
+  UNION ALL SELECT 'm9', row_id, exp, 'bleurt', 1, 0.5 FROM lrow WHERE row_id % 19 = 0)"""
 
 
 def summary_aggs(metrics: list[str]) -> str:
     return ", ".join(f"avg({m}) * 100 AS {m}, ({ci(m, 'count(*)')}) * 100 AS {m}_ci" for m in metrics)
 
 
-BASE_SUMMARY = f"""
-withext AS (SELECT s.*, e.score AS bleurt FROM scored s LEFT JOIN ext e USING (model, row_id, exp)),
-base AS (SELECT model, exp, {summary_aggs(['rouge1', 'rouge2', 'rougeL', 'bleurt'])} FROM withext GROUP BY model, exp)"""
+BASE_ROWS = """
+last AS (SELECT model, row_id, exp, arg_max(score, ingest_order) AS bleurt FROM ext WHERE metric = 'bleurt' GROUP BY model, row_id, exp),
+withext AS (SELECT s.*, e.bleurt FROM scored s LEFT JOIN last e USING (model, row_id, exp))"""
 
-STANCE = f"""
-lg AS (SELECT vec_id // 2 AS pair_id, vec_id % 2 = 1 AS is_ref, CAST(embedding AS DOUBLE[])[1:3] AS logits FROM embeddings),
+STANCE = """
+lg AS (
+  SELECT vec_id // 2 AS pair_id, vec_id % 2 = 1 AS is_ref,
+    list_transform([1, 2, 0], lambda k: list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda x, i: i % 3 = k))) AS logits
+  FROM embeddings),
 lg2 AS (SELECT pair_id, first(logits) FILTER (WHERE NOT is_ref) AS lp, first(logits) FILTER (WHERE is_ref) AS lr FROM lg GROUP BY pair_id),
 sm AS (
   SELECT pair_id,
@@ -289,8 +297,28 @@ sm AS (
   FROM lg2),
 st AS (
   SELECT pair_id, p_pred, p_ref, ['pro', 'con', 'neutral'][list_position(p_ref, list_max(p_ref))] AS label,
-         abs(p_pred[list_position(p_ref, list_max(p_ref))] - p_ref[list_position(p_ref, list_max(p_ref))]) AS stance
-  FROM sm)"""
+         abs(p_pred[list_position(p_ref, list_max(p_ref))] - p_ref[list_position(p_ref, list_max(p_ref))]) AS stance,
+         sqrt((pow(p_pred[1] - p_ref[1], 2) + pow(p_pred[2] - p_ref[2], 2) + pow(p_pred[3] - p_ref[3], 2)) / 3) AS rmse
+  FROM sm),
+stp AS (
+  SELECT 'm' || CAST((pair_id // 4) % 3 AS VARCHAR) AS model, pair_id // 12 AS row_id,
+    ['sp_left_pred', 'sp_right_pred', 'mp_left_pred', 'mp_right_pred'][pair_id % 4 + 1] AS exp, stance
+  FROM st)"""
+
+TARGET = """
+tv AS (SELECT vec_id // 10 AS k, vec_id % 2 AS side, vec_id AS tok, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+pv AS (
+  SELECT 'm' || CAST((k // 4) % 3 AS VARCHAR) AS model, k // 12 AS row_id, ['sp_left_pred', 'sp_right_pred', 'mp_left_pred', 'mp_right_pred'][k % 4 + 1] AS exp,
+    CASE WHEN k % 2 = 0 THEN 'left_op' ELSE 'right_op' END AS src, tok, vec
+  FROM tv WHERE side = 0),
+sv AS (SELECT k // 2 AS row_id, CASE WHEN k % 2 = 0 THEN 'left_op' ELSE 'right_op' END AS src, tok, vec FROM tv WHERE side = 1),
+tsim AS (
+  SELECT p.model, p.row_id, p.exp, p.tok AS a, s.tok AS b, list_cosine_similarity(p.vec, s.vec) AS sim FROM pv p JOIN sv s ON s.row_id = p.row_id AND s.src = p.src),
+tp1 AS (SELECT model, row_id, exp, avg(m) AS p FROM (SELECT model, row_id, exp, a, max(sim) AS m FROM tsim GROUP BY ALL) GROUP BY ALL),
+tr1 AS (SELECT model, row_id, exp, avg(m) AS r FROM (SELECT model, row_id, exp, b, max(sim) AS m FROM tsim GROUP BY ALL) GROUP BY ALL),
+tgt AS (
+  SELECT k.model, k.row_id, k.exp, 2 * p * r / (p + r) AS target
+  FROM (SELECT DISTINCT model, row_id, exp FROM pv) k LEFT JOIN tp1 USING (model, row_id, exp) LEFT JOIN tr1 USING (model, row_id, exp))"""
 
 
 def _cols(cols: list[str]) -> str:
@@ -362,26 +390,42 @@ texts AS (""" + " UNION ALL ".join(f"SELECT row_id, '{c}' AS src, {c} AS text FR
 SELECT row_id, src, {r6(mean_arousal('num_pol', 'sum_a'))} AS intensity FROM tst"""
 
 
-def sql_intensity_gap() -> str:
+def _gap() -> tuple[str, ...]:
+    """CTEs up to g (model, row_id, exp, pred_int, src_int)."""
     lp = f"\nlp AS (SELECT model, row_id, exp, {first_sentence('pred')} AS p FROM long)"
     src = "\nsrc AS (SELECT row_id, alt_op FROM topics)"
-    return with_(TOPICS, PREDS, LONG, lp, src, LEXICON, stats("pst", "lp", ["model", "row_id", "exp", "p"], "p", True),
-                 stats("sst", "src", ["row_id", "alt_op"], "alt_op", True)) + f"""
-, g AS (
+    g = f"""
+g AS (
   SELECT p.model, p.row_id, p.exp, {mean_arousal('p.num_pol', 'p.sum_a')} AS pred_int, {mean_arousal('s.num_pol', 's.sum_a')} AS src_int
-  FROM pst p JOIN sst s USING (row_id))
+  FROM pst p JOIN sst s USING (row_id))"""
+    stats_ = stats("pst", "lp", ["model", "row_id", "exp", "p"], "p", True), stats("sst", "src", ["row_id", "alt_op"], "alt_op", True)
+    return TOPICS, PREDS, LONG, lp, src, LEXICON, *stats_, g
+
+
+def sql_intensity_gap() -> str:
+    return with_(*_gap()) + f"""
 SELECT model, row_id, exp, {r6('pred_int')} AS pred_int, {r6('src_int')} AS src_int, {r6('pow(pred_int - src_int, 2)')} AS intens FROM g"""
 
 
+def sql_perspective_rows() -> str:
+    return with_(*_gap(), STANCE, TARGET) + f"""
+SELECT model, row_id, exp, {r6('stance')} AS stance, {r6('pow(pred_int - src_int, 2)')} AS intens, {r6('target')} AS target
+FROM g LEFT JOIN stp USING (model, row_id, exp) LEFT JOIN tgt USING (model, row_id, exp)"""
+
+
+def sql_keyphrase_target() -> str:
+    return with_(TARGET) + f"\nSELECT model, row_id, exp, {r6('target')} AS target FROM tgt"
+
+
 def sql_lexicon_dedupe() -> str:
     h = "md5(term || ':' || CAST(doc_id AS VARCHAR))"
     vad = ", ".join(f"CAST(('0x' || substr({h}, {s}, 4)) AS INTEGER) % 1001 AS {n}" for n, s in (("v", 1), ("a", 5), ("d", 13)))
     return f"""WITH
 toks AS (SELECT doc_id, {lex_tokens('text')} AS t FROM documents),
 occ AS (SELECT doc_id, t[i + 1] AS term, i FROM (SELECT doc_id, t, generate_subscripts(t, 1) - 1 AS i FROM toks)),
-lines AS (SELECT term, doc_id * 1000000 + i AS line_no, {vad} FROM occ)
-SELECT term, CAST(arg_max(v, line_no) AS BIGINT) AS v, CAST(arg_max(a, line_no) AS BIGINT) AS a, CAST(arg_max(d, line_no) AS BIGINT) AS d
-FROM lines GROUP BY term"""
+ends AS (SELECT term, doc_id, i, row_number() OVER (PARTITION BY term ORDER BY doc_id DESC, i DESC) AS r FROM occ)
+SELECT term, CAST(v AS BIGINT) AS v, CAST(a AS BIGINT) AS a, CAST(d AS BIGINT) AS d
+FROM (SELECT term, {vad} FROM ends WHERE r = 1)"""
 
 
 def sql_rouge_n(n: int) -> str:
@@ -403,34 +447,46 @@ def _summary_select(src: str, metrics: list[str]) -> str:
     return f"SELECT model, exp, {cols} FROM {src}"
 
 
+def sql_rouge_missing() -> str:
+    f = lambda pt: rouge_n_sql(pt, "rt", 1)
+    return with_(TOPICS, PREDS, LONG) + f""",
+mt AS (
+  SELECT model, row_id, exp, CASE WHEN row_id % 9 <> 0 THEN {rouge_tokens('pred')} END AS pt, {rouge_tokens('ref')} AS rt
+  FROM long WHERE exp IN ('mp_left_pred', 'mp_right_pred'))
+SELECT model, row_id, exp, CASE WHEN pt IS NOT NULL THEN {r6(f('pt'))} END AS "null",
+  CASE WHEN pt IS NULL THEN -1.0 ELSE {r6(f('pt'))} END AS sentinel, {r6(f("coalesce(pt, ['nan'])"))} AS nan_text
+FROM mt"""
+
+
 def sql_base_summary() -> str:
-    return "WITH RECURSIVE" + ",".join((TOPICS, PREDS, LONG, SCORED, EXTERNAL, BASE_SUMMARY)) + "\n" + _summary_select(
-        "base", ["rouge1", "rouge2", "rougeL", "bleurt"]
-    )
+    metrics = ["rouge1", "rouge2", "rougeL", "bleurt"]
+    return "WITH RECURSIVE" + ",".join((TOPICS, PREDS, LONG, SCORED, EXTERNAL, BASE_ROWS)) + f""",
+base AS (SELECT model, exp, {summary_aggs(metrics)} FROM withext GROUP BY model, exp)
+""" + _summary_select("base", metrics)
 
 
 def sql_score_checks() -> str:
     return with_(TOPICS, PREDS, LONG, EXTERNAL) + """
 SELECT 'duplicates' AS "check", CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM ext GROUP BY model, row_id, exp, metric)
 UNION ALL SELECT 'unknown_keys', CAST(count(*) AS BIGINT) FROM ext e ANTI JOIN long l USING (model, row_id, exp)
+UNION ALL SELECT 'unknown_metrics', CAST(count(*) FILTER (WHERE metric NOT IN ('bleurt', 'summac', 'align', 'bert')) AS BIGINT) FROM ext
 UNION ALL SELECT 'out_of_range', CAST(count(*) FILTER (WHERE score < -1.0 OR score > 1.0) AS BIGINT) FROM ext
 UNION ALL SELECT 'null_scores', CAST(count(*) FILTER (WHERE score IS NULL) AS BIGINT) FROM ext
-UNION ALL SELECT 'rows', CAST(count(*) AS BIGINT) FROM ext"""
+UNION ALL SELECT 'rows', CAST(count(*) AS BIGINT) FROM ext
+UNION ALL SELECT 'without_score', CAST(count(*) AS BIGINT) FROM long l ANTI JOIN ext e USING (model, row_id, exp)"""
 
 
 def sql_stance_gap() -> str:
-    return with_(STANCE) + f"\nSELECT pair_id, label, {r6('stance')} AS stance, {r6('p_ref[1]')} AS p_ref_pro FROM st"
+    return with_(STANCE) + f"\nSELECT pair_id, label, {r6('stance')} AS stance, {r6('rmse')} AS rmse, {r6('p_ref[1]')} AS p_ref_pro FROM st"
 
 
 def sql_stance_summary() -> str:
-    exps = "[" + ", ".join(q(e) for e in EXPS) + "]"
-    st2 = f"""
-st2 AS (SELECT 'm' || CAST(pair_id % 3 AS VARCHAR) AS model, {exps}[(pair_id // 3) % 4 + 1] AS exp, stance FROM st),
-stsum AS (SELECT model, exp, {summary_aggs(['stance'])} FROM st2 GROUP BY model, exp),
-joined AS (SELECT b.*, s.stance, s.stance_ci FROM base b LEFT JOIN stsum s USING (model, exp))"""
-    return "WITH RECURSIVE" + ",".join((TOPICS, PREDS, LONG, SCORED, EXTERNAL, BASE_SUMMARY, STANCE, st2)) + "\n" + _summary_select(
-        "joined", ["rouge1", "rouge2", "rougeL", "bleurt", "stance"]
-    )
+    metrics = ["rouge1", "rouge2", "rougeL", "bleurt", "stance"]
+    return "WITH RECURSIVE" + ",".join((TOPICS, PREDS, LONG, SCORED, EXTERNAL, BASE_ROWS, STANCE)) + f""",
+base AS (
+  SELECT model, exp, {summary_aggs(metrics)}
+  FROM (SELECT w.*, stp.stance FROM withext w LEFT JOIN stp USING (model, row_id, exp)) GROUP BY model, exp)
+""" + _summary_select("base", metrics)
 
 
 def sql_greedy_match() -> str:
@@ -445,38 +501,82 @@ SELECT pair_id, {r6('p')} AS precision, {r6('r')} AS recall, {r6('2 * p * r / (p
 
 def sql_matrix_reduce() -> str:
     return f"""WITH
-m AS (SELECT vec_id // 25 AS pair_id, (vec_id % 25) // 5 AS src_sent, vec_id % 5 AS claim_sent, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings),
-c AS (SELECT pair_id, claim_sent, max(score) AS best FROM m GROUP BY pair_id, claim_sent)
+tv AS (SELECT vec_id // 10 AS pair_id, vec_id % 2 AS side, vec_id AS tok, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+c AS (
+  SELECT s.pair_id, c.tok, max(list_cosine_similarity(s.vec, c.vec)) AS best
+  FROM tv s JOIN tv c ON c.pair_id = s.pair_id AND s.side = 0 AND c.side = 1 GROUP BY s.pair_id, c.tok)
 SELECT pair_id, {r6('avg(best)')} AS score, CAST(count(*) AS BIGINT) AS claims FROM c GROUP BY pair_id"""
 
 
-def sql_prompt_table() -> str:
-    from viewpoint.operators.prompts import API_CONTEXT, API_PARAMS, EXP_SOURCE, TEMPLATES
+def _instructions() -> str:
+    """(template, exp, instruction) rows, written out."""
+    rows = []
+    for template, last in (("api", 'Respond only with the summary beginning with "The {side}": '), ("local", 'Begin the summary with "The {side}": ')):
+        for side in ("left", "right"):
+            text = f"Produce a short, single-sentence summary of the {side}-leaning political perspective within the following texts. "
+            rows += [f"({q(template)}, {q(f'{p}_{side}_pred')}, {q(text + last.format(side=side))})" for p in ("mp", "sp")]
+    return "tmpl(template, exp, instruction) AS (VALUES " + ", ".join(rows) + ")"
 
-    tmpl = "tmpl(template, exp, instruction) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in TEMPLATES) + ")"
-    pe = "pe AS (" + " UNION ALL ".join(f"SELECT row_id, '{e}' AS exp, {c} AS text FROM topics" for e, c in EXP_SOURCE.items()) + ")"
-    params = ", ".join(f"'{k}': {v}" for k, v in API_PARAMS.items())
+
+def sql_prompt_table() -> str:
+    source = {"mp_left_pred": "alt_op", "mp_right_pred": "alt_op", "sp_left_pred": "left_op", "sp_right_pred": "right_op"}
+    pe = "pe AS (" + " UNION ALL ".join(f"SELECT row_id, '{e}' AS exp, {c} AS text FROM topics" for e, c in source.items()) + ")"
     payload = (
-        f"to_json({{'model': 'summarizer', {params}, 'messages': [{{'role': 'user', 'content': prompt}}], 'stop': ['.'], "
-        f"'context_length_exceeded_behavior': '{API_CONTEXT}', 'user': exp}})::VARCHAR"
+        "to_json({'model': 'summarizer', 'max_tokens': 128, 'top_p': 1, 'top_k': 1, 'presence_penalty': 0, 'frequency_penalty': 0, 'temperature': 0, "
+        "'messages': [{'role': 'user', 'content': prompt}], 'stop': ['.'], 'context_length_exceeded_behavior': 'truncate', 'user': exp})::VARCHAR"
     )
-    return with_(TOPICS, "\n" + tmpl, "\n" + pe) + f""",
+    return with_(TOPICS, "\n" + _instructions(), "\n" + pe) + f""",
 pr AS (SELECT pe.row_id, pe.exp, t.template, t.instruction || chr(10) || coalesce(pe.text, '') AS prompt FROM pe JOIN tmpl t USING (exp)),
-fam AS (SELECT *, unnest(CASE WHEN template = 'api' THEN ['api'] ELSE ['mistral', 'vicuna', 'llama'] END) AS family FROM pr)
-SELECT row_id, exp, family,
+fam(template, name, family) AS (VALUES ('api', 'summarizer', 'api'), ('local', 'mistral-7b', 'mistral'), ('local', 'vicuna-7b', 'vicuna'),
+  ('local', 'Meta-Llama-3', 'llama'), ('local', 'falcon-7b', NULL))
+SELECT row_id, exp, name, family,
   CASE WHEN family = 'api' THEN {payload}
        WHEN family = 'mistral' THEN '<s>[INST]' || chr(10) || prompt || chr(10) || '[/INST]' || chr(10)
        WHEN family = 'vicuna' THEN 'USER: ' || prompt || chr(10) || 'ASSISTANT:'
-       ELSE to_json([{{'role': 'user', 'content': prompt}}])::VARCHAR END AS model_input
-FROM fam"""
+       WHEN family = 'llama' THEN to_json([{{'role': 'user', 'content': prompt}}])::VARCHAR END AS model_input,
+  CASE WHEN family IS NULL THEN 'unknown model family: ' || name END AS error
+FROM pr JOIN fam USING (template)"""
+
+
+RESPONSES = """
+body AS (SELECT model, row_id, exp, pred, to_json({'choices': [{'message': {'content': pred}}]})::VARCHAR AS body FROM long WHERE row_id % 13 <> 0),
+resp AS (
+  SELECT model, row_id, exp, 2 AS received, CASE
+    WHEN model = 'm1' THEN '[INST] x [/INST]' || chr(10) || pred
+    WHEN model = 'm2' THEN 'Here it is: ' || pred
+    WHEN row_id % 7 = 0 THEN substr(body, 1, length(body) - 3)
+    WHEN row_id % 5 = 0 THEN body || ' and more'
+    WHEN row_id % 17 = 0 THEN '{"choices":[{"message":{"content":null}}]}'
+    ELSE body END AS raw
+  FROM body
+  UNION ALL SELECT model, row_id, exp, 1, 'oops' FROM body WHERE row_id % 11 = 0)"""
 
 
 def sql_response_parse() -> str:
     content = "CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.choices[0].message.content') END"
-    return with_(TOPICS, PREDS, LONG) + f""",
-resp AS (SELECT model, row_id, exp, CASE WHEN row_id % 17 = 0 THEN 'oops'
-           ELSE to_json({{'choices': [{{'message': {{'content': pred}}}}]}})::VARCHAR END AS raw FROM long)
-SELECT model, row_id, exp, coalesce({content}, 'Error') AS text, ({content}) IS NULL AS is_error FROM resp"""
+    return with_(TOPICS, PREDS, LONG, RESPONSES) + f"""
+SELECT row_id, exp, CAST(received AS BIGINT) AS received, coalesce({content}, 'Error') AS text, ({content}) IS NULL AS is_error FROM resp WHERE model = 'm0'"""
+
+
+def sql_prediction_table() -> str:
+    content = "CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.choices[0].message.content') END"
+    return with_(TOPICS, PREDS, LONG, RESPONSES) + f""",
+reqs AS (SELECT model, row_id, exp FROM long UNION ALL SELECT 'm3', row_id, exp FROM long WHERE model = 'm0' AND exp = 'mp_left_pred'),
+lastr AS (SELECT model, row_id, exp, arg_max(raw, received) AS raw FROM resp GROUP BY model, row_id, exp),
+pt AS (
+  SELECT r.model, r.row_id, r.exp, raw, CASE r.model WHEN 'm0' THEN {content}
+    WHEN 'm1' THEN substr(raw, instr(raw, '[/INST]') + 8) WHEN 'm2' THEN raw END AS text
+  FROM reqs r LEFT JOIN lastr USING (model, row_id, exp))
+SELECT model, row_id, exp, coalesce(text, 'Error') AS pred, text IS NULL AS is_error,
+  CASE WHEN model = 'm3' THEN 'unknown model family: falcon-7b' WHEN raw IS NULL THEN 'no response' WHEN text IS NULL THEN 'unparseable response' END AS error,
+  raw AS raw_response
+FROM pt"""
+
+
+def sql_summary_length_tokens() -> str:
+    return _with_ref_preds() + f"""
+, c AS (SELECT model, ceil(length(mp_left_pred) / 4) AS l, ceil(length(mp_right_pred) / 4) AS r FROM allp)
+SELECT model, {r6('avg(l)')} AS left_len, {r6('avg(r)')} AS right_len, {r6('avg(l) / 2 + avg(r) / 2')} AS avg_len FROM c GROUP BY model"""
 
 
 def _py_slice(t: str, start0: str, end: str) -> str:
@@ -528,28 +628,34 @@ SELECT model, row_id, {', '.join(cols)} FROM pi"""
 
 def sql_plot_series() -> str:
     left, right = "side = 'left'", "side = 'right'"
-    edges = f"edges AS (SELECT model, quantile_cont(length, {pct_list(10)}) AS edges FROM facts GROUP BY model)"
-    return with_(*BASE_FACTS, facts_cte()) + f""",
+
+    def by(series: str, value: str, suffix: str = "") -> str:
+        l, r = f"mpl_ext{suffix}", f"mpr_ext{suffix}"
+        return f"""
+{series}_e AS (SELECT model, quantile_cont({value}, {pct_list(10)}) AS edges FROM lfacts GROUP BY model),
+{series}_s AS (
+  SELECT model, '{series}' AS series, (bin + 1) * 10 AS x, avg({l}) AS mpl, avg({r}) AS mpr, {ci(l, f'count({l})')} AS mpl_std, {ci(r, f'count({r})')} AS mpr_std
+  FROM (SELECT f.*, len(list_filter(e.edges, lambda q: q < f.{value})) AS bin FROM lfacts f JOIN {series}_e e USING (model)) WHERE pos < 4 GROUP BY model, bin)"""
+
+    return lex_facts() + f""",
 pagg AS (
   SELECT model, pos AS x,
-    avg(mpl_ext) FILTER (WHERE {left}) AS mpl_ext, avg(mpr_ext) FILTER (WHERE {right}) AS mpr_ext,
-    1.96 * stddev_samp(mpl_ext) FILTER (WHERE {left}) / sqrt(count(*) FILTER (WHERE {left})) AS mpl_ext_std,
-    1.96 * stddev_samp(mpr_ext) FILTER (WHERE {right}) / sqrt(count(*) FILTER (WHERE {right})) AS mpr_ext_std
-  FROM facts WHERE pos < 10 GROUP BY model, pos),
+    avg(mpl_ext) FILTER (WHERE {left}) AS mpl, avg(mpr_ext) FILTER (WHERE {right}) AS mpr,
+    1.96 * stddev_samp(mpl_ext) FILTER (WHERE {left}) / sqrt(count(*) FILTER (WHERE {left})) AS mpl_std,
+    1.96 * stddev_samp(mpr_ext) FILTER (WHERE {right}) / sqrt(count(*) FILTER (WHERE {right})) AS mpr_std
+  FROM lfacts WHERE pos < 10 GROUP BY model, pos),
 pscaf AS (SELECT model, CAST(unnest(range(10)) AS BIGINT) AS x FROM (SELECT DISTINCT model FROM pagg)),
-ps AS (SELECT s.model, 'position' AS series, s.x, a.mpl_ext, a.mpr_ext, a.mpl_ext_std, a.mpr_ext_std FROM pscaf s LEFT JOIN pagg a USING (model, x)),
-{edges},
-lb AS (SELECT f.*, CAST(len(list_filter(e.edges, lambda q: q < f.length)) AS BIGINT) AS length_bin FROM facts f JOIN edges e USING (model)),
-ls AS (
-  SELECT model, 'length' AS series, (length_bin + 1) * 10 AS x, avg(mpl_ext_unq) AS mpl_ext, avg(mpr_ext_unq) AS mpr_ext,
-    {ci('mpl_ext_unq', 'count(mpl_ext_unq)')} AS mpl_ext_std, {ci('mpr_ext_unq', 'count(mpr_ext_unq)')} AS mpr_ext_std
-  FROM lb WHERE pos < 4 GROUP BY model, length_bin),
-s AS (SELECT model, series, x, (mpl_ext + mpr_ext) / 2 AS mp_ext, (mpl_ext_std + mpr_ext_std) / 2 AS mp_ext_std
-      FROM (SELECT * FROM ps UNION ALL SELECT * FROM ls)),
+ps AS (SELECT s.model, 'position' AS series, s.x, a.mpl, a.mpr, a.mpl_std, a.mpr_std FROM pscaf s LEFT JOIN pagg a USING (model, x)),
+{by('length', 'length')},{by('length_unq', 'length', '_unq')},{by('density', 'perc_arous')},
+alls AS (SELECT * FROM ps UNION ALL SELECT * FROM length_s UNION ALL SELECT * FROM length_unq_s UNION ALL SELECT * FROM density_s),
+pts AS (
+  SELECT model, series, x, 'avg' AS side, (mpl + mpr) / 2 AS ext, (mpl_std + mpr_std) / 2 AS ext_std FROM alls
+  UNION ALL SELECT model, series, x, 'left', mpl, mpl_std FROM alls WHERE series IN ('length_unq', 'density')
+  UNION ALL SELECT model, series, x, 'right', mpr, mpr_std FROM alls WHERE series IN ('length_unq', 'density')),
 labels(model, label, ord) AS (VALUES ('m0', 'Model 0', 0), ('m1', 'Model 1', 1), ('m2', 'Model 2', 2), ('ref', 'Reference', 3))
-SELECT s.model, series, CAST(x AS BIGINT) AS x, {r6('mp_ext')} AS mp_ext, {r6('mp_ext_std')} AS mp_ext_std,
-       {r6('mp_ext - mp_ext_std')} AS lo, {r6('mp_ext + mp_ext_std')} AS hi, label, CAST(ord AS BIGINT) AS ord
-FROM s LEFT JOIN labels USING (model)"""
+SELECT p.model, series, side, CAST(x AS BIGINT) AS x, {r6('ext')} AS ext, {r6('ext_std')} AS ext_std,
+       {r6('ext - ext_std')} AS lo, {r6('ext + ext_std')} AS hi, label, CAST(ord AS BIGINT) AS ord
+FROM pts p LEFT JOIN labels USING (model)"""
 
 
 def sql_scorer_hook() -> str:
@@ -569,6 +675,7 @@ def oracle_sql() -> dict[str, str]:
         "side_report": sql_side_report(),
         "doc_coverage_by_model": sql_doc_coverage(),
         "summary_length_by_model": sql_summary_length(),
+        "summary_length_tokens": sql_summary_length_tokens(),
         "length_bins": sql_bins("length", 10, "length_bin"),
         "arousal_bins": sql_bins("arous_score", 20, "arous_bin", with_ci=False),
         "density_bins": sql_bins("perc_arous", 10, "parous_bin"),
@@ -580,13 +687,17 @@ def oracle_sql() -> dict[str, str]:
         "rouge2": sql_rouge_n(2),
         "rougeL": sql_rouge_l(),
         "experiment_scores": sql_experiment_scores(),
+        "rouge_missing_text": sql_rouge_missing(),
         "base_summary": sql_base_summary(),
         "score_checks": sql_score_checks(),
         "stance_gap": sql_stance_gap(),
         "stance_summary": sql_stance_summary(),
+        "keyphrase_target": sql_keyphrase_target(),
+        "perspective_rows": sql_perspective_rows(),
         "greedy_match_f1": sql_greedy_match(),
         "matrix_reduce": sql_matrix_reduce(),
         "prompt_table": sql_prompt_table(),
+        "prediction_table": sql_prediction_table(),
         "response_parse": sql_response_parse(),
         "output_cleanup": sql_output_cleanup(),
         "pad_segments": sql_pad_segments(),

@@ -1,24 +1,24 @@
-"""DuckDB SQL expression builders mirroring :mod:`viewpoint.functions`.
+"""DuckDB SQL expression builders for the independent oracle queries.
 
-Used only to write the independent oracle queries; the regex constants are
-shared with the Spark side so both engines read the same patterns.
+The patterns are written out here, not shared with the Spark side, so that a
+fault in one of them shows.
 """
 
 from __future__ import annotations
 
-from viewpoint.functions import text as T
-
 
 def q(s: str) -> str:
     """SQL string literal (no backslash escaping in DuckDB)."""
     return "'" + s.replace("'", "''") + "'"
 
 
-NON_WORD = q(T.NON_WORD)
-WS_RUN = q(T.WS_RUN)
-FIRST = q(T.FIRST_SENTENCE)
-EDGE = q(T.EDGE_WS)
-CONTR = ", ".join(q(c) for c in T.CONTRACTIONS)
+# Python's str.isspace() characters; neither word characters nor those; the first sentence.
+SPACES = r"\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}"
+NON_WORD = q(rf"[^\p{{L}}\p{{N}}_{SPACES}]")
+WS_RUN = q(f"[{SPACES}]+")
+FIRST = q(rf"(?s)^[{SPACES}]*(.*?[.!?]+)(?:[{SPACES}]|\z)")
+EDGE = q(rf"^[{SPACES}]+|[{SPACES}]+\z")
+CONTR = "'cannot', 'gimme', 'gonna', 'gotta', 'lemme', 'wanna'"
 NL = "chr(10)"
 
 
@@ -78,3 +78,9 @@ def r6(x: str) -> str:
 
 def rouge_tokens(x: str) -> str:
     return f"list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
+
+
+def spread(words: str, n: str) -> str:
+    """At most n words, every k-th one of a list."""
+    step = f"greatest(1, CAST(ceil(len({words}) / ({n})) AS BIGINT))"
+    return f"array_to_string(list_transform(range(0, len({words}), {step}), lambda i: {words}[i + 1]), ' ')"
