@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from viewpoint.session import materialize
 
-__all__ = ["chunks", "components", "materialize", "shingle_sets", "splitmix", "text_bytes"]
+__all__ = ["chunks", "components", "materialize", "shingle_sets", "split_join", "splitmix", "text_bytes"]
 
 SHINGLE = 5
 _U = np.uint64
@@ -114,21 +114,33 @@ def shingle_sets(texts: list[bytes | None], table: Powers | None = None) -> list
     return [np.unique(h[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
+def split_join(rows: DataFrame, per_key: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``per_key``, an aggregate with a row per key (bigint
+    columns). The adaptive skew join splits a hot key's rows only where both sides
+    come straight from an exchange; the planner would let the aggregate's own
+    partitioning stand, so the join is on the keys' complements, and the few
+    aggregated rows are dealt out once more."""
+    flip = [F.bitwise_not(k).alias(f"_{k}") for k in keys]
+    right = per_key.select(*flip, *[c for c in per_key.columns if c not in keys])
+    both = rows.select("*", *flip).join(right.hint("merge"), [f"_{k}" for k in keys], how)
+    return both.drop(*[f"_{k}" for k in keys])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component_id) of every node of ``edges`` (src, dst): the smallest
     node that can be reached. Alternates large-star and small-star steps, each
     a group-by and a join; the edge table is written to the shared folder after
     each round, so a lost executor costs one round at most. A hub's edges are
-    split by the adaptive skew join; the minimum is aggregated on the map side."""
+    split (see :func:`split_join`); the minimum is aggregated on the map side."""
     e = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct()
     e = materialize(e, "edges")
     state = None
     for _ in range(rounds):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = split_join(both, low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = split_join(large, low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         e = materialize(small.union(low).distinct(), "edges")
         seen = e.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
