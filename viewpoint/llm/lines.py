@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewpoint.llm.common import split_join
+
 WINDOW = 3
 
 
@@ -29,8 +31,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         .where("n > 1")
         .drop("n")
     )
-    # One row per key on the aggregated side: the adaptive skew join splits a hot window's other side.
-    return w.join(first.hint("merge"), ["w1", "w2"]).where("struct(doc_id, pos) <> first").select("doc_id", "pos")
+    return split_join(w, first, "w1", "w2").where("struct(doc_id, pos) <> first").select("doc_id", "pos")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
