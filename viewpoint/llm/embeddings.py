@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewpoint.llm.common import components, materialize
+from viewpoint.llm.common import components, materialize, split_join
 
 #: Vectors with a cosine of at least this are linked.
 COSINE = 0.9
@@ -207,7 +207,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, max_fit:
     member = good.join(classes.hint("merge"), ["v", "dim"]).select("id", "rep", "w")
     twice = member.groupBy("id").agg(F.min("rep").alias("src"), F.max("rep").alias("dst")).where("src < dst").select("src", "dst")
     comp = components(links.where("dst <> -1").select("src", "dst").union(twice)).withColumnRenamed("node", "rep")
-    member = member.join(counts.hint("merge"), "rep", "left").join(comp.hint("merge"), "rep", "left")
+    member = split_join(split_join(member, counts, "rep", how="left"), comp, "rep", how="left")
     member = member.groupBy("id").agg(F.sum(F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.min(F.coalesce("component_id", "rep")).alias("component_id"))
     out = rows.select("id").distinct().join(member.hint("merge"), "id", "left")
     component = F.coalesce("component_id", "id")
