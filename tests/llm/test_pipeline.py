@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline
 from tests.llm import test_bpe, test_lines, test_minhash
 from tests.llm.helpers import rows, text
-from viewpoint.llm import quality
+from viewpoint.llm import mixing, quality
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -66,3 +66,12 @@ def test_pipeline_over_the_smallest_tables(spark, small_dir):
     every = dict(con.execute(f"SELECT doc_id, text FROM read_parquet('{small_dir}/documents.parquet')").fetchall())
     ids = [r["doc_id"] for r in got.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and set(ids) <= set(every) and len(ids) > len(every) / 3
+
+
+def test_the_mix_survives_a_reread_of_several_files(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    order = ("slot", "slot_order", "doc_id")
+    want = [tuple(r) for r in mixing.mix(docs).orderBy(*order).select(*order).collect()]
+    corpus_pipeline.mix_sources(spark, docs, sf_dir).repartition(5, "n_chars").write.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mixed"), sf_dir)
+    assert [tuple(r) for r in out.orderBy(*order).select(*order).collect()] == want and len(want) == len(made())

@@ -141,19 +141,20 @@ def codec(path: str) -> BytePairCodec:
     return _CODECS[path]
 
 
-def tokenize(docs: DataFrame, vocabulary: str, with_ids: bool = True, with_text: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, with_ids: bool = True, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens (bigint),
     ids_sha256 and decoded_sha256 (hex digests of the ids as little-endian
     unsigned 32-bit integers and of the decoded text as UTF-8), and, where asked
-    for, ``ids`` (array<int>) and ``decoded``.
+    for, ``ids`` (array<int>) and ``decoded``; then the columns of ``docs`` named in ``keep``.
 
     Null texts count as empty: no token, digests of the empty string. Rows are
-    independent, so repeated ids and texts and null doc_ids pass through; other
+    independent, so repeated ids and texts and null doc_ids pass through; all other
     columns of ``docs`` are left out. ``vocabulary`` is a file path that the
     executors can read; each Python worker reads it once.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * with_ids + ", decoded string" * with_text
+    schema += "".join(f", {x} {docs.schema[x].dataType.simpleString()}" for x in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
@@ -176,6 +177,7 @@ def tokenize(docs: DataFrame, vocabulary: str, with_ids: bool = True, with_text:
                     cols["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
                 if with_text:
                     cols["decoded"] = pa.array(texts, pa.string())
+                cols |= {x: part.column(x) for x in keep}
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", *keep).mapInArrow(run, schema)
