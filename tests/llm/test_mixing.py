@@ -89,3 +89,15 @@ def test_more_sources_than_slots_raise(spark):
     docs = [(i, f"s{i}", "x") for i in range(40)]
     with pytest.raises(Exception, match="more sources"):
         run(spark, docs, period=8)
+
+
+@pytest.mark.parametrize("named", [None, {"big0": 5, "big1": 3}])
+def test_the_period_grows_with_the_sources(spark, named):
+    docs = [(i, f"s{i}", "x") for i in range(2300)] + [(3000 + i, f"big{i % 2}", "y" * 40_000) for i in range(20)]
+    size = {}
+    for _, s, t in docs:
+        size[s] = size.get(s, 0) + len(t)
+    root = {s: math.isqrt(n) for s, n in size.items()}
+    weights = {s: named.get(s, 1) if named else max(1, r * mixing.PERIOD // sum(root.values())) for s, r in root.items()}
+    assert sum(weights.values()) > 2 * mixing.PERIOD and max(weights.values()) > 1
+    assert run(spark, docs, weights=named) == brute(docs, weights)

@@ -45,26 +45,29 @@ def schedule(weights: DataFrame) -> DataFrame:
     weights add up to P, every block meets its deadline, so that at any slot a
     source is less than one block off its share. The state is one count a
     source, folded over the slots of one period by a SQL aggregate; later
-    periods repeat the first."""
+    periods repeat the first. Sources of weight 1 are all released at 0 and due
+    at P, so they share one count: the next one by name stands for them."""
     row = weights.agg(F.array_sort(F.array_agg(F.struct("src", "a"))).alias("s")).where("size(s) > 0")
-    row = row.select("s", F.expr("aggregate(s, 0L, (acc, y) -> acc + y.a)").alias("p"))
-    due = "(((c[i] + 1) * p + y.a - 1) div y.a)"
+    row = row.select(
+        F.expr("filter(s, y -> y.a > 1)").alias("m"), F.expr("filter(s, y -> y.a <= 1)").alias("u"), F.expr("aggregate(s, 0L, (acc, y) -> acc + y.a)").alias("p")
+    )
     best = (
-        "array_min(filter(transform(s, (y, i) -> if(acc.c[i] < y.a and (acc.c[i] * p) div y.a <= t,"
-        f" named_struct('d', {due.replace('c[i]', 'acc.c[i]')}, 'i', i), null)), z -> z is not null)).i"
+        "array_min(filter(concat(transform(m, (y, i) -> if(acc.c[i] < y.a and (acc.c[i] * p) div y.a <= t,"
+        " named_struct('d', ((acc.c[i] + 1) * p + y.a - 1) div y.a, 'n', y.src, 'i', i), null)),"
+        " array(if(acc.g < size(u), named_struct('d', p, 'n', get(u, acc.g).src, 'i', size(m) + acc.g), null))), z -> z is not null)).i"
     )
     picks = (
-        "aggregate(sequence(0L, p - 1), named_struct('c', transform(s, y -> 0L), 'o', cast(array() as array<int>)),"
-        f" (acc, t) -> named_struct('c', transform(acc.c, (n, i) -> if(i = {best}, n + 1, n)), 'o', concat(acc.o, array({best}))),"
-        " acc -> acc.o)"
+        "aggregate(sequence(0L, p - 1), named_struct('c', transform(m, y -> 0L), 'g', 0, 'o', cast(array() as array<int>)),"
+        f" (acc, t) -> transform(array({best}), b -> named_struct('c', transform(acc.c, (n, i) -> if(i = b, n + 1, n)),"
+        " 'g', if(b >= size(m), acc.g + 1, acc.g), 'o', concat(acc.o, array(b))))[0], acc -> acc.o)"
     )
-    slots = row.select("s", "p", F.expr(picks).alias("o")).select("s", "p", F.posexplode("o").alias("slot", "i"))
+    slots = row.select(F.concat("m", "u").alias("s"), "p", F.expr(picks).alias("o")).select("s", "p", F.posexplode("o").alias("slot", "i"))
     slots = slots.select(F.col("p").alias("period"), F.col("slot").cast("bigint").alias("slot"), F.expr("s[i].src").alias("src"), F.expr("s[i].a").alias("a"))
     j = F.row_number().over(Window.partitionBy("src").orderBy("slot")).cast("bigint") - 1
     return slots.withColumn("j", j)
 
 
-def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block_bytes: int = BLOCK_BYTES, period: int | None = None, seed: str = "mix") -> DataFrame:
     """``docs`` (doc_id, text, source, ...) plus the interleaving: block, slot,
     release, deadline (bigint) and slot_order, the row's place in its slot's
     order (its shuffle hash). Sort by (slot, slot_order, doc_id) to read the mix.
@@ -84,8 +87,9 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block_bytes:
 
     A source of any size is handled in hash ranges: sums per (source, range),
     running totals of those, and a window inside each range. The schedule has
-    one row a slot, at most twice ``period`` rows when weights are derived
-    (more sources than ``period`` raise an error), so it is broadcast.
+    one row a slot and is broadcast: PERIOD rows and one a source at most when
+    weights are derived, so the period grows with the sources. With a ``period``
+    given, a schedule of more than twice as many slots raises an error.
     """
     added = ["block", "slot", "release", "deadline", "slot_order"]
     d = docs.drop(*[c for c in docs.columns if c in added])
@@ -104,9 +108,10 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block_bytes:
     d = d.join(starts.hint("merge"), ["src", "range"])
     d = d.withColumn("at_byte", F.col("start") + F.coalesce(F.sum("n_bytes").over(inside), F.lit(0)))
     d = d.withColumn("block", F.expr(f"at_byte div {int(block_bytes)}"))
-    plan = schedule(source_weights(sums, weights, period))
-    most = max(2 * period, sum(weights.values()) if weights else 0)
-    plan = plan.withColumn("period", F.when(F.col("period") <= most, F.col("period")).otherwise(F.raise_error(F.lit("more sources than the period has slots"))))
+    plan = schedule(source_weights(sums, weights, period or PERIOD))
+    if period is not None:
+        most = max(2 * period, sum(weights.values()) if weights else 0)
+        plan = plan.withColumn("period", F.when(F.col("period") <= most, F.col("period")).otherwise(F.raise_error(F.lit("more sources than the period has slots"))))
     size = plan.select("src", F.col("a").alias("a"), F.col("period").alias("p")).distinct()
     d = d.join(F.broadcast(size), "src")
     d = d.withColumn("j", F.expr("block % a"))
