@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import rows
@@ -57,3 +58,9 @@ def test_own_queries_and_k_and_clashing_columns(spark):
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>, rank int, score int, query_id int")
     got = rows(topk.exact_top_k(df, F.col("vec_id") % 7 == 0, k=2), *OUT)
     assert got == brute([v[:2] for v in vectors], k=2, step=7)
+
+
+@pytest.mark.parametrize("large", [2.0**20, -(2.0**40)])
+def test_components_beyond_the_limit_raise(spark, large):
+    with pytest.raises(Exception, match="a vector component"):
+        run(spark, [(0, [1.0, 2.0]), (50, [large, 1.0])])

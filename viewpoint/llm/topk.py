@@ -14,6 +14,8 @@ from viewpoint.llm.common import materialize
 #: Components are whole numbers: floor(SCALE * x).
 SCALE = 256
 K = 5
+#: Components are smaller than this.
+LIMIT = 2.0**20
 #: Bits of the approximation of each component.
 BITS = 6
 #: Vectors, and queries, of one block.
@@ -22,11 +24,16 @@ DATA_BLOCK, QUERY_BLOCK = 2048, 256
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
     """(id, v): floor(256 * x) of every component; vectors that are null or hold
-    null or non-finite components, or numbers that no 64-bit integer holds, are
-    left out."""
+    null or non-finite components are left out. A finite component of LIMIT or
+    more raises an error, as 64 bits may not hold its products."""
+
+    def whole(c: Column) -> Column:
+        too_large = F.raise_error(F.lit("a vector component of 2 ** 20 or more")).cast("bigint")
+        return F.when(F.abs(c) < F.lit(LIMIT), F.floor(c * F.lit(float(SCALE))).cast("bigint")).otherwise(too_large)
+
     x = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    x = x.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**20))))
-    return x.select("id", F.transform("v", lambda c: F.floor(c * F.lit(float(SCALE))).cast("bigint")).alias("v"))
+    x = x.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))))
+    return x.select("id", F.transform("v", whole).alias("v"))
 
 
 def vector_classes(whole: DataFrame, k: int) -> DataFrame:
@@ -158,9 +165,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column | None = None, k: int = K)
     those whose upper bound reaches the k-th exact score: no other can be a result.
 
     Queries are the rows for which ``is_query`` (default: vec_id divisible by 50)
-    holds. Vectors that are null, or hold null or non-finite components, or
-    components of 2 ** 20 and more whose products 64 bits do not hold, take no
-    part; nor do rows with null vec_id. An empty vector has no product with
+    holds. Vectors that are null, or hold null or non-finite components,
+    take no part; nor do rows with null vec_id. Finite components of 2 ** 20 and
+    more, whose products 64 bits may not hold, raise an error. An empty vector has no product with
     others of length 0 but 0. Vectors of other lengths than the query's are no
     candidates. Of rows that repeat a vec_id the one with the smallest components
     counts. Other columns are ignored.
