@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tests.llm import test_bpe, test_suffix
+from tests.llm import test_alignment, test_bpe, test_suffix
 from tests.llm.helpers import rows
 from viewpoint.llm import queries
 
@@ -46,7 +46,19 @@ def test_op9_matches_the_library_on_the_table(spark, duck, small_dir):
     assert got == sorted(want, key=repr)
 
 
+def test_op11_matches_the_library_on_the_table(spark, duck, small_dir):
+    want = [(i, len((s or "").encode()), n := len(test_bpe.expected(s)[0]), n > 512) for i, s in documents(duck)]
+    assert rows(queries.op11_token_counts(spark, small_dir), "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=repr)
+
+
+def test_op13_matches_brute_force_on_short_texts_of_the_table(spark, duck, small_dir):
+    """Brute force compares all token pairs of a text, so texts of up to 3,000 bytes take part."""
+    data = [(i, s) for i, s in documents(duck) if len((s or "").encode()) <= 3000]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert rows(test_alignment.alignment.align_tokenizers(df, test_alignment.A, test_alignment.B), *test_alignment.NAMES) == test_alignment.brute(data)
+
+
 def test_one_query_for_each_operator_and_the_pipeline():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(queries.ORACLE_SQL) <= set(entry.oracle_sql())

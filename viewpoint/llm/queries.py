@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewpoint.llm import bpe, chat, embeddings, lines, minhash, mixing, passages, quality, suffix, topk
+from viewpoint.llm import alignment, bpe, chat, divergence, embeddings, lines, minhash, mixing, passages, quality, suffix, token_counts, topk
 
-#: Vocabulary file of op9; a parameter of the operator.
-VOCABULARY = "byte_bpe_50k.json"
+#: Vocabulary files of op9, op11 and op13; parameters of the operators.
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,24 @@ def op10_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path(VOCABULARY))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_tokenizers(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_passage_dedup": op2_passage_dedup,
@@ -73,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL = {
@@ -82,6 +103,7 @@ ORACLE_SQL = {
     "op5_exact_top_k": topk.ORACLE_SQL,
     "op6_mix_sources": mixing.ORACLE_SQL,
     "op10_line_dedup": lines.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
 }
 
 
