@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ class Aligner:
         if not isinstance(self.a, ByteLevel) or not isinstance(self.b, Pieces):
             raise ValueError("the alignment takes a byte-level .json file and a sentencepiece .model file")
         self.len_a, self.len_b = (np.array([len(p) for p in e.pieces], dtype=np.int64) for e in (self.a, self.b))
+        self.sizes_a = self.len_a.tolist()
         n = self.a.size
         #: An A id is followed by "," or "|", a B id by "," or ";".
         self.words = [f"{i}{c}" for size, marks in ((n, ",|"), (self.b.size, ",;")) for c in marks for i in range(size)]
@@ -59,22 +61,22 @@ class Aligner:
         """For each part (its leading space included): numbers of A tokens, B tokens and
         groups, the groups as text with a final ";", and the links as pairs; None where the bytes of the tokens are not the part's."""
         ids_a, ids_b = self.a.encode_plain(parts), self.b.encode_plain([p[1:] for p in parts])
-        piece_a, piece_b = self.a.pieces.__getitem__, self.b.pieces.__getitem__
+        size_a, piece_b = self.sizes_a.__getitem__, self.b.pieces.__getitem__
         good = []
         for p, x, y in zip(parts, ids_a, ids_b, strict=True):
             data = p.encode()
-            good.append(b"".join(map(piece_a, x)) == data and b"".join(map(piece_b, y)) == data)
+            # A splits the text's bytes and loses none, so A's bytes are the text's if there are as many.
+            good.append(sum(map(size_a, x)) == len(data) and b"".join(map(piece_b, y)) == data)
         ids_a = [x for x, g in zip(ids_a, good, strict=True) if g]
         ids_b = [x for x, g in zip(ids_b, good, strict=True) if g]
         n_a, n_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (ids_a, ids_b))
         if not len(n_a):
             return [None] * len(parts)
-        a, b = (np.fromiter((i for y in x for i in y), dtype=np.int64, count=int(n.sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
+        a, b = (np.fromiter(chain.from_iterable(x), dtype=np.int64, count=int(n.sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
         end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         # Ends that both have cut the tokens into groups: a look-up of A's ends among B's, in their order.
         index_b = dict(zip(end_b.tolist(), range(len(b)), strict=True))
-        found = index_b.get
-        hit = np.array([found(e, -1) for e in end_a.tolist()], dtype=np.int64)
+        hit = np.fromiter(map(index_b.get, end_a.tolist(), repeat(-1)), dtype=np.int64, count=len(a))
         last_a = np.flatnonzero(hit >= 0)
         last_b = hit[last_a]
         group_a = np.cumsum(hit >= 0) - (hit >= 0)
