@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from viewpoint.functions import moments as M
 from viewpoint.operators.reports import Z_DEFAULT
 from viewpoint.session import materialize
 
@@ -124,26 +125,36 @@ def binned_report(
     """Per (key, bin) over passages with ``pos < max_pos``: mean of each
     declared column and, with ``with_ci``, ``z * std / sqrt(count(col))``.
 
-    The facts are read once: counts and sums per (key, distinct value) are
-    written to the shared folder, and bins and report follow from that table."""
+    The facts are read once: exact sums and spreads per (key, distinct value) are
+    written to the shared folder with their bins, and the report follows from that
+    table. Means do not depend on the order of the rows, and spreads are merged as
+    states of (n, mean, M2), see :mod:`viewpoint.functions.moments`."""
     head = F.col("pos") < max_pos
     aggs = [F.count(F.lit(1)).alias("_n"), F.count(F.when(head, 1)).alias("_head")]
     for c in columns:
-        x = F.when(head, F.col(c))
-        aggs += [F.count(x).alias(f"_c_{c}"), F.sum(x.cast("double")).alias(f"_s_{c}")]
-        aggs += [F.sum(x.cast("double") * x).alias(f"_q_{c}")] if with_ci else []
-    stats = facts.withColumn("_v", _number(value)).groupBy(key, "_v").agg(*aggs)
+        x = F.when(head, F.col(c)).cast("double")
+        aggs += [F.count(x).alias(f"{c}_n"), *M.sum_columns(x, c)]
+        aggs += [M.spread_column(x).alias(f"{c}_m2")] if with_ci else []
+    stats = facts.withColumn("_v", _number(value)).groupBy(F.col(key).alias("_key"), "_v").agg(*aggs)
     stats = materialize(stats, "value_stats")
-    kept = [key, *[c for c in stats.columns if c not in (key, "_v", "_n")]]
-    binned = ranked(stats, key).select(*kept, _bin(num_bins).alias(bin_col))
-    binned = binned.unionByName(stats.where("_v is null").select(*kept, F.lit(None).cast("bigint").alias(bin_col)))
-    sums = binned.groupBy(key, bin_col).agg(*[F.sum(c).alias(c) for c in kept[1:]]).where("_head > 0")
+    kept = [c for c in stats.columns if c not in ("_v", "_n")]
+    binned = ranked(stats, "_key").select(*kept, _bin(num_bins).alias("_bin"))
+    binned = binned.unionByName(stats.where("_v is null").select(*kept, F.lit(None).cast("bigint").alias("_bin")))
+    counts = [F.sum(c).alias(c) for c in ["_head", *[f"{c}_n" for c in columns]]]
+    sums = binned.groupBy("_key", "_bin").agg(*counts, *[a for c in columns for a in M.merge_columns(c)]).where("_head > 0")
+    means = [F.try_divide(M.total(c), F.col(f"{c}_n")).alias(c) for c in columns]
+    if not with_ci:
+        return sums.select(F.col("_key").alias(key), F.col("_bin").alias(bin_col), *means)
+    report = sums.select(F.col("_key").alias("_k"), F.col("_bin").alias("_b"), *means, *[f"{c}_n" for c in columns])
+    # A bin's values meet the bin's means: few rows a key, so this is a small join.
+    own = binned.select("_key", "_bin", *[x for c in columns for x in (F.col(f"{c}_n").alias(f"{c}_i"), F.try_divide(M.total(c), F.col(f"{c}_n")).alias(f"{c}_m"), f"{c}_m2")])
+    both = own.join(report, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_bin").eqNullSafe(F.col("_b")))
+    spread = [M.merged_spread(F.col(f"{c}_i"), F.col(f"{c}_m"), F.col(f"{c}_m2"), F.col(c)).alias(f"{c}_m2") for c in columns]
+    both = both.groupBy("_key", "_bin").agg(*[F.first(c).alias(c) for c in columns], *[F.first(f"{c}_n").alias(f"{c}_n") for c in columns], *spread)
     out = []
     for c in columns:
-        n, s = F.col(f"_c_{c}"), F.col(f"_s_{c}")
-        out.append(F.try_divide(s, n).alias(c))
-        if with_ci:
-            spread = F.greatest(F.col(f"_q_{c}") - F.try_divide(s * s, n), F.lit(0.0))
-            # One value has no spread: 0 / 0 is NULL.
-            out.append((z * F.sqrt(F.try_divide(spread, n - 1)) / F.sqrt(F.when(n > 0, n))).alias(c + "_std"))
-    return sums.select(key, bin_col, *out)
+        n = F.col(f"{c}_n")
+        # One value has no spread: 0 / 0 is NULL.
+        std = F.sqrt(F.try_divide(F.col(f"{c}_m2"), n - 1))
+        out += [F.col(c), (z * std / F.sqrt(F.when(n > 0, n))).alias(c + "_std")]
+    return both.select(F.col("_key").alias(key), F.col("_bin").alias(bin_col), *out)

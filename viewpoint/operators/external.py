@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from viewpoint.functions import moments as M
 from viewpoint.functions import vectors as V
 from viewpoint.schemas import EXTERNAL_METRICS
 
@@ -131,7 +132,7 @@ def matrix_reduce(matrix: DataFrame, key: str = "pair_id") -> DataFrame:
     """Sentence-level consistency from a (key, src_sent, claim_sent, score)
     matrix: max over source sentences per claim, mean over claims."""
     per_claim = matrix.groupBy(key, "claim_sent").agg(F.max("score").alias("best"))
-    return per_claim.groupBy(key).agg(F.avg("best").alias("score"), F.count(F.lit(1)).alias("claims"))
+    return per_claim.groupBy(key).agg(M.mean("best").alias("score"), F.count(F.lit(1)).alias("claims"))
 
 
 def stance_pairs(logits: DataFrame, key: str = "pair_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewpoint.functions import coverage as C
+from viewpoint.functions import moments as M
 from viewpoint.functions import text as T
 
 Z_DEFAULT = 1.96  # fixed value: default confidence multiplier
@@ -32,8 +33,8 @@ def position_report(facts: DataFrame, positions: int = 10, z: float = Z_DEFAULT)
         facts.filter(F.col("pos") < positions)
         .groupBy("model", "pos")
         .agg(
-            F.avg(F.when(left, F.col("mpl_ext"))).alias("mpl_ext"),
-            F.avg(F.when(right, F.col("mpr_ext"))).alias("mpr_ext"),
+            M.mean(F.when(left, F.col("mpl_ext"))).alias("mpl_ext"),
+            M.mean(F.when(right, F.col("mpr_ext"))).alias("mpr_ext"),
             ci(F.when(left, F.col("mpl_ext")), F.count(F.when(left, 1)), z).alias("mpl_ext_std"),
             ci(F.when(right, F.col("mpr_ext")), F.count(F.when(right, 1)), z).alias("mpr_ext_std"),
             F.count(F.when(left, 1)).alias("mpl_count"),
@@ -68,7 +69,7 @@ def side_report(facts: DataFrame, head: int = 4, n_head: int = 5, z: float = Z_D
         for side in ("left", "right"):
             sub = (F.col("side") == side) & (F.col("pos") < head)
             n = F.count(F.when((F.col("side") == side) & (F.col("pos") < n_head), 1))
-            aggs.append(F.avg(F.when(sub, F.col(col))).alias(f"{summ}_{side}"))
+            aggs.append(M.mean(F.when(sub, F.col(col))).alias(f"{summ}_{side}"))
             aggs.append(ci(F.when(sub, F.col(col)), n, z).alias(f"{summ}_{side}_std"))
     return facts.groupBy("model").agg(*aggs)
 
@@ -82,7 +83,7 @@ def metric_summary(
     reference does (``len(df)``)."""
     aggs = []
     for m in metrics:
-        aggs.append((F.avg(m) * 100).alias(m))
+        aggs.append((M.mean(m) * 100).alias(m))
         aggs.append((ci(F.col(m), F.count(F.lit(1)), z) * 100).alias(f"{m}_ci"))
     return scores.groupBy(*keys).agg(*aggs)
 
@@ -106,7 +107,7 @@ def doc_coverage(
     cov = summ.join(doc, "row_id").select(
         "model", C.coverage(F.col("_l"), F.col("_doc")).alias("l"), C.coverage(F.col("_r"), F.col("_doc")).alias("r")
     )
-    return cov.groupBy("model").agg(F.avg("l").alias("left_cov"), F.avg("r").alias("right_cov")).select(
+    return cov.groupBy("model").agg(M.mean("l").alias("left_cov"), M.mean("r").alias("right_cov")).select(
         "model", "left_cov", "right_cov", (F.col("left_cov") / 2 + F.col("right_cov") / 2).alias("avg_cov")
     )
 
@@ -118,7 +119,7 @@ def summary_length(preds: DataFrame, left: Column | None = None, right: Column |
     left = T.word_count("mp_left_pred") if left is None else left
     right = T.word_count("mp_right_pred") if right is None else right
     ln = preds.select("model", left.alias("l"), right.alias("r"))
-    return ln.groupBy("model").agg(F.avg("l").alias("left_len"), F.avg("r").alias("right_len")).select(
+    return ln.groupBy("model").agg(M.mean("l").alias("left_len"), M.mean("r").alias("right_len")).select(
         "model", "left_len", "right_len", (F.col("left_len") / 2 + F.col("right_len") / 2).alias("avg_len")
     )
 

@@ -14,6 +14,7 @@ from viewpoint.plans.sqltext import (
     first_sentence,
     length,
     lex_tokens,
+    mean,
     norm,
     q,
     r6,
@@ -103,8 +104,8 @@ def position_report_sql() -> str:
     return with_(*BASE_FACTS, facts_cte()) + f"""
 , agg AS (
   SELECT model, pos,
-    avg(mpl_ext) FILTER (WHERE {left}) AS mpl_ext,
-    avg(mpr_ext) FILTER (WHERE {right}) AS mpr_ext,
+    {mean('mpl_ext', left)} AS mpl_ext,
+    {mean('mpr_ext', right)} AS mpr_ext,
     1.96 * stddev_samp(mpl_ext) FILTER (WHERE {left}) / sqrt(count(*) FILTER (WHERE {left})) AS mpl_ext_std,
     1.96 * stddev_samp(mpr_ext) FILTER (WHERE {right}) / sqrt(count(*) FILTER (WHERE {right})) AS mpr_ext_std,
     count(*) FILTER (WHERE {left}) AS mpl_count,
@@ -201,7 +202,7 @@ def pct_list(n: int) -> str:
 
 
 def binned(src: str, value: str, n: int, bin_col: str, cols: list[str], with_ci: bool = True) -> str:
-    aggs = [f"{r6(f'avg({c})')} AS {c}" for c in cols]
+    aggs = [f"{r6(mean(c))} AS {c}" for c in cols]
     if with_ci:
         aggs += [f"{r6(ci(c, f'count({c})'))} AS {c}_std" for c in cols]
     return f"""
@@ -277,7 +278,7 @@ ext AS (
 
 
 def summary_aggs(metrics: list[str]) -> str:
-    return ", ".join(f"avg({m}) * 100 AS {m}, ({ci(m, 'count(*)')}) * 100 AS {m}_ci" for m in metrics)
+    return ", ".join(f"{mean(m)} * 100 AS {m}, ({ci(m, 'count(*)')}) * 100 AS {m}_ci" for m in metrics)
 
 
 BASE_ROWS = """
@@ -351,7 +352,7 @@ def sql_side_report() -> str:
         for sd in ("left", "right"):
             sub = f"side = '{sd}' AND pos < 4"
             n = f"count(*) FILTER (WHERE side = '{sd}' AND pos < 5)"
-            parts.append(f"{r6(f'avg({col}) FILTER (WHERE {sub})')} AS {summ}_{sd}")
+            parts.append(f"{r6(mean(col, sub))} AS {summ}_{sd}")
             parts.append(f"{r6(f'1.96 * stddev_samp({col}) FILTER (WHERE {sub}) / sqrt({n})')} AS {summ}_{sd}_std")
     return with_(*BASE_FACTS, facts_cte()) + f"\nSELECT model, {', '.join(parts)} FROM facts GROUP BY model"
 
@@ -365,13 +366,13 @@ def sql_doc_coverage() -> str:
     r = cov(token_set("mp_right_pred"), token_set("alt_op"))
     return _with_ref_preds() + f"""
 , c AS (SELECT model, {l} AS l, {r} AS r FROM allp)
-SELECT model, {r6('avg(l)')} AS left_cov, {r6('avg(r)')} AS right_cov, {r6('avg(l) / 2 + avg(r) / 2')} AS avg_cov FROM c GROUP BY model"""
+SELECT model, {r6(mean('l'))} AS left_cov, {r6(mean('r'))} AS right_cov, {r6(mean('l') + ' / 2 + ' + mean('r') + ' / 2')} AS avg_cov FROM c GROUP BY model"""
 
 
 def sql_summary_length() -> str:
     return _with_ref_preds() + f"""
 , c AS (SELECT model, len({tokens('mp_left_pred')}) AS l, len({tokens('mp_right_pred')}) AS r FROM allp)
-SELECT model, {r6('avg(l)')} AS left_len, {r6('avg(r)')} AS right_len, {r6('avg(l) / 2 + avg(r) / 2')} AS avg_len FROM c GROUP BY model"""
+SELECT model, {r6(mean('l'))} AS left_len, {r6(mean('r'))} AS right_len, {r6(mean('l') + ' / 2 + ' + mean('r') + ' / 2')} AS avg_len FROM c GROUP BY model"""
 
 
 def sql_bins(value: str, n: int, bin_col: str, with_ci: bool = True) -> str:
@@ -505,7 +506,7 @@ tv AS (SELECT vec_id // 10 AS pair_id, vec_id % 2 AS side, vec_id AS tok, CAST(e
 c AS (
   SELECT s.pair_id, c.tok, max(list_cosine_similarity(s.vec, c.vec)) AS best
   FROM tv s JOIN tv c ON c.pair_id = s.pair_id AND s.side = 0 AND c.side = 1 GROUP BY s.pair_id, c.tok)
-SELECT pair_id, {r6('avg(best)')} AS score, CAST(count(*) AS BIGINT) AS claims FROM c GROUP BY pair_id"""
+SELECT pair_id, {r6(mean('best'))} AS score, CAST(count(*) AS BIGINT) AS claims FROM c GROUP BY pair_id"""
 
 
 def _instructions() -> str:
@@ -576,7 +577,7 @@ FROM pt"""
 def sql_summary_length_tokens() -> str:
     return _with_ref_preds() + f"""
 , c AS (SELECT model, ceil(length(mp_left_pred) / 4) AS l, ceil(length(mp_right_pred) / 4) AS r FROM allp)
-SELECT model, {r6('avg(l)')} AS left_len, {r6('avg(r)')} AS right_len, {r6('avg(l) / 2 + avg(r) / 2')} AS avg_len FROM c GROUP BY model"""
+SELECT model, {r6(mean('l'))} AS left_len, {r6(mean('r'))} AS right_len, {r6(mean('l') + ' / 2 + ' + mean('r') + ' / 2')} AS avg_len FROM c GROUP BY model"""
 
 
 def _py_slice(t: str, start0: str, end: str) -> str:
@@ -634,13 +635,13 @@ def sql_plot_series() -> str:
         return f"""
 {series}_e AS (SELECT model, quantile_cont({value}, {pct_list(10)}) AS edges FROM lfacts GROUP BY model),
 {series}_s AS (
-  SELECT model, '{series}' AS series, (bin + 1) * 10 AS x, avg({l}) AS mpl, avg({r}) AS mpr, {ci(l, f'count({l})')} AS mpl_std, {ci(r, f'count({r})')} AS mpr_std
+  SELECT model, '{series}' AS series, (bin + 1) * 10 AS x, {mean(l)} AS mpl, {mean(r)} AS mpr, {ci(l, f'count({l})')} AS mpl_std, {ci(r, f'count({r})')} AS mpr_std
   FROM (SELECT f.*, len(list_filter(e.edges, lambda q: q < f.{value})) AS bin FROM lfacts f JOIN {series}_e e USING (model)) WHERE pos < 4 GROUP BY model, bin)"""
 
     return lex_facts() + f""",
 pagg AS (
   SELECT model, pos AS x,
-    avg(mpl_ext) FILTER (WHERE {left}) AS mpl, avg(mpr_ext) FILTER (WHERE {right}) AS mpr,
+    {mean('mpl_ext', left)} AS mpl, {mean('mpr_ext', right)} AS mpr,
     1.96 * stddev_samp(mpl_ext) FILTER (WHERE {left}) / sqrt(count(*) FILTER (WHERE {left})) AS mpl_std,
     1.96 * stddev_samp(mpr_ext) FILTER (WHERE {right}) / sqrt(count(*) FILTER (WHERE {right})) AS mpr_std
   FROM lfacts WHERE pos < 10 GROUP BY model, pos),

@@ -76,6 +76,14 @@ def r6(x: str) -> str:
     return f"round(({x}) * 1000000.0) / 1000000.0"
 
 
+def mean(x: str, where: str | None = None) -> str:
+    """Mean of doubles by whole numbers (units of 2 ** -59), so the order of the rows does not matter."""
+    only = f" FILTER (WHERE {where})" if where else ""
+    v, unit = f"CAST({x} AS DOUBLE)", f"CAST({1 << 59} AS DOUBLE)"
+    whole, part = f"sum(CAST(trunc({v}) AS HUGEINT)){only}", f"sum(CAST(round(({v} - trunc({v})) * {unit}) AS HUGEINT)){only}"
+    return f"(({whole} + {part} / {unit}) / count({x}){only})"
+
+
 def rouge_tokens(x: str) -> str:
     return f"list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
 
