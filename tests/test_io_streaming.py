@@ -52,7 +52,7 @@ def test_model_files_of_different_column_orders_in_one_scan(spark):
     got = sorted((r["model"], r["row_id"], r["title"], r["mp_left_pred"], r["alt_op"]) for r in df.collect())
     assert got == [(m, i, f"{m} title {i}", f"{m} mp_left_pred {i}", None) for m in ("m a", "m+b") for i in range(3)]
     plan = io.read_model_files(spark, d)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan csv") == 2  # rows and their count per file, whatever the models
+    assert "FileScan text" not in plan and "FileScan csv" not in plan  # the records were cut once, when the files were opened
     metrics = io.read_row_metrics_csv(spark, d, ["m a"], reverse=True).orderBy("row_id").collect()
     assert [(r["model"], r["mp_left_pred_rouge1"], r["mp_left_pred_bert"]) for r in metrics] == [("m a", 0.5, None), ("m a", None, None), ("m a", 0.25, None)]
 

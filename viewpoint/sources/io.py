@@ -13,22 +13,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from viewpoint import schemas
 from viewpoint.operators import lexicon as LX
+from viewpoint.sources.csvparts import csv_cells, csv_records
 
-#: Columns that a CSV file of predictions or metrics has at most.
-MAX_COLUMNS = 128
 
-
-def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, names, cells): the records of CSV files in one scan. ``at`` is the
-    record's place in its file, ``names`` the file's header; files may order their
-    columns differently. Passages are newline separated inside quoted fields and
-    pandas doubles quotes, so a file is read by one task in any case."""
-    cells = StructType([StructField(f"c{i}", StringType()) for i in range(MAX_COLUMNS)])
-    read = spark.read.schema(cells).option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"')
-    rows = read.csv(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.array(*cells.names).alias("cells"))
-    order = Window.partitionBy("file").orderBy("id")
-    rows = rows.withColumn("at", F.row_number().over(order).cast("bigint") - 2).withColumn("names", F.first("cells").over(order))
-    return rows.where("at >= 0").select("file", "at", "names", "cells")
+def _csv_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (file, at, names, cells) and files (file, n) of CSV files, whatever their
+    size and width: see :mod:`viewpoint.sources.csvparts`."""
+    records, files = csv_records(spark, path)
+    return csv_cells(records)[0], files.select("file", (F.col("n") - 1).alias("n"))
 
 
 def _cell(name: str) -> Column:
@@ -36,23 +28,21 @@ def _cell(name: str) -> Column:
     return F.get("cells", F.array_position("names", F.lit(name)).cast("int") - 1)
 
 
-def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` plus ``row_id``: the row's place among all rows of its ``keys``,
-    files in the order of their names, records in the order of the file. It does
-    not depend on file sizes or on how Spark splits the work."""
-    name = F.substring_index("file", "/", -1)
-    rows = rows.withColumn("_file", name)
-    count = rows.groupBy(*keys, "_file").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    count = count.select(*keys, "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(count, [*keys, "_file"]).withColumn("row_id", F.col("_before") + F.col("at")).drop("_file", "_before")
+def _numbered(rows: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` plus ``row_id``: the row's place among all rows of its ``keys``
+    (columns of ``files``), files in the order of their names, records in the order of
+    the file. It does not depend on file sizes or on how Spark splits the work."""
+    order = [F.substring_index("file", "/", -1), F.col("file")]
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", *keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(files, "file").withColumn("row_id", F.col("_before") + F.col("at")).drop("_before")
 
 
 def read_topics_csv(spark: SparkSession, path: str) -> DataFrame:
     """A1: topic table from one CSV file written by pandas or a folder of them.
     A ``row_id`` column of the files is the key; without one, rows are numbered
     in file order (see :func:`_numbered`)."""
-    rows = _numbered(_csv_rows(spark, path), [])
+    rows = _numbered(*_csv_rows(spark, path), [])
     key = F.coalesce(_cell("row_id").try_cast("bigint"), F.col("row_id"))
     return rows.select(key.alias("row_id"), *[_cell(c).alias(c) for c in schemas.TOPIC_COLS])
 
@@ -71,8 +61,8 @@ def read_model_files(
     :func:`read_topics_csv`; columns that a file lacks are NULL."""
     names = [m.rstrip("/").rsplit("/", 1)[-1] for m in models] if models is not None else ["*"]
     paths = f"{root}/{{{','.join(names)}}}/{file_name}" if len(names) > 1 else f"{root}/{names[0]}/{file_name}"
-    rows = _csv_rows(spark, paths).withColumn("model", F.url_decode(F.replace(F.element_at(F.split("file", "/"), -2), F.lit("+"), F.lit("%2B"))))
-    rows = _numbered(rows, ["model"])
+    rows, files = _csv_rows(spark, paths)
+    rows = _numbered(rows, files.withColumn("model", F.url_decode(F.replace(F.element_at(F.split("file", "/"), -2), F.lit("+"), F.lit("%2B")))), ["model"])
     key = F.coalesce(_cell("row_id").try_cast("bigint"), F.col("row_id"))
     return rows.select("model", *[_cell(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields], key.alias("row_id"))
 
