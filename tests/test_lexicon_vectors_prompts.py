@@ -154,13 +154,37 @@ def test_last_line_by_two_columns(spark):
     assert (out["v"], out["a"], out["d"]) == (2, 2, 2)
 
 
-def test_zero_vectors_and_too_long_texts(spark):
+def test_zero_vectors(spark):
     df = spark.createDataFrame([(0, 0, [0.0, 0.0]), (0, 1, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (1, 1, [1.0, 0.0])], "pair_id long, side int, vec array<double>")
     assert {r["pair_id"]: r["f1"] for r in E.greedy_match(df).collect()} == {0: 0.0, 1: 1.0}
-    many = spark.createDataFrame([(0, 0, [1.0])] * 5, "pair_id long, side int, vec array<double>")
-    assert E.greedy_match(many, max_tokens=5).count() == 1
-    with pytest.raises(Exception, match="more than 4 token vectors"):
-        E.greedy_match(many, max_tokens=4).collect()
+
+
+def _matrix_f1(cand, ref):
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (cand, ref))
+    sim = a @ b.T
+    p, r = sim.max(axis=1).mean(), sim.max(axis=0).mean()
+    return p, r, 2 * p * r / (p + r)
+
+
+def test_texts_of_any_length_equal_the_whole_matrix(spark):
+    rng = np.random.default_rng(1)
+    cand, ref = rng.normal(size=(5000, 4)), rng.normal(size=(3000, 4))
+    rows = [(0, 0, v.tolist()) for v in cand] + [(0, 1, v.tolist()) for v in ref] + [(1, 0, v.tolist()) for v in cand[:7]] + [(1, 1, v.tolist()) for v in ref[:3]]
+    got = {r["pair_id"]: tuple(r)[1:] for r in E.greedy_match(spark.createDataFrame(rows, "pair_id long, side int, vec array<double>")).collect()}
+    assert got[0] == pytest.approx(_matrix_f1(cand, ref), abs=1e-12) and got[1] == pytest.approx(_matrix_f1(cand[:7], ref[:3]), abs=1e-12)
+
+
+@pytest.mark.parametrize("tile", [1, 2, 3])
+def test_tiles_change_nothing(spark, tile):
+    rng = np.random.default_rng(tile)
+    phrases = {i: rng.normal(size=(rng.integers(1, 8), 3)) for i in range(6)}
+    source = rng.normal(size=(5, 3))
+    pred = spark.createDataFrame([("m", 0, f"e{i}", v.tolist()) for i, p in phrases.items() for v in p], "model string, row_id long, exp string, vec array<double>")
+    src = spark.createDataFrame([(0, "s", v.tolist()) for v in source], "row_id long, src string, vec array<double>")
+    of = {f"e{i}": "s" for i in range(5)} | {"e5": "none"}
+    got = {r["exp"]: r["target"] for r in E.keyphrase_target(pred, src, of, tile=tile).collect()}
+    assert got.pop("e5") is None and len(got) == 5
+    assert all(got[f"e{i}"] == pytest.approx(_matrix_f1(phrases[i], source)[2], abs=1e-12) for i in range(5))
 
 
 def test_keyphrase_target_shares_the_source_phrase(spark):

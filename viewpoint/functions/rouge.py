@@ -101,3 +101,26 @@ def add_rouge(df: DataFrame, pred_toks: str, ref_toks: str, metrics=("rouge1", "
     if "rougeL" in metrics:
         out.append(lcs_f_measure(F.col("_lcs"), F.col("_npt"), F.col("_nrt")).alias("rougeL"))
     return stage.select(*keep, *out)
+
+
+def long_overlap(pairs: DataFrame, keys: list[str], pred: str, ref: str, n: int = 1, chunk: int = 1 << 16) -> DataFrame:
+    """(keys..., hits, n_pred, n_ref, f): clipped n-gram overlap of token-array columns ``pred`` and
+    ``ref`` across tasks, for texts whose grams should not be sorted in one row; ``n`` is 1 or 2.
+
+    The arrays are cut into chunks of ``chunk`` tokens, which overlap by n - 1, and every gram becomes a
+    row. Tasks count their own grams first, so a frequent gram costs a row a task; counts meet by
+    (keys, gram), and the smaller of the two counts is summed by keys. ``keys`` must name each row. Same
+    values as :func:`add_rouge`; a pair without any token has 0 everywhere."""
+    if n not in (1, 2):
+        raise ValueError("n must be 1 or 2")
+    both = F.array(*[F.struct(F.lit(s).alias("side"), F.coalesce(F.col(c), F.array().cast("array<string>")).alias("t")) for s, c in ((0, pred), (1, ref))])
+    toks = pairs.select(*keys, F.explode(both).alias("x")).select(*keys, "x.side", "x.t")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("t") - 1, F.lit(0)), F.lit(chunk))
+    # The struct keeps a row for a text without tokens.
+    part = toks.select(*keys, "side", F.explode(F.transform(starts, lambda i: F.struct(F.slice("t", i + 1, chunk + n - 1).alias("t")))).alias("x"))
+    grams = F.col("x.t") if n == 1 else bigrams(F.col("x.t"))
+    rows = part.select(*keys, "side", F.explode_outer(grams).alias("gram"))
+    count = lambda s: F.count(F.when((F.col("side") == s) & F.col("gram").isNotNull(), 1))
+    per = rows.groupBy(*keys, "gram").agg(count(0).alias("p"), count(1).alias("r"))
+    out = per.groupBy(*keys).agg(F.sum(F.least("p", "r")).alias("hits"), F.sum("p").alias("n_pred"), F.sum("r").alias("n_ref"))
+    return out.select(*keys, "hits", "n_pred", "n_ref", f_measure(F.col("hits"), F.col("n_pred"), F.col("n_ref")).alias("f"))

@@ -7,8 +7,11 @@ oracle can use the very same patterns.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Python's str.isspace() set, written as a regex class body.
 WS_CLASS = "\\t\\n\\x0B\\f\\r\\x1C-\\x1F\\x{85}\\p{Z}"
@@ -89,10 +92,63 @@ def first_sentence(text) -> Column:
     return F.when(hit != F.lit(""), hit).otherwise(strip_ws(t))
 
 
+def head_of(passage, prefix_chars: int = 30) -> Column:
+    """The normalised head of the lower-cased passage."""
+    return F.regexp_replace(F.substring(F.lower(_c(passage)), 1, prefix_chars), NON_WORD, "")
+
+
+def contained(heads: list[str], text: str | None) -> np.ndarray:
+    """Which of ``heads`` lie in ``text``: all windows of the text are hashed, one length
+    of heads at a time, and the windows whose hash some head has are compared with
+    the heads as strings. Linear in the text for every length, however many heads there are."""
+    out = np.array([text is not None and h == "" for h in heads], dtype=bool)
+    lengths: dict[int, dict[str, list[int]]] = {}
+    for i, h in enumerate(heads if text else []):
+        lengths.setdefault(len(h), {}).setdefault(h, []).append(i)
+    lengths.pop(0, None)
+    base = np.uint64(_WINDOW_BASE)
+    chars = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    windows, length = np.zeros(len(chars) + 1, dtype=np.uint64), 0
+    for n, rows_of in sorted(lengths.items()):
+        if n > len(chars):
+            break
+        for k in range(length, n):  # windows[i] becomes the hash of the k + 1 characters from i on
+            windows = windows[: len(chars) - k] * base + chars[k:]
+        length = n
+        hashes = np.unique(np.array([_window_hash(h) for h in rows_of], dtype=np.uint64))
+        at = np.minimum(np.searchsorted(hashes, windows), len(hashes) - 1)
+        found = {text[i : i + n] for i in np.flatnonzero(hashes[at] == windows).tolist()}
+        for h, rows in rows_of.items():
+            out[rows] = h in found
+    return out
+
+
+_WINDOW_BASE = 0x9E3779B97F4A7C15
+
+
+def _window_hash(head: str) -> int:
+    h = 0
+    for c in head:
+        h = (h * _WINDOW_BASE + ord(c)) % (1 << 64)
+    return h
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def sides_of(heads: pd.Series, norm_left: pd.Series, norm_right: pd.Series) -> pd.Series:
+    """:func:`side_of` for all passages of a topic at once, given their :func:`head_of`."""
+
+    def sides(hs, left, right):
+        hs = list(hs)
+        return np.where(contained(hs, left), "left", np.where(contained(hs, right), "right", "neither")).tolist()
+
+    return pd.Series([sides(*x) for x in zip(heads, norm_left, norm_right)], dtype=object)
+
+
 def side_of(passage, norm_left, norm_right, prefix_chars: int = 30) -> Column:
     """'left' / 'right' / 'neither': is the normalised head of the lower-cased
-    passage contained in the normalised left (tested first) or right source."""
-    head = F.regexp_replace(F.substring(F.lower(_c(passage)), 1, prefix_chars), NON_WORD, "")
+    passage contained in the normalised left (tested first) or right source. For one
+    passage; :func:`sides_of` takes all passages of a topic."""
+    head = head_of(passage, prefix_chars)
     return (
         F.when(F.contains(_c(norm_left), head), F.lit("left"))
         .when(F.contains(_c(norm_right), head), F.lit("right"))

@@ -78,9 +78,12 @@ def _between(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
 
 
-def percentile_edges(df: DataFrame, value: str, num_bins: int, key: str = "model") -> DataFrame:
+def percentile_edges(df: DataFrame, value: str, num_bins: int, key: str = "model", sketch: int | None = None) -> DataFrame:
     """(key, edges): exact percentiles at i/num_bins, i = 1..num_bins, with
-    linear interpolation; NULL edges for a key without any value."""
+    linear interpolation; NULL edges for a key without any value. With ``sketch``
+    they are approximate, out of a KLL sketch of that size, see :func:`edges_of_states`."""
+    if sketch is not None:
+        return edges_of_states(quantile_state(df, value, key, sketch), num_bins, key)
     r = ranked(value_counts(df, value, key), key)
     holds = lambda rank: (F.col("_start") <= rank) & (rank < F.col("_end"))
     hit = r.select(key, "_v", "_start", "_end", F.explode(F.filter(_targets(num_bins), lambda x: holds(x["lo"]) | holds(x["hi"]))).alias("x"))
@@ -94,6 +97,26 @@ def percentile_edges(df: DataFrame, value: str, num_bins: int, key: str = "model
     return ab.groupBy(key).agg(edges.alias("edges")).select(key, F.when(F.size("edges") > 0, F.col("edges")).alias("edges"))
 
 
+def quantile_state(df: DataFrame, value: str, key: str = "model", k: int = 200) -> DataFrame:
+    """(key, state): a KLL sketch of the values of each key, a few kilobytes whatever the
+    rows. States of batches can be kept with the facts and merged, see :func:`merge_states`."""
+    return df.groupBy(key).agg(F.kll_sketch_agg_double(_number(value), F.lit(k)).alias("state"))
+
+
+def merge_states(states: DataFrame, key: str = "model", k: int = 200) -> DataFrame:
+    """One state per key out of those of several batches (key, state)."""
+    return states.groupBy(key).agg(F.kll_merge_agg_double("state", F.lit(k)).alias("state"))
+
+
+def edges_of_states(states: DataFrame, num_bins: int, key: str = "model") -> DataFrame:
+    """(key, edges): approximate percentiles at i/num_bins, i = 1..num_bins, from :func:`quantile_state`;
+    NULL edges for a key without any value. An edge is a value of the data whose rank is within
+    about 1.7 % of the rows for k = 200, and 0.4 % for k = 1,000 (the sketch's bound at 99 % confidence)."""
+    at = F.array(*[F.lit(i / num_bins) for i in range(1, num_bins + 1)])
+    edges = F.kll_sketch_get_quantile_double("state", at)
+    return states.select(key, F.when(F.kll_sketch_get_n_double("state") > 0, edges).alias("edges"))
+
+
 def _bin(num_bins: int) -> Column:
     """Number of edges below the value of a :func:`ranked` row. An edge between
     ranks lo and hi is below if both lie before the value; if only lo does, it is

@@ -13,15 +13,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from viewpoint.functions import moments as M
 from viewpoint.functions import vectors as V
 from viewpoint.schemas import EXTERNAL_METRICS
 
 KEYS = ["model", "row_id", "exp"]
-#: Token vectors of one text at most, as of the encoders that make them.
-MAX_TOKENS = 512
+#: Token vectors of a tile; texts of any length are compared tile by tile.
+TILE = 256
 
 
 def score_checks(
@@ -73,59 +73,74 @@ def attach_scores(rows: DataFrame, scores: DataFrame, metrics: list[str], keys:
     return rows.join(wide, keys, "left")
 
 
-def _checked(vectors: DataFrame, keys: list[str], max_tokens: int) -> DataFrame:
-    """``vectors`` gathered by ``keys``; more than ``max_tokens`` of them raise
-    before any are collected. Window and gathering share one shuffle."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.monotonically_increasing_id()))
-    too_many = F.raise_error(F.lit(f"a text of more than {max_tokens} token vectors")).cast("array<double>")
-    v = vectors.withColumn("_n", n).withColumn("vec", F.when(F.col("_n") > max_tokens, too_many).otherwise(F.col("vec")))
-    return v.groupBy(*keys).agg(F.collect_list("vec").alias("vecs"))
+def _tiles(vectors: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """(keys..., tile, vecs): the vectors of each key in tiles of at most ``tile``.
+    Windows and gathering share the partitioning of ``vectors`` if it is by some of ``keys``."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.monotonically_increasing_id())) - 1
+    v = vectors.withColumn("tile", F.floor(n / tile).cast("int"))
+    return v.groupBy(*keys, "tile").agg(F.collect_list("vec").alias("vecs"))
 
 
-def greedy_match(vectors: DataFrame, key: str = "pair_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
+def _reduced(both: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., precision, recall, f1) from pairs of tiles (keys..., tile, vecs, other, other_vecs).
+
+    Each pair gives the best cosine of every token of either tile to the other one; the maxima
+    of a token over all tiles of the other text are its match, and the means over tokens follow."""
+    m = both.withColumn("_m", _tile_maxima("vecs", "other_vecs"))
+    per_side = F.array(*[F.struct(F.lit(s).alias("side"), F.col(t).alias("tile"), F.col(f"_m.{c}").alias("best")) for s, t, c in ((0, "tile", "cand"), (1, "other", "ref"))])
+    m = m.select(*keys, F.explode(per_side).alias("x")).select(*keys, "x.side", "x.tile", F.posexplode("x.best").alias("i", "best"))
+    best = m.groupBy(*keys, "side", "tile", "i").agg(F.max("best").alias("best"))
+    side = lambda s: M.mean(F.when(F.col("side") == s, F.col("best")))
+    pr = best.groupBy(*keys).agg(side(0).alias("precision"), side(1).alias("recall"))
+    p, r = F.col("precision"), F.col("recall")
+    return pr.select(*keys, "precision", "recall", F.when(p + r != 0, 2 * p * r / (p + r)).when(p.isNotNull() & r.isNotNull(), 0.0).alias("f1"))
+
+
+def greedy_match(vectors: DataFrame, key: str = "pair_id", tile: int = TILE) -> DataFrame:
     """Greedy-matching similarity (BERTScore form, no idf weighting): for
     token vectors (key, side, vec) with side 0 = candidate, 1 = reference,
     P = mean over candidate tokens of the best cosine to any reference token,
-    R = the converse, F1 = 2PR / (P + R). A zero vector has cosine 0.
+    R = the converse, F1 = 2PR / (P + R). A zero vector has cosine 0; a pair
+    with one side only has NULLs.
 
-    The vectors of one text are gathered and reduced by an Arrow-batched numpy
-    matrix product; a text has ``max_tokens`` of them at most, the encoder's
-    sequence length, and a longer one raises.
+    A text may have any number of vectors: tiles of ``tile`` vectors meet pair by pair (an
+    Arrow-batched numpy product), and maxima and means are reduced by key.
     """
-    sides = _checked(vectors.select(key, "side", "vec"), [key, "side"], max_tokens)
-    grouped = sides.groupBy(key).agg(
-        F.max(F.when(F.col("side") == 0, F.col("vecs"))).alias("cand"), F.max(F.when(F.col("side") == 1, F.col("vecs"))).alias("ref")
-    )
-    return grouped.select(key, _greedy_prf("cand", "ref").alias("s")).select(key, "s.precision", "s.recall", "s.f1")
+    v = vectors.select(key, "side", "vec")
+    cand = _tiles(v.where("side = 0"), [key], tile)
+    ref = _tiles(v.where("side = 1"), [key], tile).select(key, F.col("tile").alias("other"), F.col("vecs").alias("other_vecs"))
+    both = cand.join(ref.hint("merge"), key, "full")
+    return _reduced(both, [key])
 
 
-def keyphrase_target(pred_vectors: DataFrame, src_vectors: DataFrame, src_of: dict[str, str], max_tokens: int = MAX_TOKENS) -> DataFrame:
+def keyphrase_target(pred_vectors: DataFrame, src_vectors: DataFrame, src_of: dict[str, str], tile: int = TILE) -> DataFrame:
     """(model, row_id, exp, target): greedy-matching F1 of the key phrase of each
     prediction, as token vectors (model, row_id, exp, vec), and that of its source,
     (row_id, src, vec). ``src_of`` names the source column of each experiment. The
     phrase of a source is gathered once, whatever the number of predictions; a
-    prediction without a phrase on either side has no row or a NULL target."""
-    pred = _checked(pred_vectors.select("model", "row_id", "exp", "vec"), ["model", "row_id", "exp"], max_tokens).withColumnRenamed("vecs", "cand")
-    src = _checked(src_vectors.select("row_id", "src", "vec"), ["row_id", "src"], max_tokens).withColumnRenamed("vecs", "ref")
+    prediction without a phrase has no row, one whose source has none a NULL target.
+    Phrases may have any length, see :func:`greedy_match`."""
+    pred = _tiles(pred_vectors.select(*KEYS, "vec"), KEYS, tile)
+    src = _tiles(src_vectors.select("row_id", "src", "vec"), ["row_id", "src"], tile)
+    src = src.select("row_id", "src", F.col("tile").alias("other"), F.col("vecs").alias("other_vecs"))
     of = F.create_map(*[F.lit(x) for kv in src_of.items() for x in kv])
     both = pred.withColumn("src", F.try_element_at(of, F.col("exp"))).join(src, ["row_id", "src"], "left")
-    return both.select("model", "row_id", "exp", _greedy_prf("cand", "ref").alias("s")).select("model", "row_id", "exp", F.col("s.f1").alias("target"))
+    return _reduced(both, KEYS).select(*KEYS, F.col("f1").alias("target"))
 
 
-def _prf(cand, ref):
-    if cand is None or ref is None or len(cand) == 0 or len(ref) == 0:
-        return (None, None, None)
+def _maxima(cand, ref):
+    """Best cosine of each vector of either side to the other one; NULLs without that side."""
+    if cand is None or ref is None:
+        return tuple(None if x is None else [None] * len(x) for x in (cand, ref))
     a, b = (np.vstack(x).astype(np.float64) for x in (cand, ref))
     a, b = (np.divide(x, n, out=np.zeros_like(x), where=n > 0) for x, n in ((y, np.linalg.norm(y, axis=1, keepdims=True)) for y in (a, b)))
     sim = a @ b.T
-    p, r = float(sim.max(axis=1).mean()), float(sim.max(axis=0).mean())
-    return (p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0)
+    return sim.max(axis=1), sim.max(axis=0)
 
 
-@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("precision", "recall", "f1")]))
-def _greedy_prf(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    rows = [_prf(c, r) for c, r in zip(cand, ref)]
-    return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
+@F.pandas_udf(StructType([StructField(n, ArrayType(DoubleType())) for n in ("cand", "ref")]))
+def _tile_maxima(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_maxima(c, r) for c, r in zip(cand, ref)], columns=["cand", "ref"])
 
 
 def matrix_reduce(matrix: DataFrame, key: str = "pair_id") -> DataFrame:

@@ -29,19 +29,20 @@ def pinned(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 
 
 def _split(topics: DataFrame) -> DataFrame:
-    """(row_id, ops, nl, nr): passages and normalised sides of each topic."""
+    """(row_id, ops, nl, nr, _info): passages and normalised sides of each
+    topic, and side and length of every passage. All heads of a topic are looked up in a side together."""
     ops = F.split(F.coalesce(F.col("alt_op"), F.lit("")), "\n")
-    return pinned(topics, ["row_id"], ops=ops, nl=T.normalize("left_op"), nr=T.normalize("right_op"))
-
-
-def _info() -> Column:
-    return F.transform("ops", lambda op: F.struct(T.side_of(op, F.col("nl"), F.col("nr")).alias("side"), T.passage_length(op).alias("length")))
+    t = pinned(topics, ["row_id"], ops=ops, nl=T.normalize("left_op"), nr=T.normalize("right_op"))
+    t = t.select("*", F.transform("ops", lambda op: T.head_of(op)).alias("_heads"), F.transform("ops", T.passage_length).alias("_lengths"))
+    t = t.withColumn("_sides", T.sides_of("_heads", "nl", "nr"))
+    info = F.zip_with("_sides", "_lengths", lambda side, length: F.struct(side.alias("side"), length.alias("length")))
+    return t.select("row_id", "ops", "nl", "nr", info.alias("_info"))
 
 
 def explode_passages(topics: DataFrame) -> DataFrame:
     """(row_id, pos, op, side, length): ``alt_op.split('\n')`` with 0-based
     positions (empty passages kept), side of each passage, ``len(re.split)``."""
-    p = _split(topics).select("row_id", F.posexplode(F.arrays_zip(F.col("ops").alias("op"), _info().alias("info"))).alias("pos", "p"))
+    p = _split(topics).select("row_id", F.posexplode(F.arrays_zip(F.col("ops").alias("op"), F.col("_info").alias("info"))).alias("pos", "p"))
     return p.select("row_id", "pos", F.col("p.op").alias("op"), F.col("p.info.side").alias("side"), F.col("p.info.length").alias("length"))
 
 
@@ -63,7 +64,7 @@ def topic_passages(topics: DataFrame, unique_mode: str = "as_coded") -> DataFram
     t = _split(topics)
     toks = F.transform("ops", lambda op: F.array_distinct(T.word_tokens(op)))
     lead = T.side_of(F.array_join("ops", "\n"), F.col("nl"), F.col("nr"))
-    t = pinned(t, ["row_id"], ops=F.col("ops"), _toks=toks, _info=_info(), lead_side=lead)
+    t = pinned(t, ["row_id"], ops=F.col("ops"), _toks=toks, _info=F.col("_info"), lead_side=lead)
     ign = C.ignore_as_coded(F.col("ops"), F.col("_toks")) if unique_mode == "as_coded" else C.ignore_shared(F.col("_toks"))
     return t.select("row_id", "_toks", "_info", "lead_side", ign.alias("_ign"))
 
