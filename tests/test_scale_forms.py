@@ -3,12 +3,14 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from viewpoint.functions import rouge as RG
 from viewpoint.functions import text as T
 from viewpoint.operators import bins as B
+from viewpoint.operators import external as E
 from viewpoint.operators import passages as P
 
 
@@ -81,3 +83,40 @@ def test_sketched_edges_are_within_the_rank_error(spark):
         for i, e in enumerate(edges["m"], 1):
             rank = sum(v <= e for v in ranks)
             assert abs(rank - i / 10 * len(ranks)) <= 0.03 * len(ranks)
+
+
+def _fragile():
+    def score(text, n):
+        if (text == "bad").any():
+            raise ValueError("no score for this")
+        return text.fillna("").str.len() + n
+
+    return score
+
+
+def test_a_failing_input_is_one_reject_and_equal_inputs_are_scored_once(spark):
+    rows = [(i, "bad" if i == 77 else None if i % 100 == 5 else f"t{i % 50}", float(i % 2)) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "id long, text string, n double").repartition(5)
+    out, rejects = E.score_distinct(df, _fragile, ["text", "n"], "score")
+    got = {r["id"]: r["score"] for r in out.collect()}
+    assert got == {i: None if t == "bad" else len(t or "") + n for i, t, n in rows}
+    assert [tuple(r) for r in rejects.collect()] == [("bad", 1.0, "ValueError: no score for this")]
+
+
+def _counting(path):
+    def factory():
+        def score(text):
+            with open(path, "a") as f:
+                f.write("x" * len(text))
+            return pd.Series([1.0] * len(text), index=text.index)
+
+        return score
+
+    return factory
+
+
+def test_equal_inputs_reach_the_scorer_once(spark, tmp_path):
+    df = spark.createDataFrame([(f"t{i % 7}",) for i in range(500)], "text string").repartition(4)
+    out, rejects = E.score_distinct(df, _counting(str(tmp_path / "calls")), ["text"], "score")
+    assert out.where("score = 1").count() == 500 and rejects.count() == 0
+    assert len((tmp_path / "calls").read_text()) == 7

@@ -13,11 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from viewpoint.functions import moments as M
 from viewpoint.functions import vectors as V
 from viewpoint.schemas import EXTERNAL_METRICS
+from viewpoint.session import materialize
 
 KEYS = ["model", "row_id", "exp"]
 #: Token vectors of a tile; texts of any length are compared tile by tile.
@@ -187,3 +188,37 @@ def apply_scorer(
             yield fn(*batch)
 
     return df.withColumn(name, _score(*[F.col(c) for c in cols]))
+
+
+def score_distinct(df: DataFrame, factory: Callable[[], Callable[..., pd.Series]], cols: list[str], name: str, return_type: str = "double") -> tuple[DataFrame, DataFrame]:
+    """As :func:`apply_scorer`, but equal inputs are scored once and a failing input does not end the job.
+
+    Returns (``df`` plus ``name``, rejects). Rows are brought together by a digest of their ``cols`` (NULLs included),
+    each distinct input goes to the scorer once, and the scores, written to the shared folder, are joined back. If the
+    scorer raises on a batch, the batch is scored row by row; inputs on which it still raises get NULL and a
+    row in ``rejects`` (cols..., error). A scorer must not depend on the other rows of its batch."""
+    schema = StructType([StructField("_digest", StringType()), *[df.schema[c] for c in cols]])
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])), 256)
+    inputs = df.select(digest.alias("_digest"), *cols).groupBy("_digest").agg(*[F.first(c).alias(c) for c in cols])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fn = factory()
+        for batch in batches:
+            error = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            try:
+                score = pd.Series(fn(*[batch[c] for c in cols]), index=batch.index)
+            except Exception:  # noqa: BLE001 - any failure of the user's scorer goes to the rejects
+                found = []
+                for i in batch.index:
+                    try:
+                        found.append(pd.Series(fn(*[batch.loc[[i], c] for c in cols])).iloc[0])
+                    except Exception as e:  # noqa: BLE001
+                        found.append(None)
+                        error[i] = f"{type(e).__name__}: {e}"
+                score = pd.Series(found, index=batch.index)
+            yield batch.assign(**{"_score": score, "_error": error})
+
+    out = StructType([*schema.fields]).add("_score", return_type).add("_error", "string")
+    scored = materialize(inputs.select(*schema.names).mapInPandas(run, out), "scores")
+    both = df.withColumn("_digest", digest).join(scored.select("_digest", F.col("_score").alias(name)), "_digest", "left").drop("_digest")
+    return both, scored.where("_error is not null").select(*cols, F.col("_error").alias("error"))
