@@ -27,8 +27,9 @@ from viewpoint.operators import prompts as PR
 from viewpoint.operators import reports as RP
 from viewpoint.schemas import PRED_COLS as EXPS
 from viewpoint.schemas import ROUGE_METRICS, SRC_COLS
-from viewpoint.session import materialize
+from viewpoint.session import materialize, shared_path
 from viewpoint.sources import fixtures as FX
+from viewpoint.sources import io, runs
 
 
 def r6(c) -> Column:
@@ -258,6 +259,34 @@ def score_checks(spark, sf_dir):
     return _out(E.score_checks(FX.external_scores(spark, sf_dir, long), long))
 
 
+# --- sources and sinks ---------------------------------------------------------------
+
+
+def topics_csv(spark, sf_dir):
+    """The topics written as CSV files, their texts with line breaks in quotes, and read back."""
+    path = shared_path(spark, "topics_csv")
+    io.write_csv(FX.topics(spark, sf_dir), path)
+    return _out(io.read_topics_csv(spark, path))
+
+
+def experiment_runs(spark, sf_dir):
+    """Predictions published in two runs, the second replacing one experiment, and read back."""
+    path, by = shared_path(spark, "experiment_runs"), ["model", "exp"]
+    long = long_predictions(spark, sf_dir).select("model", "row_id", "exp", "pred")
+    again = F.col("exp") == "mp_left_pred"
+    runs.write_run(long.withColumn("pred", F.when(again, F.lit("first try")).otherwise(F.col("pred"))), path, by)
+    runs.write_run(long.where(again), path, by)
+    return _out(runs.read_runs(spark, path, by))
+
+
+def summary_sinks(spark, sf_dir):
+    """Row metrics through their sink, and the summary of what was read through its own."""
+    path, metrics = shared_path(spark, "summary_sinks"), X.resolve_metrics(["rouge", "bleurt"])
+    io.write_row_metrics(_base_rows(spark, sf_dir), f"{path}/rows")
+    io.write_summary(RP.metric_summary(io.read_row_metrics(spark, f"{path}/rows"), metrics), f"{path}/summary")
+    return _out(io.read_summary(spark, f"{path}/summary", metrics))
+
+
 # --- model-output tables ---------------------------------------------------------
 
 
@@ -432,6 +461,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rouge_missing_text": rouge_missing_text,
     "base_summary": base_summary,
     "score_checks": score_checks,
+    "topics_csv": topics_csv,
+    "experiment_runs": experiment_runs,
+    "summary_sinks": summary_sinks,
     "stance_gap": stance_gap,
     "stance_summary": stance_summary,
     "keyphrase_target": keyphrase_target,

@@ -466,6 +466,15 @@ base AS (SELECT model, exp, {summary_aggs(metrics)} FROM withext GROUP BY model,
 """ + _summary_select("base", metrics)
 
 
+def sql_topics_csv() -> str:
+    columns = ", ".join(f"nullif({c}, '') AS {c}" for c in ("title", "alt_op", "left_op", "right_op", "left_sum", "right_sum"))
+    return with_(TOPICS) + f" SELECT row_id, {columns} FROM topics"
+
+
+def sql_experiment_runs() -> str:
+    return with_(TOPICS, PREDS, LONG) + " SELECT model, row_id, exp, pred FROM long"
+
+
 def sql_score_checks() -> str:
     return with_(TOPICS, PREDS, LONG, EXTERNAL) + """
 SELECT 'duplicates' AS "check", CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM ext GROUP BY model, row_id, exp, metric)
@@ -690,6 +699,9 @@ def oracle_sql() -> dict[str, str]:
         "experiment_scores": sql_experiment_scores(),
         "rouge_missing_text": sql_rouge_missing(),
         "base_summary": sql_base_summary(),
+        "topics_csv": sql_topics_csv(),
+        "experiment_runs": sql_experiment_runs(),
+        "summary_sinks": sql_base_summary(),
         "score_checks": sql_score_checks(),
         "stance_gap": sql_stance_gap(),
         "stance_summary": sql_stance_summary(),

@@ -55,13 +55,18 @@ def _tables_dir(spark: SparkSession) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet; :func:`drop_tables` deletes what lies there."""
+    return os.path.join(_tables_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet into the shared folder and
     reading it back (a lost executor then re-reads files instead of recomputing
     the plan, and the planner knows the table's bytes). The tables of an
     application lie in one folder, see :func:`drop_tables`."""
     spark = df.sparkSession
-    path = os.path.join(_tables_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
 

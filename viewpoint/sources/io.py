@@ -126,6 +126,13 @@ def _replace_partitions(df: DataFrame, path: str, by: list[str], fmt: str) -> No
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header as pandas writes them: quotes doubled, white space kept, a
+    field with a line break in quotes. The readers of this module give them back; '' comes back as NULL."""
+    same = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(header=True, **same).csv(path)
+
+
 def write_experiment(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """A6: checkpointed prediction sink. Rows are (model, row_id, exp, ...); a
     rerun of one experiment replaces only its own ``model=/exp=`` partition."""
