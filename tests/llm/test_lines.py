@@ -60,3 +60,13 @@ def test_rows_that_repeat_without_another_copy_lose_nothing(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_rows_of_one_id_with_other_texts_lose_only_their_own_repeats(spark):
+    data = [(0, "s1\ns2\ns3\ns4"), (1, "u1\nu2\nu3\nu4\nu5"), (1, "s1\ns2\ns3\ns4"), (1, "x\ns2\ns3\ns4\ny")]
+    df = spark.createDataFrame([(*d, 1, 2, 3) for d in data], "doc_id long, text string, _dup int, _lines int, _kept int")
+    got = lines.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "_dup", "_lines", "_kept", "n_lines", "n_removed"]
+    want = [(0, "s1\ns2\ns3\ns4", 4, 0), (1, "u1\nu2\nu3\nu4\nu5", 5, 0), (1, "", 4, 4), (1, "x\ny", 5, 3)]
+    assert sorted(map(tuple, got.drop("_dup", "_lines", "_kept").collect())) == sorted(want)
+    assert got.where("_dup = 1 and _lines = 2 and _kept = 3").count() == 4

@@ -11,27 +11,29 @@ WINDOW = 3
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos) of every window of three consecutive lines that also occurs
-    earlier: at a smaller doc_id, or higher up in the same document."""
+    """(doc_id, __text, pos) of every window of three consecutive lines that also occurs
+    earlier: at a smaller doc_id, or higher up in the same document. ``__text``, a hash of the
+    whole text, tells documents of one doc_id apart."""
     h = F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x))
-    w = docs.where(F.col("text").isNotNull()).select("doc_id", h.alias("h")).where(F.size("h") >= WINDOW)
-    # Two 64-bit hashes of the three line hashes make a 128-bit key.
+    w = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("__text"), h.alias("h")).where(F.size("h") >= WINDOW)
+    # Two 64-bit hashes of the three line hashes make the key.
     w = w.select(
         "doc_id",
+        "__text",
         F.explode(
             F.expr(
                 f"transform(sequence(0, size(h) - {WINDOW}), i -> named_struct('pos', i,"
                 " 'w1', xxhash64(h[i], h[i + 1], h[i + 2]), 'w2', xxhash64(h[i + 2], 1L, h[i], 2L, h[i + 1])))"
             )
         ).alias("x"),
-    ).select("doc_id", "x.pos", "x.w1", "x.w2")
+    ).select("doc_id", "__text", "x.pos", "x.w1", "x.w2")
     first = (
         w.groupBy("w1", "w2")
-        .agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("doc_id", "__text", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .drop("n")
     )
-    return split_join(w, first, "w1", "w2").where("struct(doc_id, pos) <> first").select("doc_id", "pos")
+    return split_join(w, first, "w1", "w2").where("struct(doc_id, __text, pos) <> first").select("doc_id", "__text", "pos")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -46,20 +48,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null texts stay null with 0 lines; an empty text is one empty line; a text
     whose lines all go becomes empty, and its row stays. Rows that repeat a
     doc_id with the same text count as one document, so neither loses lines to
-    the other. A null doc_id sorts before all others and loses no line itself.
+    the other; with different texts they are documents of their own, in the
+    order of a hash of the text. A null doc_id sorts before all others and loses no line itself.
     Extra columns pass through; input columns named n_lines or n_removed are
-    replaced.
+    replaced. Names that start with two underscores are reserved.
     """
-    covered = repeated_windows(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("_dup"))
+    covered = repeated_windows(docs).groupBy("doc_id", "__text").agg(F.collect_set("pos").alias("__dup"))
     lines = F.split("text", "\n", -1)
     kept = F.expr(
-        "transform(array_except(sequence(0, size(_lines) - 1), flatten(transform(_dup, p -> array(p, p + 1, p + 2)))), i -> _lines[i])"
+        "transform(array_except(sequence(0, size(__lines) - 1), flatten(transform(__dup, p -> array(p, p + 1, p + 2)))), i -> __lines[i])"
     )
-    out = docs.join(covered.hint("merge"), "doc_id", "left").withColumn("_lines", lines)
-    out = out.withColumn("_kept", F.when(F.col("_dup").isNull(), F.col("_lines")).otherwise(kept))
-    n, m = F.coalesce(F.size("_lines"), F.lit(0)), F.coalesce(F.size("_kept"), F.lit(0))
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    out = keyed.join(covered.hint("merge"), ["doc_id", "__text"], "left").withColumn("__lines", lines)
+    out = out.withColumn("__kept", F.when(F.col("__dup").isNull(), F.col("__lines")).otherwise(kept))
+    n, m = F.coalesce(F.size("__lines"), F.lit(0)), F.coalesce(F.size("__kept"), F.lit(0))
     n, m = F.greatest(n, F.lit(0)), F.greatest(m, F.lit(0))
-    text = F.when(F.col("_dup").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
+    text = F.when(F.col("__dup").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
     return out.select(
         *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
         n.cast("bigint").alias("n_lines"),
