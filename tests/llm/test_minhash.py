@@ -92,3 +92,13 @@ def test_components_of_a_long_chain_and_a_star(spark):
     star = [(100, i) for i in range(101, 160)]
     got = {r["node"]: r["component_id"] for r in spark_components(spark.createDataFrame(chain + star, "src bigint, dst bigint")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
+
+
+def test_long_words_of_one_polynomial_hash_are_told_apart(spark):
+    """abbabaab... and its complement agree in every polynomial modulo 2 ** 64."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

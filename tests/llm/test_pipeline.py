@@ -75,3 +75,15 @@ def test_the_mix_survives_a_reread_of_several_files(spark, sf_dir, tmp_path):
     corpus_pipeline.mix_sources(spark, docs, sf_dir).repartition(5, "n_chars").write.parquet(f"{tmp_path}/mixed")
     out = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mixed"), sf_dir)
     assert [tuple(r) for r in out.orderBy(*order).select(*order).collect()] == want and len(want) == len(made())
+
+
+def test_stages_keep_columns_that_bear_the_operators_names(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ("slot", "n_lines", "n_removed", "block", "release", "deadline", "slot_order", "kept", "component_id", "_dup")
+    docs = docs.withColumns({c: F.lit(90 + i) for i, c in enumerate(names)})
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(range(90, 100))], name
