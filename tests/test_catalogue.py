@@ -51,7 +51,7 @@ def test_every_query_registered_with_oracle():
     assert set(q) == set(o)
 
 
-ROW_LOCAL = ["first_sentence", "experiment_scores", "prompt_table", "response_parse", "output_cleanup", "pad_segments", "scorer_hook", "passage_explode", "passage_side"]
+ROW_LOCAL = ["first_sentence", "first_sentence_tables", "experiment_scores", "prompt_table", "response_parse", "output_cleanup", "pad_segments", "scorer_hook", "passage_explode", "passage_side"]
 
 
 def _exchanges(df):

@@ -71,3 +71,39 @@ def test_rouge_tokens_ascii_only(spark):
     df = spark.createDataFrame([("Héllo, WORLD 42!",), ("",)], "s string")
     got = [r[0] for r in df.select(T.rouge_tokens("s")).collect()]
     assert got == [pyref.rouge_tokens("Héllo, WORLD 42!"), []]
+
+
+SENTENCES = {
+    "Dr. Smith met U.S. officials. They left.": "Dr. Smith met U.S. officials.",
+    "He lives in the U.S. They do not.": "He lives in the U.S.",
+    "J. R. Jones spoke (e.g. on tax). Then he left.": "J. R. Jones spoke (e.g. on tax).",
+    "It began at 9 a.m. The end came.": "It began at 9 a.m.",
+    " No stop at\tall ": "No stop at\tall",
+    "Ask Mr.": "Ask Mr.",
+    "Really?! Dr. No said so.": "Really?!",
+    "Is it no. 5? Yes.": "Is it no. 5?",
+    "a  b\n c. D": "a  b\n c.",
+    "Wait... Mr. X": "Wait...",
+    "": "",
+    None: "",
+}
+
+
+def test_first_sentence_by_tables_and_its_oracle(spark):
+    import duckdb
+
+    from viewpoint.plans import sqltext
+
+    texts = list(SENTENCES) + EDGE
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(T.first_sentence_by_tables("t")).collect()]
+    assert got[: len(SENTENCES)] == list(SENTENCES.values())
+    rows = ", ".join(f"({i}, {'NULL' if t is None else sqltext.q(t)})" for i, t in enumerate(texts))
+    sql = f"SELECT {sqltext.first_sentence_by_tables('t')} FROM (VALUES {rows}) AS v(i, t) ORDER BY i"
+    assert got == [r[0] for r in duckdb.sql(sql).fetchall()]
+
+
+def test_without_tables_the_first_sentence_is_the_plain_rule(spark):
+    df = spark.createDataFrame([(t,) for t in [*SENTENCES, *EDGE]], "t string")
+    plain, by_tables = T.first_sentence("t"), T.first_sentence_by_tables("t", [], [], initials=False)
+    assert [r for r in df.select(plain, by_tables).collect() if r[0] != r[1]] == []

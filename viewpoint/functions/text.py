@@ -20,6 +20,15 @@ NON_WORD = "[^\\p{L}\\p{N}_" + WS_CLASS + "]"
 WS_RUN = "[" + WS_CLASS + "]+"
 # First sentence: shortest text up to a run of terminators followed by space or end.
 FIRST_SENTENCE = "(?s)^[" + WS_CLASS + "]*(.*?[.!?]+)(?:[" + WS_CLASS + "]|\\z)"
+# A word with one full stop at its end, from its first letter or digit; capitals with stops between them.
+STOPPED_WORD = "^[^\\p{L}\\p{N}]*(.*[^.!?])\\.\\z"
+INITIALS = "^(?:\\p{Lu}\\.)*\\p{Lu}\\z"
+# Default tables of sentence ends: words whose full stop is part of them, words that start a sentence after one.
+ABBREVIATIONS = (
+    "dr mr mrs ms prof rev hon gen col lt sgt capt sen rep gov pres st jr sr no vs etc e.g i.e a.m p.m inc corp co ltd dept est "
+    "jan feb mar apr jun jul aug sep sept oct nov dec"
+).split()
+STARTERS = "the he she it they we i this that these those but a an in however there if when what why how".split()
 EDGE_WS = "^[" + WS_CLASS + "]+|[" + WS_CLASS + "]+\\z"
 # ROUGE tokeniser: lower case, anything but [a-z0-9] separates tokens.
 ROUGE_NON_ALNUM = "[^a-z0-9]+"
@@ -92,6 +101,35 @@ def first_sentence(text) -> Column:
     return F.when(hit != F.lit(""), hit).otherwise(strip_ws(t))
 
 
+def first_sentence_by_tables(text, abbreviations: list[str] = ABBREVIATIONS, starters: list[str] = STARTERS, initials: bool = True) -> Column:
+    """First sentence by rule and tables: up to the first word that ends in a run
+    of . ! ? and is not held open. Held open is a word with one full stop at its
+    end that is an abbreviation (``abbreviations``, lower case, without that stop)
+    or, with ``initials``, capital letters with stops between them, unless the next
+    word is one that mostly starts a sentence (``starters``, lower case) or there
+    is none. Without such an end, the stripped whole text; '' for NULL.
+
+    With empty tables and no initials it is :func:`first_sentence`. A word is
+    looked at with its successor only, so the cost is linear in the text."""
+    t = strip_ws(F.coalesce(_c(text), F.lit("")))
+    pieces = F.regexp_extract_all(t, F.lit("[^" + WS_CLASS + "]+[" + WS_CLASS + "]*"), F.lit(0))
+    words = F.transform(pieces, lambda p: F.regexp_replace(p, EDGE_WS, ""))
+
+    def ends(pair: Column) -> Column:
+        word, after = pair["word"], F.coalesce(pair["after"], F.lit(""))
+        body = F.regexp_extract(word, STOPPED_WORD, 1)
+        held = F.lower(body).isin(abbreviations) if abbreviations else F.lit(False)
+        held = held | body.rlike(INITIALS) if initials else held
+        goes_on = after != F.lit("")
+        if starters:
+            goes_on = goes_on & ~F.lower(F.regexp_replace(after, "[^\\p{L}]", "")).isin(starters)
+        return word.rlike("[.!?]\\z") & ~(held & goes_on)
+
+    pairs = F.arrays_zip(words.alias("word"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("after"))
+    n = F.array_position(F.transform(pairs, ends), True).cast("int")
+    return F.when(n > 0, strip_ws(F.array_join(F.slice(pieces, 1, n), ""))).otherwise(t)
+
+
 def head_of(passage, prefix_chars: int = 30) -> Column:
     """The normalised head of the lower-cased passage."""
     return F.regexp_replace(F.substring(F.lower(_c(passage)), 1, prefix_chars), NON_WORD, "")

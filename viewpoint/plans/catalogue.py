@@ -106,6 +106,11 @@ def first_sentence(spark, sf_dir):
     )
 
 
+def first_sentence_tables(spark, sf_dir):
+    p = FX.predictions(spark, sf_dir)
+    return p.select("model", "row_id", *[T.first_sentence_by_tables(c).alias(c) for c in (*EXPS, "alt_op")])
+
+
 def passage_side(spark, sf_dir):
     t = P.topic_passages(FX.topics(spark, sf_dir))
     p = t.select("row_id", "lead_side", F.posexplode("_info").alias("pos", "p"))
@@ -438,6 +443,7 @@ def scorer_hook(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "passage_explode": passage_explode,
     "first_sentence": first_sentence,
+    "first_sentence_tables": first_sentence_tables,
     "passage_side": passage_side,
     "passage_coverage": passage_coverage,
     "coverage_unique_as_coded": coverage_unique_as_coded,

@@ -12,6 +12,7 @@ from viewpoint.plans.sqltext import (
     cov,
     except_,
     first_sentence,
+    first_sentence_by_tables,
     length,
     lex_tokens,
     mean,
@@ -330,6 +331,11 @@ def sql_passage_explode() -> str:
     return with_(TOPICS, PASSAGES) + "\nSELECT row_id, pos, length, CAST(length(op) AS BIGINT) AS n_chars FROM pas"
 
 
+def sql_first_sentence_tables() -> str:
+    cols = ", ".join(f"{first_sentence_by_tables(e)} AS {e}" for e in (*EXPS, "alt_op"))
+    return with_(TOPICS, PREDS) + f"\nSELECT model, row_id, {cols} FROM preds"
+
+
 def sql_first_sentence() -> str:
     cols = ", ".join(f"{first_sentence(e)} AS {e}" for e in EXPS)
     return with_(TOPICS, PREDS) + f"\nSELECT model, row_id, {cols}, {first_sentence('alt_op')} AS doc_first FROM preds"
@@ -677,6 +683,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "passage_explode": sql_passage_explode(),
         "first_sentence": sql_first_sentence(),
+        "first_sentence_tables": sql_first_sentence_tables(),
         "passage_side": sql_passage_side(),
         "passage_coverage": sql_facts_cols("as_coded", EXT[:4]),
         "coverage_unique_as_coded": sql_facts_cols("as_coded", EXT[4:]),

@@ -18,6 +18,11 @@ NON_WORD = q(rf"[^\p{{L}}\p{{N}}_{SPACES}]")
 WS_RUN = q(f"[{SPACES}]+")
 FIRST = q(rf"(?s)^[{SPACES}]*(.*?[.!?]+)(?:[{SPACES}]|\z)")
 EDGE = q(rf"^[{SPACES}]+|[{SPACES}]+\z")
+ABBREVIATIONS = (
+    "string_split('dr mr mrs ms prof rev hon gen col lt sgt capt sen rep gov pres st jr sr no vs etc e.g i.e a.m p.m inc corp co ltd dept est"
+    " jan feb mar apr jun jul aug sep sept oct nov dec', ' ')"
+)
+STARTERS = "string_split('the he she it they we i this that these those but a an in however there if when what why how', ' ')"
 CONTR = "'cannot', 'gimme', 'gonna', 'gotta', 'lemme', 'wanna'"
 NL = "chr(10)"
 
@@ -55,6 +60,18 @@ def first_sentence(x: str) -> str:
     return f"(CASE WHEN {hit} <> '' THEN {hit} ELSE regexp_replace({t}, {EDGE}, '', 'g') END)"
 
 
+def first_sentence_by_tables(x: str) -> str:
+    t = f"regexp_replace(coalesce({x}, ''), {EDGE}, '', 'g')"
+    pieces = f"regexp_extract_all({t}, {q(f'[^{SPACES}]+[{SPACES}]*')})"
+    words = f"list_transform({pieces}, lambda p: regexp_replace(p, {EDGE}, '', 'g'))"
+    body = rf"regexp_extract(z[1], '^[^\p{{L}}\p{{N}}]*(.*[^.!?])\.\z', 1)"
+    held = rf"(list_contains({ABBREVIATIONS}, lower({body})) OR regexp_matches({body}, '^(?:\p{{Lu}}\.)*\p{{Lu}}\z'))"
+    starts = rf"list_contains({STARTERS}, lower(regexp_replace(z[2], '[^\p{{L}}]', '', 'g')))"
+    ends = f"regexp_matches(z[1], '[.!?]\\z') AND NOT ({held} AND coalesce(z[2], '') <> '' AND NOT {starts})"
+    n = f"list_position(list_transform(list_zip({words}, ({words})[2:]), lambda z: {ends}), true)"
+    return f"(CASE WHEN {n} > 0 THEN regexp_replace(array_to_string(({pieces})[:{n}], ''), {EDGE}, '', 'g') ELSE {t} END)"
+
+
 def side(op: str, nl: str, nr: str) -> str:
     head = f"regexp_replace(substr(lower({op}), 1, 30), {NON_WORD}, '', 'g')"
     return f"(CASE WHEN contains({nl}, {head}) THEN 'left' WHEN contains({nr}, {head}) THEN 'right' ELSE 'neither' END)"
