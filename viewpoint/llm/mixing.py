@@ -24,15 +24,10 @@ def source_weights(docs: DataFrame, weights: Mapping[str, int] | None = None, pe
         a = F.coalesce(F.try_element_at(named, "src"), F.lit(1)) if weights else F.lit(1)
         return size.select("src", a.cast("bigint").alias("a"))
     root = size.select("src", F.floor(F.sqrt(F.col("b").cast("double"))).cast("bigint").alias("r"))
-    total = root.agg(F.array_agg(F.struct("src", "r")).alias("x"))
-    return total.select(
-        F.explode(
-            F.expr(
-                f"transform(x, s -> named_struct('src', s.src, 'a', greatest(1L,"
-                f" (s.r * {period}) div greatest(1L, aggregate(x, 0L, (acc, y) -> acc + y.r)))))"
-            )
-        ).alias("y")
-    ).select("y.src", "y.a")
+    # The sum comes from the aggregate, once for all sources.
+    every = root.agg(F.array_agg(F.struct("src", "r")).alias("x"), F.sum("r").alias("total")).select(F.explode("x").alias("y"), "total")
+    a = F.expr(f"greatest(1L, (y.r * {int(period)}) div greatest(1L, total))")
+    return every.select("y.src", a.alias("a"))
 
 
 def schedule(weights: DataFrame) -> DataFrame:
