@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from viewpoint.llm import quality
 
@@ -80,3 +82,51 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(*d, 1.0, "x", True) for d in docs], "doc_id bigint, text string, key double, log_weight string, kept boolean")
     out = quality.classify(df, spark.createDataFrame([(*x, "t") for x in labels], "doc_id bigint, quality int, toxic int, target string"))
     assert out.columns == ["doc_id", "log_weight", "key", "kept"] and out.count() == 60
+
+
+def by_hand(docs, labels):
+    """Log weights from dictionaries of n-grams, window by window."""
+    grams = {i: [(w, p) for w, p in zip(t.split(), [*zip(t.split(), t.split()[1:]), None], strict=True)] for i, t in docs}
+    flat = {i: [x for g in gs for x in g if x is not None] for i, gs in grams.items()}
+    target = {i for i, q, x in labels if q == 1 and x == 0}
+    raw, good = Counter(x for f in flat.values() for x in f), Counter(x for i in target for x in flat[i])
+    share = sum(good.values()) / sum(raw.values())
+    ratio = {x: math.log((good[x] + quality.PRIOR) / (n * share + quality.PRIOR)) for x, n in raw.items()}
+    ratio = {x: v if v < quality.NOISE else 0.0 for x, v in ratio.items()} | {None: 0.0}
+    out = {}
+    for i, gs in grams.items():
+        value = [ratio[w] + ratio[p] for w, p in gs]
+        if len(value) <= quality.WINDOW:
+            out[i] = quality.SCALE * sum(value) / max(len(flat[i]), quality.LEAST)
+        else:
+            worst = min(sum(value[a : a + quality.WINDOW]) for a in range(len(value) - quality.WINDOW + 1))
+            out[i] = quality.SCALE * worst / max(2 * quality.WINDOW, quality.LEAST)
+    return out
+
+
+def test_weights_equal_those_by_hand(spark):
+    # Few words, so that no two n-grams share a bucket.
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choice((GOOD if i % 3 else BAD)[:12]) for _ in range(rng.choice([1, 40, 200, 511, 512, 513, 900])))) for i in range(60)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(30)]
+    want = by_hand(docs, labels)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)
+    got = quality.classify(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert min(want.values()) < -5 and all(math.isclose(r["log_weight"], want[r["doc_id"]], rel_tol=1e-5, abs_tol=1e-6) for r in got)
+
+
+def test_the_length_of_a_text_hides_no_bad_passage(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice(GOOD if i % 3 else BAD) for _ in range(rng.randrange(30, 300)))) for i in range(1200)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(600)]
+    for k, n in enumerate((300, 3_000, 20_000)):
+        for j in range(15):
+            words = [rng.choice(GOOD) for _ in range(n)]
+            at = rng.randrange(n)
+            words[at:at] = [rng.choice(BAD) for _ in range(40)]
+            docs.append((10_000 + 100 * k + j, " ".join(words)))
+            docs += [(20_000 + 100 * k + 2 * j + x, " ".join(rng.choice(GOOD) for _ in range(n))) for x in (0, 1)]  # two thirds are clean, as among the labelled
+    kept = {r["doc_id"]: r["kept"] for r in run(spark, docs, labels)}
+    for k in range(3):
+        assert not any(kept[10_000 + 100 * k + j] for j in range(15))
+        assert sum(kept[20_000 + 100 * k + j] for j in range(30)) >= 28

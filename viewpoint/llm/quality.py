@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +14,9 @@ from viewpoint.llm.common import Powers, chunks, materialize, prefix_hash, split
 
 #: Hash buckets of the n-gram models (words and word pairs).
 BUCKETS = 1 << 20
-#: Buckets per row of the count tables that tasks exchange.
-SEGMENT = 1 << 12
+#: Buckets per row of the count tables that tasks exchange, and the parts in which a
+#: segment's rows are added up before they meet.
+SEGMENT, PARTS = 1 << 9, 64
 #: Labelled rows that the target model is fitted on, at most: those with the smallest MD5 of doc_id.
 MAX_LABELLED = 20_000
 #: Pseudo-count of the ratio target count / expected count.
@@ -24,18 +25,21 @@ PRIOR = 2.0
 NOISE = -1.0
 #: A document's log weight is that of so many n-grams; shorter ones than LEAST count as that long.
 SCALE, LEAST = 1000.0, 200
+#: Longer documents weigh what their worst passage of so many words weighs.
+WINDOW = 512
 #: Share of the labelled target rows that the sample size is set to keep.
 RECALL = 0.99
 _U = np.uint64
 
 
-def ngram_buckets(texts: list[bytes | None], table: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every lower-cased word and word pair, and the text each belongs to."""
+def ngram_buckets(texts: list[bytes | None], table: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, doc, two, first): the bucket of every lower-cased word and the text it belongs
+    to; the bucket of every word pair and the place of its first word among the words."""
     split = [(t or b"").lower().split() for t in texts]
     counts = np.fromiter((len(w) for w in split), dtype=np.int64, count=len(split))
     n = int(counts.sum())
     if not n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return (np.zeros(0, dtype=np.int64),) * 4
     flat = [w for ws in split for w in ws]
     lens = np.fromiter(map(len, flat), dtype=np.int64, count=n)
     ends = np.cumsum(lens)
@@ -43,10 +47,25 @@ def ngram_buckets(texts: list[bytes | None], table: Powers) -> tuple[np.ndarray,
     _, down = table.get(int(ends[-1]) + 1)
     word = splitmix((acc[ends] - acc[ends - lens]) * down[ends - lens] + lens.astype(_U))
     doc = np.repeat(np.arange(len(split)), counts)
-    pair = doc[1:] == doc[:-1]
-    two = splitmix(word[:-1][pair] * _U(3) + word[1:][pair])
+    first = np.flatnonzero(doc[1:] == doc[:-1])
+    two = splitmix(word[first] * _U(3) + word[first + 1])
     mask = _U(BUCKETS - 1)
-    return np.concatenate([word & mask, two & mask]).astype(np.int64), np.concatenate([doc, doc[1:][pair]])
+    return (word & mask).astype(np.int64), doc, (two & mask).astype(np.int64), first
+
+
+def text_weights(texts: list[bytes | None], w: np.ndarray, table: Powers) -> np.ndarray:
+    """SCALE times the mean of ``w`` over the n-grams of each text, or over those of its
+    worst window of WINDOW words. A text's weight depends on nothing beside it."""
+    word, doc, two, first = ngram_buckets(texts, table)
+    value = w[word].astype(np.float64)
+    value[first] += w[two]
+    words = np.bincount(doc, minlength=len(texts))
+    total, n = np.bincount(doc, value, len(texts)), 2 * words - 1
+    starts = np.cumsum(words) - words
+    for i in np.flatnonzero(words > WINDOW):
+        sums = np.concatenate([[0.0], np.cumsum(value[starts[i] : starts[i] + words[i]])])
+        total[i], n[i] = (sums[WINDOW:] - sums[:-WINDOW]).min(), 2 * WINDOW
+    return SCALE * total / np.maximum(n, LEAST)
 
 
 def labelled_rows(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
@@ -70,20 +89,34 @@ def fit(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
         for batch in batches:
             texts, flag = text_bytes(batch.column("text")), np.array([x is True for x in batch.column("is_target").to_pylist()], dtype=bool)
             for part in chunks([len(t or b"") for t in texts], 1 << 21):
-                buckets, doc = ngram_buckets(texts[part], table)
-                np.add.at(raw, buckets, 1)
-                np.add.at(good, buckets[flag[part][doc]], 1)
-        rows = [i for i in range(BUCKETS // SEGMENT) if raw[i * SEGMENT : (i + 1) * SEGMENT].any()]
-        for i in rows:
+                word, doc, two, first = ngram_buckets(texts[part], table)
+                of_target = flag[part][doc]
+                for buckets, ours in ((word, of_target), (two, of_target[first])):
+                    np.add.at(raw, buckets, 1)
+                    np.add.at(good, buckets[ours], 1)
+        yield from segments(raw, good)
+
+    def segments(raw: np.ndarray, good: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = (TaskContext.get().partitionId() if TaskContext.get() else 0) % PARTS
+        for i in np.flatnonzero(raw.reshape(-1, SEGMENT).any(axis=1)).tolist():
             at = slice(i * SEGMENT, (i + 1) * SEGMENT)
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int32()), "raw": pa.array([raw[at]], pa.list_(pa.int64())), "good": pa.array([good[at]], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict(
+                {"segment": pa.array([i], pa.int32()), "part": pa.array([part], pa.int32()), "raw": pa.array([raw[at]], pa.list_(pa.int64())), "good": pa.array([good[at]], pa.list_(pa.int64()))}
+            )
 
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"segment": [key[0]], "raw": [np.sum(pdf["raw"].to_list(), axis=0)], "good": [np.sum(pdf["good"].to_list(), axis=0)]})
-
-    schema = "segment int, raw array<bigint>, good array<bigint>"
-    # One row per segment comes back: BUCKETS numbers in all, whatever the corpus.
-    got = flagged.mapInArrow(count, schema).groupBy("segment").applyInPandas(add, schema).collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            at = np.array(batch.column("segment"))[:, None] * SEGMENT + np.arange(SEGMENT)
+            np.add.at(raw, at, batch.column("raw").flatten().to_numpy().reshape(-1, SEGMENT))
+            np.add.at(good, at, batch.column("good").flatten().to_numpy().reshape(-1, SEGMENT))
+        yield from segments(raw, good)
+
+    schema = "segment int, part int, raw array<bigint>, good array<bigint>"
+    # A task adds up what comes to it batch by batch: PARTS rows a segment are left whatever the
+    # number of tasks, then one. BUCKETS numbers in all come back, whatever the corpus.
+    parts = flagged.mapInArrow(count, schema).repartition("segment", "part").mapInArrow(add, schema)
+    got = parts.repartition("segment").mapInArrow(add, schema).collect()
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in got:
         at = slice(r["segment"] * SEGMENT, (r["segment"] + 1) * SEGMENT)
@@ -104,10 +137,7 @@ def score(docs: DataFrame, model: np.ndarray, seed: int = 0) -> DataFrame:
             texts = text_bytes(batch.column("text"))
             weight = np.zeros(len(texts))
             for part in chunks([len(t or b"") for t in texts], 1 << 21):
-                buckets, doc = ngram_buckets(texts[part], table)
-                k = part.stop - part.start
-                total, n = np.bincount(doc, w[buckets], k), np.bincount(doc, minlength=k)
-                weight[part] = SCALE * total / np.maximum(n, LEAST)
+                weight[part] = text_weights(texts[part], w, table)
             ids = batch.column("doc_id")
             x = splitmix(splitmix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) + _U(seed))
             u = ((x >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)
@@ -139,9 +169,13 @@ def classify(docs: DataFrame, labels: DataFrame, recall: float = RECALL, max_lab
     """One row per row of ``docs`` (doc_id, text): doc_id, log_weight, key and
     kept (boolean).
 
-    A document's log weight is the mean log ratio of its hashed words and word
-    pairs under the target and the raw model; with Gumbel noise added, the k
-    largest keys are a sample without replacement in proportion to the weights.
+    A document's log weight is SCALE times the mean log ratio of its hashed words
+    and word pairs under the target and the raw model, ratios above NOISE counted
+    as 0; of a document of more than WINDOW words it is that of its worst WINDOW
+    words in a row, so that no length hides a bad passage. With Gumbel noise added, the
+    k largest keys are a sample without replacement in proportion to the weights.
+    (The plain sum of all ratios, the usual importance weight, grows with the
+    length: it rejects long clean documents before short toxic ones.)
     k is the number of documents times the share of labelled rows whose key
     reaches the (1 - recall) quantile of the labelled target rows.
 
