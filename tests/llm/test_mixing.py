@@ -7,6 +7,7 @@ import pytest
 from tests.llm.helpers import rows
 from viewpoint.llm import mixing
 
+MANY = {f"s{i:03d}": 1 + (i * 37 % 11 if i % 5 == 0 else 0) for i in range(120)}
 OUT = ("doc_id", "source", "block", "slot", "release", "deadline")
 
 
@@ -59,7 +60,7 @@ def test_derived_weights_equal_brute_force(spark):
     assert run(spark, docs, period=64) == brute(docs, weights)
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 3}, {"a": 100, "b": 1, "c": 17, "d": 40}, {s: 1 for s in "abcdefgh"}, {"a": 33, "b": 66}])
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 5, "b": 3, "c": 3}, {"a": 100, "b": 1, "c": 17, "d": 40}, {s: 1 for s in "abcdefgh"}, {"a": 33, "b": 66}, {"m": 7, "z": 2, "c": 2} | {s: 1 for s in "abdexy"}, MANY])
 def test_every_prefix_is_within_one_block_of_its_share(spark, weights):
     df = spark.createDataFrame(list(weights.items()), "src string, a bigint")
     got = mixing.schedule(df).collect()
@@ -73,6 +74,15 @@ def test_every_prefix_is_within_one_block_of_its_share(spark, weights):
         assert r["j"] * p // r["a"] <= r["slot"] < -(-(r["j"] + 1) * p // r["a"])
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_schedules_of_random_weights_equal_the_simulation(spark, seed):
+    rng = random.Random(seed)
+    names = rng.sample([a + b for a in "abcdef" for b in "uvwxyz"], rng.randrange(1, 30))
+    weights = {s: rng.choice([1, 1, 1, 2, 3, rng.randrange(1, 40)]) for s in names}
+    got = mixing.schedule(spark.createDataFrame(list(weights.items()), "src string, a bigint")).collect()
+    assert [r["src"] for r in sorted(got, key=lambda r: r["slot"])] == edf(weights)
+
+
 def test_nulls_empty_long_texts_repeated_rows_and_clashing_columns(spark):
     data = [(1, "a", None, 0), (2, "a", "", 0), (3, None, "x" * 100_000, 0), (3, None, "x" * 100_000, 0), (None, "a", "y" * 150, 0), (4, "", "z", 0)]
     df = spark.createDataFrame(data, "doc_id bigint, source string, text string, slot int")

@@ -7,6 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from viewpoint.operators.passages import pinned
+from viewpoint.session import materialize
+
 BLOCK_BYTES = 16384
 PERIOD = 1024
 #: Leading hex digits of the shuffle hash that make a hash range: a source's
@@ -38,26 +41,57 @@ def schedule(weights: DataFrame) -> DataFrame:
     and due by ceil((j + 1) * P / a). Each slot goes to the released block with
     the earliest deadline, ties to the alphabetically first source. As the
     weights add up to P, every block meets its deadline, so that at any slot a
-    source is less than one block off its share. The state is one count a
-    source, folded over the slots of one period by a SQL aggregate; later
-    periods repeat the first. Sources of weight 1 are all released at 0 and due
-    at P, so they share one count: the next one by name stands for them."""
+    source is less than one block off its share; later periods repeat the first.
+
+    Blocks due before P come first whatever the others do, so they are folded
+    alone: a step is a block, of which sources of weight over 1 have sum(a - 1),
+    no more than P. What is due at P (the last block of those sources, and the
+    one of each source of weight 1) shares the slots left by name: a second fold
+    steps over the releases and places of the last blocks only, and the sources
+    of weight 1 fill the rest in order. So the folds don't grow with the number
+    of sources of weight 1, and the rest is linear in it."""
     row = weights.agg(F.array_sort(F.array_agg(F.struct("src", "a"))).alias("s")).where("size(s) > 0")
-    row = row.select(
-        F.expr("filter(s, y -> y.a > 1)").alias("m"), F.expr("filter(s, y -> y.a <= 1)").alias("u"), F.expr("aggregate(s, 0L, (acc, y) -> acc + y.a)").alias("p")
+    row = row.select("s", F.expr("aggregate(s, 0L, (acc, y) -> acc + y.a)").alias("p"))
+    # Sources of weight over 1, in the order of names; below: the sources of weight 1 that come before.
+    row = pinned(
+        row,
+        ["p"],
+        m=F.expr("transform(filter(transform(s, (y, x) -> named_struct('src', y.src, 'a', y.a, 'x', x)), y -> y.a > 1), (y, i) -> named_struct('src', y.src, 'a', y.a, 'below', y.x - i))"),
+        u=F.expr("filter(s, y -> y.a <= 1)"),
+    )
+    # Blocks due before P: the state is a count a source, the next slot and the places so far.
+    waiting = (
+        "filter(transform(m, (y, i) -> if(acc.c[i] < y.a - 1, named_struct('d', ((acc.c[i] + 1) * p + y.a - 1) div y.a, 'i', i, 'r', (acc.c[i] * p) div y.a), null)), z -> z is not null)"
+    )
+    at = "greatest(acc.t, array_min(transform(w, z -> z.r)))"
+    pick = f"transform(array({waiting}), w -> transform(array({at}), t -> named_struct('i', array_min(filter(w, z -> z.r <= t)).i, 't', t))[0])"
+    early = (
+        "aggregate(if(n > 0, sequence(1L, n), cast(array() as array<bigint>)),"
+        " named_struct('c', transform(m, y -> 0L), 't', 0L, 'o', cast(array() as array<struct<i: int, t: bigint>>)),"
+        f" (acc, k) -> transform({pick}, b -> named_struct('c', transform(acc.c, (x, i) -> if(i = b.i, x + 1, x)), 't', b.t + 1, 'o', concat(acc.o, array(b))))[0], acc -> acc.o)"
     )
-    best = (
-        "array_min(filter(concat(transform(m, (y, i) -> if(acc.c[i] < y.a and (acc.c[i] * p) div y.a <= t,"
-        " named_struct('d', ((acc.c[i] + 1) * p + y.a - 1) div y.a, 'n', y.src, 'i', i), null)),"
-        " array(if(acc.g < size(u), named_struct('d', p, 'n', get(u, acc.g).src, 'i', size(m) + acc.g), null))), z -> z is not null)).i"
+    row = row.withColumn("n", F.expr("aggregate(m, 0L, (acc, y) -> acc + y.a - 1)"))
+    row = pinned(row, ["p", "m", "u"], o=F.expr(early))
+    # Last blocks: r is the number of free slots before the release.
+    last = "transform(m, y -> named_struct('below', y.below, 'r', cast(((y.a - 1) * p) div y.a - size(filter(o, z -> z.t < ((y.a - 1) * p) div y.a)) as int)))"
+    row = pinned(row, ["p", "m", "u", "o"], free=F.expr("array_except(sequence(0L, p - 1), transform(o, z -> z.t))"), last=F.expr(last))
+    due = "array_min(filter(transform(acc.at, (q, i) -> if(q < 0 and last[i].r <= acc.f, i, null)), i -> i is not null))"
+    released = "coalesce(array_min(filter(transform(acc.at, (q, i) -> if(q < 0 and last[i].r > acc.f, last[i].r, null)), r -> r is not null)), size(free))"
+    place = "named_struct('f', acc.f + 1, 'g', acc.g, 'at', transform(acc.at, (q, i) -> if(i = h, acc.f, q)))"
+    # Sources of weight 1 run on until a block is released, or until the name of the waiting one.
+    ahead = f"if(acc.g < size(u), least({released} - acc.f, coalesce(last[h].below, size(u)) - acc.g, size(u) - acc.g), 0)"
+    skip = f"transform(array({ahead}), x -> named_struct('f', if(x > 0, acc.f + x, {released}), 'g', acc.g + x, 'at', acc.at))[0]"
+    places = (
+        "aggregate(if(size(m) > 0, sequence(0, 3 * size(m)), cast(array() as array<int>)), named_struct('f', 0, 'g', 0, 'at', transform(m, y -> -1)),"
+        f" (acc, k) -> transform(array({due}), h -> if(last[h].below <= acc.g, {place}, {skip}))[0], acc -> acc.at)"
     )
-    picks = (
-        "aggregate(sequence(0L, p - 1), named_struct('c', transform(m, y -> 0L), 'g', 0, 'o', cast(array() as array<int>)),"
-        f" (acc, t) -> transform(array({best}), b -> named_struct('c', transform(acc.c, (n, i) -> if(i = b, n + 1, n)),"
-        " 'g', if(b >= size(m), acc.g + 1, acc.g), 'o', concat(acc.o, array(b))))[0], acc -> acc.o)"
+    row = pinned(row, ["m", "u", "o", "p", "free"], at=F.expr(f"transform({places}, q -> free[q])"))
+    row = pinned(row, ["m", "u", "o", "p", "at"], rest=F.expr("array_except(free, at)"))
+    jobs = (
+        "concat(transform(o, z -> named_struct('src', m[z.i].src, 'a', m[z.i].a, 'slot', z.t)),"
+        " transform(m, (y, i) -> named_struct('src', y.src, 'a', y.a, 'slot', at[i])), transform(u, (y, i) -> named_struct('src', y.src, 'a', y.a, 'slot', rest[i])))"
     )
-    slots = row.select(F.concat("m", "u").alias("s"), "p", F.expr(picks).alias("o")).select("s", "p", F.posexplode("o").alias("slot", "i"))
-    slots = slots.select(F.col("p").alias("period"), F.col("slot").cast("bigint").alias("slot"), F.expr("s[i].src").alias("src"), F.expr("s[i].a").alias("a"))
+    slots = row.select(F.col("p").alias("period"), F.explode(F.expr(jobs)).alias("x")).select("period", "x.slot", "x.src", "x.a")
     j = F.row_number().over(Window.partitionBy("src").orderBy("slot")).cast("bigint") - 1
     return slots.withColumn("j", j)
 
@@ -81,10 +115,12 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block_bytes:
     result. Input columns with the names of the added ones are replaced.
 
     A source of any size is handled in hash ranges: sums per (source, range),
-    running totals of those, and a window inside each range. The schedule has
-    one row a slot and is broadcast: PERIOD rows and one a source at most when
-    weights are derived, so the period grows with the sources. With a ``period``
-    given, a schedule of more than twice as many slots raises an error.
+    running totals of those, and a window inside each range. The sums and the
+    schedule are written once. The schedule has one row a slot: PERIOD rows and
+    one a source at most when weights are derived, so the period grows with the
+    sources. The planner broadcasts it if its bytes are few; else it is joined
+    by (source, place), and adaptive execution splits the hot ones. With a
+    ``period`` given, a schedule of more than twice as many slots raises an error.
     """
     added = ["block", "slot", "release", "deadline", "slot_order"]
     d = docs.drop(*[c for c in docs.columns if c in added])
@@ -96,7 +132,7 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block_bytes:
         h.alias("h"),
     )
     d = d.withColumn("range", F.substring("h", 1, RANGE_DIGITS))
-    sums = d.groupBy("src", "range").agg(F.sum("n_bytes").alias("n_bytes"))
+    sums = materialize(d.groupBy("src", "range").agg(F.sum("n_bytes").alias("n_bytes")), "sums")
     before = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("src", "range", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("src", "range").orderBy("h", "row.doc_id", F.col("n_bytes"), F.md5("row.text")).rowsBetween(Window.unboundedPreceding, -1)
@@ -107,10 +143,10 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block_bytes:
     if period is not None:
         most = max(2 * period, sum(weights.values()) if weights else 0)
         plan = plan.withColumn("period", F.when(F.col("period") <= most, F.col("period")).otherwise(F.raise_error(F.lit("more sources than the period has slots"))))
-    size = plan.select("src", F.col("a").alias("a"), F.col("period").alias("p")).distinct()
-    d = d.join(F.broadcast(size), "src")
+    plan = materialize(plan, "schedule")
+    d = d.join(plan.where("j = 0").select("src", "a", F.col("period").alias("p")), "src")
     d = d.withColumn("j", F.expr("block % a"))
-    d = d.join(F.broadcast(plan.select("src", "j", F.col("slot").alias("at"))), ["src", "j"])
+    d = d.join(plan.select("src", "j", F.col("slot").alias("at")), ["src", "j"])
     return d.select(
         *[F.col(f"row.{c}").alias(c) for c in docs.columns if c not in added],
         F.col("block").cast("bigint").alias("block"),
