@@ -76,5 +76,27 @@ def test_coverage_shuffles_each_side_of_its_join_once(spark, small_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_token_sums_of_passages_and_topics_share_one_exchange(spark, small_dir):
+    from viewpoint.operators import passages as P
+    from viewpoint.sources import fixtures as FX
+
+    a = P.topic_arousal(FX.topics(spark, small_dir), catalogue.lookup(spark, small_dir))
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and plan.count("Exchange hashpartitioning(") == 1
+    f = P.extraction_facts(FX.topics(spark, small_dir), P.summary_sets(FX.predictions(spark, small_dir)), catalogue.lookup(spark, small_dir))
+    assert f._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") <= 3
+
+
+def test_arousal_of_the_facts_equals_that_by_passage(spark, small_dir):
+    from viewpoint.operators import passages as P
+    from viewpoint.sources import fixtures as FX
+
+    topics, lookup = FX.topics(spark, small_dir), catalogue.lookup(spark, small_dir)
+    cols = ["row_id", "pos", "num_arous", "perc_arous", "arous_score"]
+    f = P.extraction_facts(topics, P.summary_sets(FX.predictions(spark, small_dir)), lookup).select(*cols).distinct()
+    want = P.arousal_by_passage(P.explode_passages(topics), lookup).select(*cols)
+    assert sorted(map(tuple, f.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_the_score_fixture_has_every_fault(spark, small_dir):
     assert all(r["n"] > 0 for r in catalogue.score_checks(spark, small_dir).collect())

@@ -38,3 +38,16 @@ def test_written_tables_are_read_back_and_can_be_dropped(spark):
     folder = os.path.join(session.ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
     assert df.count() == 5 and any(x.startswith("numbers-") for x in os.listdir(folder))
     assert session.drop_tables(spark) and not os.path.exists(folder)
+
+
+def test_a_table_kept_for_the_session_is_built_once(spark):
+    built = []
+
+    def build(n):
+        built.append(n)
+        return spark.range(n)
+
+    kept = [session.materialize_once(spark, "kept", s, lambda n=n: build(n)).count() for s, n in (("a", 3), ("a", 4), ("b", 5))]
+    assert kept == [3, 3, 5] and built == [3, 5]
+    session.drop_tables(spark)
+    assert session.materialize_once(spark, "kept", "a", lambda: build(6)).count() == 6

@@ -98,6 +98,19 @@ def arousal_by_passage(passages: DataFrame, lookup: DataFrame, extra: tuple[str,
     )
 
 
+def topic_arousal(topics: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(row_id, _arous): what :func:`arousal_by_passage` counts, as one array per topic
+    in the order of the passages. ``row_id`` is the topics' key.
+
+    The texts are dealt by ``row_id`` before they are split into tokens: with a lookup that
+    is broadcast, the sums per passage, those per topic and the join on ``row_id`` that
+    follows all use this one exchange, and no token or partial sum moves."""
+    dealt = topics.select("row_id", F.coalesce("alt_op", F.lit("")).alias("_text")).repartition("row_id")
+    passages = dealt.select("row_id", F.posexplode(F.split("_text", "\n")).alias("pos", "op"))
+    s = LX.token_stats(passages, ["row_id", "pos"], "op", lookup, strict=False)
+    return s.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "num_arous", "num_pol", "sum_a"))).alias("_arous"))
+
+
 def extraction_facts(
     topics: DataFrame,
     summaries: DataFrame,
@@ -114,11 +127,12 @@ def extraction_facts(
     each exploded row carrying only its own passage.
     """
     tp = topic_passages(topics, unique_mode)
-    arousal = ["num_arous", "perc_arous", "arous_score"] if lookup is not None else []
-    if arousal:
-        a = arousal_by_passage(explode_passages(topics), lookup)
-        a = a.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("pos", *arousal))).alias("_arous"))
-        tp = tp.join(a, "row_id")
+    arousal = []
+    if lookup is not None:
+        tp = tp.join(topic_arousal(topics, lookup), "row_id")
+        n = F.col("p.arous.num_arous")
+        score = LX.mean_arousal(F.col("p.arous.num_pol"), F.col("p.arous.sum_a"))
+        arousal = [n.alias("num_arous"), (n / F.col("p.info.length")).alias("perc_arous"), score.alias("arous_score")]
     j = summaries.join(tp, "row_id")
     # Summary token sets minus the topic's ignore set, once per (model, topic).
     sets = {k: F.col(k) for k in SUMMARY_KEYS} | {k + "_u": F.array_except(F.col(k), F.col("_ign")) for k in SUMMARY_KEYS}
@@ -136,5 +150,5 @@ def extraction_facts(
         # The summary set already excludes the ignore set, so intersecting with
         # the whole passage set equals intersecting with (passage - ignore).
         *[C.coverage(F.col(k + "_u"), F.col("p.toks")).alias(f"{k}_ext_unq") for k in SUMMARY_KEYS],
-        *[F.col(f"p.arous.{c}").alias(c) for c in arousal],
+        *arousal,
     )

@@ -27,7 +27,7 @@ from viewpoint.operators import prompts as PR
 from viewpoint.operators import reports as RP
 from viewpoint.schemas import PRED_COLS as EXPS
 from viewpoint.schemas import ROUGE_METRICS, SRC_COLS
-from viewpoint.session import materialize, shared_path
+from viewpoint.session import materialize, materialize_once, shared_path
 from viewpoint.sources import fixtures as FX
 from viewpoint.sources import io, runs
 
@@ -73,10 +73,14 @@ def all_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surface-token lookup of the fixture lexicon and lemmas, written once. The
+    """Surface-token lookup of the fixture lexicon and lemmas, written once a session. The
     vocabulary feeds both and the lemma self-join, so it is written, too."""
-    vocab = materialize(FX.vocabulary(spark, sf_dir), "vocab")
-    return materialize(LX.surface_lookup(FX.lexicon(vocab), FX.lemmas(vocab)), "lookup")
+
+    def build() -> DataFrame:
+        vocab = materialize(FX.vocabulary(spark, sf_dir), "vocab")
+        return LX.surface_lookup(FX.lexicon(vocab), FX.lemmas(vocab))
+
+    return materialize_once(spark, "lookup", sf_dir, build)
 
 
 def facts(spark: SparkSession, sf_dir: str, unique_mode: str = "as_coded", with_lexicon: bool = False) -> DataFrame:

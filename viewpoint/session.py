@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,8 +72,25 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+_KEPT: dict[tuple[str, ...], str] = {}
+
+
+def materialize_once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()``, written once per application for each ``name`` and ``source`` and read
+    again on later calls, until :func:`drop_tables`. For small tables that a deployment loads
+    once, such as a lexicon; what lies at ``source`` must not change meanwhile."""
+    key = (_tables_dir(spark), name, source)
+    if key not in _KEPT:
+        path = shared_path(spark, name)
+        build().write.parquet(path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])
+
+
 def drop_tables(spark: SparkSession) -> bool:
     """Delete the tables that this application has materialized so far. Results
     that still read them cannot be computed afterwards."""
+    for key in [k for k in _KEPT if k[0] == _tables_dir(spark)]:
+        del _KEPT[key]
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
