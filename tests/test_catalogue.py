@@ -100,3 +100,24 @@ def test_arousal_of_the_facts_equals_that_by_passage(spark, small_dir):
 
 def test_the_score_fixture_has_every_fault(spark, small_dir):
     assert all(r["n"] > 0 for r in catalogue.score_checks(spark, small_dir).collect())
+
+
+def _own_documents(spark, tmp_path):
+    rows = [(1, "One two three. Four\nfive six!\n\nseven"), (1, "Again the same id."), (2, None), (3, ""), (None, "No id\nhere at all")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_the_reference_is_read_with_the_predictions(spark, tmp_path, small_dir):
+    from viewpoint.sources import fixtures as FX
+
+    d = _own_documents(spark, tmp_path)
+    got = FX.predictions_and_reference(spark, d)
+    ref = FX.topics(spark, d).selectExpr(
+        "'ref' as model", "*", "left_sum as sp_left_pred", "right_sum as sp_right_pred", "left_sum as mp_left_pred", "right_sum as mp_right_pred"
+    )
+    want = FX.predictions(spark, d).unionByName(ref)
+    assert got.columns == want.columns and got.count() == 20
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    plan = catalogue.facts(spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2  # topics once, summaries of all models once

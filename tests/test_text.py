@@ -107,3 +107,12 @@ def test_without_tables_the_first_sentence_is_the_plain_rule(spark):
     df = spark.createDataFrame([(t,) for t in [*SENTENCES, *EDGE]], "t string")
     plain, by_tables = T.first_sentence("t"), T.first_sentence_by_tables("t", [], [], initials=False)
     assert [r for r in df.select(plain, by_tables).collect() if r[0] != r[1]] == []
+
+
+def test_heads_are_found_one_by_one_as_by_windows(monkeypatch):
+    heads = ["", "ab", "b c", "xyz", "\u00e9a", "ab", "c" * 30]
+    for text in ("ab c\u00e9a", "", None, "c" * 31, "xy zab"):
+        few = T.contained(heads, text).tolist()
+        monkeypatch.setattr(T, "SEARCHED", -1)
+        assert few == T.contained(heads, text).tolist() == [text is not None and h in text for h in heads]
+        monkeypatch.undo()
