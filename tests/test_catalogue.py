@@ -121,3 +121,12 @@ def test_the_reference_is_read_with_the_predictions(spark, tmp_path, small_dir):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
     plan = catalogue.facts(spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2  # topics once, summaries of all models once
+
+
+def test_scores_take_the_keys_of_predictions_without_their_texts(spark, tmp_path):
+    from viewpoint.sources import fixtures as FX
+
+    d = _own_documents(spark, tmp_path)
+    got, want = FX.prediction_keys(spark, d), catalogue.long_predictions(spark, d).select("model", "row_id", "exp")
+    assert got.count() == 60 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert "text" not in got._jdf.queryExecution().executedPlan().toString()
