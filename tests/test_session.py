@@ -51,3 +51,15 @@ def test_a_table_kept_for_the_session_is_built_once(spark):
     assert kept == [3, 3, 5] and built == [3, 5]
     session.drop_tables(spark)
     assert session.materialize_once(spark, "kept", "a", lambda: build(6)).count() == 6
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in every.split("\n") if "shuffle_" in f}
+
+    old = spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    before = files()
+    df = session.materialize(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "counts")
+    assert sorted(r[0] for r in df.collect()) == list(range(7))
+    assert files() <= before and spark.conf.get(session.SHUFFLE_CLEANUP, None) == old
