@@ -87,3 +87,30 @@ def test_stages_keep_columns_that_bear_the_operators_names(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns, name
         assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(range(90, 100))], name
+
+
+PLACE = ("block", "slot", "release", "deadline", "slot_order")
+
+
+def through(spark, sf_dir, out, replaced=None):
+    """The stages, each written to ``out`` in several files and read again, and what came in at the last two."""
+    docs, seen = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        seen[name] = docs
+        done = (replaced or {}).get(name, stage)(spark, docs, sf_dir)
+        done.repartition(3).write.parquet(f"{out}/{name}")
+        docs = spark.read.parquet(f"{out}/{name}")
+    return docs, seen
+
+
+def test_the_whole_mix_of_its_stage_reaches_the_result(spark, sf_dir, tmp_path):
+    got, seen = through(spark, sf_dir, tmp_path)
+    want = mixing.mix(seen["mix_sources"]).select("doc_id", *PLACE)
+    assert rows(got, "doc_id", *PLACE) == rows(want, "doc_id", *PLACE) and got.count() > 20
+    assert rows(seen["bpe"], "doc_id", "text") == rows(seen["mix_sources"], "doc_id", "text")
+    assert rows(corpus_pipeline.run(spark, sf_dir), "doc_id", *PLACE) == rows(want, "doc_id", *PLACE)
+
+
+def test_the_result_has_the_mix_of_its_stage_and_no_other(spark, sf_dir, tmp_path):
+    got, _ = through(spark, sf_dir, tmp_path, {"mix_sources": lambda spark, docs, sf_dir: docs})
+    assert got.count() > 20 and {tuple(r) for r in got.select(*PLACE).distinct().collect()} == {(None,) * 5}
