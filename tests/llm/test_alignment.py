@@ -95,3 +95,14 @@ def test_refuses_other_kinds():
         alignment.Aligner(B, A)
     with pytest.raises(ValueError):
         alignment.Aligner(public_tokenizers.path("word_bpe_49k.json"), B)
+
+
+def test_no_row_on_the_way_holds_more_than_a_document(spark):
+    """Spark's readers, writers and batches count rows, so rows that grow with a block take an executor's memory."""
+    data = [(i, f"a b c d{i % 50} e f{i % 7}") for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1)
+    for name, kind in (blocks := alignment.aligned_blocks(df, A, B)).dtypes:
+        if kind.startswith("array"):
+            assert max(len(r[0] or ()) for r in blocks.select(name).collect()) <= 40, name
+    assert blocks.select("block").distinct().count() == 1
+    assert sorted(map(tuple, alignment.align_tokenizers(df, A, B).collect()), key=repr) == brute(data)

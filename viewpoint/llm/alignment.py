@@ -22,8 +22,8 @@ BLOCK, BLOCK_DOCS, STEP = 1 << 20, 1 << 16, 1 << 17
 SHIFT = 24
 
 BLOCKS = (
-    "block bigint, pairs array<bigint>, times array<bigint>, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>,"
-    " n_links array<bigint>, groups_sha256 array<string>, ends array<bigint>, pair array<int>, uses array<int>"
+    "block bigint, i int, pair bigint, times bigint,"
+    " doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, places array<int>, uses array<int>"
 )
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 #: A space after another character: neither tokenizer has a token across it, and B's own leading space can stand for it.
@@ -147,23 +147,25 @@ class Document:
         return self.doc_id, self.n_a, self.n_b, self.n_groups, self.sha.hexdigest(), np.concatenate(self.pairs)
 
 
-def block_row(block: int, docs: list[tuple]) -> pa.RecordBatch:
-    """A block as one row: its distinct pairs with their links, and each document's
-    pairs as places among them."""
+def block_rows(block: int, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """A block as rows: one for each of its distinct pairs (i, pair, and the number of its links),
+    and one for each document, with its distinct pairs as places among these. Readers and writers
+    hold some thousands of rows at a time, so a row has no more than a document."""
     n_links = np.array([len(d[5]) for d in docs], dtype=np.int64)
     pairs, place, times = np.unique(np.concatenate([d[5] for d in docs]), return_inverse=True, return_counts=True)
     width = max(len(pairs), 1)
     of_doc, uses = np.unique(np.repeat(np.arange(len(docs)), n_links) * width + place, return_counts=True)
-    ends = np.searchsorted(of_doc, np.arange(1, len(docs) + 1) * width)
-    columns = [pairs, times, *[pa.array([d[i] for d in docs], pa.int64()) for i in range(4)], n_links, pa.array([d[4] for d in docs], pa.string()), ends]
-    columns = [pa.array([block], pa.int64())] + [pa.array([pa.array(c)], pa.list_(pa.array(c).type)) for c in columns]
-    columns += [pa.array([pa.array(c.astype(np.int32))], pa.list_(pa.int32())) for c in (of_doc % width, uses)]
+    ends = np.concatenate([[0], np.searchsorted(of_doc, np.arange(1, len(docs) + 1) * width)]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (of_doc % width, uses)]
+    of_docs = [*[pa.array([d[i] for d in docs], pa.int64()) for i in range(4)], pa.array(n_links), pa.array([d[4] for d in docs], pa.string()), *lists]
+    of_pairs = [pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(pairs), pa.array(times.astype(np.int64))]
     names = [c.split()[0] for c in BLOCKS.split(", ")]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+    for n, left, right in ((len(pairs), of_pairs, [pa.nulls(len(pairs), x.type) for x in of_docs]), (len(docs), [pa.nulls(len(docs), x.type) for x in of_pairs], of_docs)):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *left, *right], names=names)
 
 
 def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, step: int = STEP, block: int = BLOCK) -> DataFrame:
-    """A row per block of documents, see :func:`block_row`. Texts are taken about ``step``
+    """The rows of blocks of documents, see :func:`block_rows`. Texts are taken about ``step``
     characters at a time, and a block ends after the document that brings its links to ``block``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +201,13 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, step: int = STEP,
                         links += len(rows[-1][5])
                     waiting = []
                     if links >= block or len(rows) >= BLOCK_DOCS:
-                        yield block_row(number, rows)
+                        yield from block_rows(number, rows)
                         number, rows, links = number + 1, [], 0
         if parts:
             work()
         rows += [d.row() for d in waiting]
         if rows:
-            yield block_row(number, rows)
+            yield from block_rows(number, rows)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, BLOCKS)
 
@@ -227,33 +229,48 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, step: int = STEP
 
     The corpus is encoded once. Tasks write blocks of documents with the block's distinct pairs; counts are summed
     over blocks, and each block asks once per distinct pair, so what is shuffled grows with blocks times distinct pairs and not with the links.
+    Answers and documents are sorted by block and read as a stream: a task holds the counts of one block's pairs.
     """
     blocks = materialize(aligned_blocks(docs, path_a, path_b, step, block), "aligned_blocks")
-    counts = blocks.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.times").alias("n"))
+    pairs = blocks.where("pair is not null").select("block", "i", "pair", "times")
+    counts = pairs.groupBy("pair").agg(F.sum("times").alias("n"))
     counts = counts.withColumn("b", F.expr(f"pair & {(1 << SHIFT) - 1}L"))
     best = counts.groupBy("b").agg(F.max("n").alias("most"))
     known = counts.join(best, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-    asked = blocks.select("block", F.posexplode("pairs").alias("i", "pair"))
-    answers = split_join(asked, known, "pair").groupBy("block").agg(F.collect_list(F.struct("i", "n", "best")).alias("answers"))
-    both = blocks.drop("pairs", "times").join(answers.hint("merge"), "block", "left")
+    answers = split_join(pairs.drop("times"), known, "pair").select("block", F.lit(0).alias("role"), "i", "n", "best")
+    texts = blocks.where("places is not null").drop("i", "pair", "times").withColumn("role", F.lit(1))
+    both = answers.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "role")
+
+    def gathered(answers: list[pa.RecordBatch]) -> np.ndarray:
+        """Counts of a block's pairs, and whether each is its B id's highest."""
+        out = np.zeros((2, sum(a.num_rows for a in answers)), dtype=np.int64)
+        for a in answers:
+            i = a.column("i").to_numpy()
+            out[0, i] = a.column("n").to_numpy()
+            out[1, i] = a.column("best").to_numpy(zero_copy_only=False)
+        return out
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, known = None, [], None
         for batch in batches:
-            for r in range(batch.num_rows):
-                col = {c: batch.column(c)[r].values for c in batch.schema.names if c != "block"}
-                ends = col["ends"].to_numpy()
-                sums = np.zeros((2, len(col["pair"]) + 1), dtype=np.int64)
-                if col["answers"] is not None and len(col["answers"]):
-                    i = col["answers"].field("i").to_numpy()
-                    n, is_best = np.zeros((2, len(i)), dtype=np.int64)
-                    n[i] = col["answers"].field("n").to_numpy()
-                    is_best[i] = col["answers"].field("best").to_numpy(zero_copy_only=False)
-                    pair, uses = col["pair"].to_numpy(), col["uses"].to_numpy().astype(np.int64)
-                    np.cumsum(n[pair] * uses, out=sums[0, 1:])
-                    np.cumsum(is_best[pair] * uses, out=sums[1, 1:])
+            block, role = batch.column("block").to_numpy(), batch.column("role").to_numpy()
+            starts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (role[1:] != role[:-1])) + 1).tolist()] if batch.num_rows else []
+            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                part = batch.slice(start, end - start)
+                if block[start] != current:
+                    current, held, known = block[start], [], None
+                if role[start] == 0:
+                    held.append(part.select(["i", "n", "best"]))
+                    continue
+                if known is None:
+                    known, held = gathered(held), []
+                places, uses = part.column("places"), part.column("uses").flatten().to_numpy().astype(np.int64)
+                sums = np.zeros((2, len(uses) + 1), dtype=np.int64)
+                np.cumsum(known[:, places.flatten().to_numpy()] * uses, axis=1, out=sums[:, 1:])
+                ends = np.cumsum(places.value_lengths().to_numpy())
                 per_doc = np.diff(sums[:, ends], axis=1, prepend=0)
                 names = ("doc_id", "n_a", "n_b", "n_groups", "n_links")
-                columns = [col[c] for c in names] + [pa.array(per_doc[1]), pa.array(per_doc[0]), col["groups_sha256"]]
+                columns = [part.column(c) for c in names] + [pa.array(per_doc[1]), pa.array(per_doc[0]), part.column("groups_sha256")]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_best", "count_sum", "groups_sha256"])
 
     return both.mapInArrow(finish, RESULT)
